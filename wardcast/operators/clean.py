@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wardcast.columns import COLS, Cols
 from wardcast.functions.recode import ATTENDANCE, attendance_status, capped_age, known_gender
-from wardcast.operators.fill import BIG_KEY_ROWS, big_keys, fill_down_up
+from wardcast.operators.fill import fill_down_up
 from wardcast.operators.lookup import flag_membership, join_lookup
+from wardcast.operators.skew import BIG_KEY_ROWS, big_keys
 
 
 def baseline_contacts(contacts: DataFrame, baseline_fy: str, c: Cols = COLS) -> DataFrame:

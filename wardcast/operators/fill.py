@@ -11,42 +11,19 @@ result. Because the order ends in the filled columns, rows that tie agree in
 all of them: a filled row is a function of (key, order, filled columns). For
 big keys we therefore fill the distinct combinations only, day by day in
 parallel, carry values between days over one row per day, and hand the result
-back to the rows by a join.
+of those with a gap back to the rows by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardcast.operators.lookup import join_lookup
 
-# A key is big from this many rows on. At most MAX_BIG_KEYS are singled out,
-# the largest first: fewer than that many keys can hold over 1/MAX_BIG_KEYS of
-# all rows each, so none left to the plain window can dominate a cluster.
-BIG_KEY_ROWS = 2_000_000
-MAX_BIG_KEYS = 1000
-
-
-def big_keys(
-    rows: DataFrame, key: str, min_rows: int = BIG_KEY_ROWS, max_keys: int = MAX_BIG_KEYS
-) -> list:
-    """Keys with at least ``min_rows`` rows, largest first, no more than ``max_keys``.
-
-    Reads the key column only and counts map-side before the shuffle.
-    """
-    top = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") >= min_rows) & F.col(key).isNotNull())
-        .orderBy(F.desc("_n"), key)
-        .limit(max_keys)
-    )
-    return [r[0] for r in top.collect()]
-
-
 def _order(order: str, cols: Sequence[str]) -> list[Column]:
     return [F.asc_nulls_first(c) for c in (order, *cols)]
 
@@ -97,10 +74,11 @@ def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str]) ->
     filled = {
         f"_filled_{c}": F.coalesce(f"_today_{c}", f"_before_{c}", f"_any_{c}") for c in cols
     }
-    combos = combos.withColumns(filled).select(*keys, *filled)
+    gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+    combos = combos.filter(gap).withColumns(filled).select(*keys, *filled)
 
     out = join_lookup(rows, combos, keys, null_safe=True)
-    return out.withColumns({c: F.col(f"_filled_{c}") for c in cols}).drop(*filled)
+    return out.withColumns({c: F.coalesce(c, f"_filled_{c}") for c in cols}).drop(*filled)
 
 
 def fill_down_up(

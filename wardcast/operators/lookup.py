@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardcast.operators.skew import BIG_KEY_ROWS, salted
+
 # A lookup row here is a handful of short codes and numbers, under 100 bytes,
 # so this many rows stay well below 200 MB on each executor.
 MAX_BROADCAST_ROWS = 1_500_000
-SALTS = 64
 
 
 def fits(table: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -33,25 +34,23 @@ def join_lookup(
     *,
     null_safe: bool = False,
     max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
+    big_rows: int = BIG_KEY_ROWS,
 ) -> DataFrame:
     """Left join of ``rows`` to ``lookup``.
 
     A lookup of a checked small size is broadcast, so ``rows`` are not
-    shuffled. Beyond that the join shuffles on the keys plus a salt taken from
-    the whole row, with the lookup repeated per salt: a key that holds much of
-    ``rows`` is spread over ``salts`` tasks, and exact copies of one row are
+    shuffled. Beyond that the join shuffles on the keys, and keys with at least
+    ``big_rows`` rows are salted; exact copies of one row share a salt and are
     left to the adaptive skew-join.
     """
     right = lookup.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    right_keys = [f"_r_{k}" for k in keys]
     if fits(lookup, max_rows):
         right = F.broadcast(right)
-        out = rows.join(right, _keys_match(rows, right, keys, null_safe), "left")
-        return out.drop(*[f"_r_{k}" for k in keys])
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    match = _keys_match(salted, right, keys, null_safe) & (salted["_salt"] == right["_r_salt"])
-    return salted.join(right, match, "left").drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
+        return rows.join(right, _keys_match(rows, right, keys, null_safe), "left").drop(*right_keys)
+    left, right = salted(rows, right, keys, right_keys, big_rows)
+    match = _keys_match(left, right, keys, null_safe) & (left["_salt"] == right["_r_salt"])
+    return left.join(right, match, "left").drop("_salt", "_r_salt", *right_keys)
 
 
 def join_results(

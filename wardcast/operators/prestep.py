@@ -30,7 +30,7 @@ def latest_submission(
 
 def _months(condition: Column) -> Column:
     """Number of different calendar months in which the condition holds."""
-    month = F.shiftleft(F.lit(1), F.month("_date") - 1)
+    month = F.call_function("shiftleft", F.lit(1), F.month("_date") - 1)
     return F.bit_count(F.coalesce(F.bit_or(F.when(condition, month)), F.lit(0)))
 
 
