@@ -32,7 +32,8 @@ def tidy_contacts(
     baseline_fy: str = "2022/23",
     age_cap: int = 90,
     attendance_map: Mapping[str, Sequence[str]] = ATTENDANCE,
-    big_patient_rows: int | None = BIG_KEY_ROWS,
+    big_patients: Sequence | None = None,
+    big_patient_rows: int = BIG_KEY_ROWS,
     c: Cols = COLS,
 ) -> DataFrame:
     """Select, flag and recode contacts, attach the district and fill each patient's gaps.
@@ -40,10 +41,12 @@ def tidy_contacts(
     Lookups are broadcast, so the only shuffle is the one that brings a
     patient's contacts together. Patients with ``big_patient_rows`` or more
     contacts are found by a count over the patient column and filled in
-    pieces; ``None`` skips that count.
+    pieces. Where they are known, or known not to exist, ``big_patients`` names
+    them and saves that count.
     """
     rows = baseline_contacts(contacts, baseline_fy, c)
-    big = None if big_patient_rows is None else big_keys(rows, c.patient, big_patient_rows)
+    if big_patients is None:
+        big_patients = big_keys(rows, c.patient, big_patient_rows)
     rows = rows.select(*c.regions, c.patient, c.date, c.area, c.age, c.gender,
                        c.submitter, c.attendance, c.service)
     rows = flag_consistent(rows, submitters, c).withColumns(
@@ -55,4 +58,4 @@ def tidy_contacts(
     )
     rows = join_lookup(rows, area_district.select(c.area, c.district), [c.area])
     rows = rows.drop(c.area, c.submitter)
-    return fill_down_up(rows, c.patient, c.date, c.filled, big=big)
+    return fill_down_up(rows, c.patient, c.date, c.filled, big=big_patients)

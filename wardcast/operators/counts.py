@@ -70,20 +70,23 @@ def included_patients(counts: DataFrame, level: str, c: Cols = COLS) -> DataFram
 
 
 def _patient_rows(counts: DataFrame, level: str, c: Cols) -> DataFrame:
-    """Included patients by service and cell, with the patient's share in each district."""
+    """Included patients by service and cell, with the patient's share in each district.
+
+    The wider window comes first: its partitioning by patient then also serves
+    the window by district and the aggregations that follow.
+    """
     keys = c.level_keys(level)
     rows = included_patients(counts, level, c)
     if not keys:
         # Add up the regions map-side before a patient's rows are brought together.
         rows = rows.groupBy(c.service, *c.person, c.patient).agg(F.sum("n").alias("n"))
-    rows = rows.repartition(*keys, c.patient)
-    in_district = F.sum("n").over(Window.partitionBy(*keys, c.patient, c.district))
-    in_all = F.sum("n").over(Window.partitionBy(*keys, c.patient))
-    share = in_district / in_all
+    rows = rows.withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, c.patient)))
+    here = F.sum("n").over(Window.partitionBy(*keys, c.patient, c.district))
+    share = here / F.col("_all")
     if keys:
         # A share is looked up by region code and name, so it is missing where the name is.
         share = F.when(F.col(c.region_name).isNotNull(), share)
-    return rows.withColumn("prop", share)
+    return rows.withColumn("prop", share).drop("_all")
 
 
 def patient_lad_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFrame:
