@@ -11,55 +11,60 @@ from wardcast.columns import COLS, Cols, check_level
 from wardcast.functions.recode import ATTENDED, GENDERS
 
 
-def _rows(table: DataFrame) -> Column:
-    """Contacts in a group: rows of a contact table, or the ``n`` of ``contact_cells``."""
-    return F.sum("n") if "n" in table.columns else F.count(F.lit(1))
-
-
 def all_present(*columns: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in columns])
 
 
 def contact_cells(tidy: DataFrame, c: Cols = COLS) -> DataFrame:
-    """Contacts counted by patient and attributes, without dates.
+    """Contacts counted by patient and attributes, without dates; ``n`` contacts each.
 
-    The common ground of all later counts. It is far smaller than the contacts
-    and is counted map-side, so this is the table to store between jobs.
+    The common ground of all later counts, and the table to store between jobs:
+    far smaller than the contacts and counted map-side. ``any_consistent`` and
+    ``any_attended`` are raised over the patient's region and service,
+    independently of each other. The cells and their flags use the partitioning
+    by patient that filling the gaps has left, so neither shuffles again.
     """
     keys = [*c.regions, c.service, c.patient, c.consistent, c.attendance, *c.person]
-    return tidy.groupBy(*keys).agg(_rows(tidy).alias("n"))
+    cells = tidy.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*c.regions, c.service, c.patient)
+    attended = F.coalesce((F.col(c.attendance) == ATTENDED).cast("int"), F.lit(0))
+    return cells.withColumns(
+        {
+            "any_consistent": F.max(c.consistent).over(w),
+            "any_attended": F.max(attended).over(w),
+        }
+    )
+
+
+def _is_cells(rows: DataFrame) -> bool:
+    return "any_attended" in rows.columns
 
 
 def contact_counts(contacts: DataFrame, c: Cols = COLS) -> DataFrame:
-    """Contacts by region, service, quality flags, district, age and gender."""
+    """Contacts by region, service, quality flags, district, age and gender.
+
+    Takes clean contacts or their cells.
+    """
+    n = F.sum("n") if _is_cells(contacts) else F.count(F.lit(1))
     keys = [*c.regions, c.service, c.consistent, c.attendance, *c.person]
-    return contacts.groupBy(*keys).agg(_rows(contacts).alias("count"))
+    return contacts.groupBy(*keys).agg(n.alias("count"))
 
 
 def patient_counts(contacts: DataFrame, c: Cols = COLS) -> DataFrame:
     """Contacts per patient, with flags raised over the patient's region and service.
 
-    Both flags take their maximum over (region, service, patient)
-    independently, so they may come from different contacts; ``n`` counts
-    every contact. Contacts are counted by cell before the window, which then
-    sees at most one row per district, age and gender of a patient's service.
+    Both flags may come from different contacts, and ``n`` counts every one of
+    the patient's contacts. Takes clean contacts or their cells.
     """
-    attended = (F.col(c.attendance) == ATTENDED).cast("int")
-    cells = contacts.groupBy(*c.regions, c.service, c.patient, *c.person).agg(
-        F.max(c.consistent).alias(c.consistent),
-        F.max(F.coalesce(attended, F.lit(0))).alias(c.attendance),
-        _rows(contacts).alias("n"),
-    )
-    w = Window.partitionBy(*c.regions, c.service, c.patient)
-    return cells.select(
+    cells = contacts if _is_cells(contacts) else contact_cells(contacts, c)
+    return cells.groupBy(
         *c.regions,
         c.service,
         c.patient,
-        F.max(c.consistent).over(w).alias(c.consistent),
-        F.max(c.attendance).over(w).alias(c.attendance),
+        F.col("any_consistent").alias(c.consistent),
+        F.col("any_attended").alias(c.attendance),
         *c.person,
-        "n",
-    )
+    ).agg(F.sum("n").alias("n"))
 
 
 def included_patients(counts: DataFrame, level: str, c: Cols = COLS) -> DataFrame:
@@ -69,26 +74,6 @@ def included_patients(counts: DataFrame, level: str, c: Cols = COLS) -> DataFram
     return counts.filter(flags & all_present(*present))
 
 
-def _patient_rows(counts: DataFrame, level: str, c: Cols) -> DataFrame:
-    """Included patients by service and cell, with the patient's share in each district.
-
-    The wider window comes first: its partitioning by patient then also serves
-    the window by district and the aggregations that follow.
-    """
-    keys = c.level_keys(level)
-    rows = included_patients(counts, level, c)
-    if not keys:
-        # Add up the regions map-side before a patient's rows are brought together.
-        rows = rows.groupBy(c.service, *c.person, c.patient).agg(F.sum("n").alias("n"))
-    rows = rows.withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, c.patient)))
-    here = F.sum("n").over(Window.partitionBy(*keys, c.patient, c.district))
-    share = here / F.col("_all")
-    if keys:
-        # A share is looked up by region code and name, so it is missing where the name is.
-        share = F.when(F.col(c.region_name).isNotNull(), share)
-    return rows.withColumn("prop", share).drop("_all")
-
-
 def patient_lad_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFrame:
     """Share of each patient's contacts by district, within the region or nationally.
 
@@ -107,6 +92,38 @@ def patient_lad_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFra
     )
 
 
+def patient_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFrame:
+    """Fractional patients by service, district, age and gender, in both ways of counting.
+
+    ``count`` adds up the patients of a service; ``count_once`` lets a patient
+    of several services count in one of them only, so that adding it over
+    services gives the unique patients. One pass over the patients serves both.
+
+    Windows take the place of a join of shares back to the patients. The widest
+    comes first, in the order the others need: its partitioning by patient and
+    its sort serve all three.
+    """
+    keys = c.level_keys(level)
+    rows = included_patients(counts, level, c)
+    if not keys:
+        # Add up the regions map-side before a patient's rows are brought together.
+        rows = rows.groupBy(c.service, *c.person, c.patient).agg(F.sum("n").alias("n"))
+    patient = Window.partitionBy(*keys, c.patient).orderBy(*c.person, c.service)
+    whole = patient.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_all", F.sum("n").over(whole))
+    here = F.sum("n").over(Window.partitionBy(*keys, c.patient, c.district))
+    share = here / F.col("_all")
+    if keys:
+        # A share is looked up by region code and name, so it is missing where the name is.
+        share = F.when(F.col(c.region_name).isNotNull(), share)
+    first = F.row_number().over(Window.partitionBy(*keys, c.patient, *c.person).orderBy(c.service))
+    rows = rows.withColumn("_share", share).withColumn("_first", first)
+    once = F.when(F.col("_first") == 1, F.col("_share")).when(F.col("_share").isNotNull(), 0.0)
+    return rows.groupBy(*keys, c.service, *c.person).agg(
+        F.sum("_share").alias("count"), F.sum(once).alias("count_once")
+    )
+
+
 def unique_patients(
     counts: DataFrame, level: str, by_service: bool = False, c: Cols = COLS
 ) -> DataFrame:
@@ -114,16 +131,14 @@ def unique_patients(
 
     A patient seen in several districts counts in each by the share of their
     contacts there. By service the same overall share is used, so a service
-    seen in one of two districts adds up to less than one. Two window sums take
-    the place of a join of shares back to the patients; both, and the step to
-    one row per patient, use the same partitioning by patient.
+    seen in one of two districts adds up to less than one. Takes patient counts
+    or the result of ``patient_shares``.
     """
+    shares = counts if "count_once" in counts.columns else patient_shares(counts, level, c)
     keys = c.level_keys(level)
-    rows = _patient_rows(counts, level, c)
     if by_service:
-        return rows.groupBy(*keys, c.service, *c.person).agg(F.sum("prop").alias("count"))
-    once = rows.groupBy(*keys, *c.person, c.patient).agg(F.max("prop").alias("prop"))
-    return once.groupBy(*keys, *c.person).agg(F.sum("prop").alias("count"))
+        return shares.select(*keys, c.service, *c.person, "count")
+    return shares.groupBy(*keys, *c.person).agg(F.sum("count_once").alias("count"))
 
 
 def included_contacts(counts: DataFrame, level: str, c: Cols = COLS) -> DataFrame:

@@ -46,8 +46,8 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 class Workspace:
     """The driver's tables of one folder, with the tables written between jobs.
 
-    Contacts, counts, population and published tables are each written once to
-    the session's shared folder and read back by the queries that need them.
+    Inputs, counts and published tables are each written once to the session's
+    shared folder and read back by the queries that need them.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -60,14 +60,8 @@ class Workspace:
 
     @cached_property
     def inputs(self) -> marts.Inputs:
-        raw = fixtures.inputs(self.spark, self.sf_dir)
-        return marts.Inputs(
-            contacts=self.stage.save(raw.contacts, "contacts"),
-            area_region=raw.area_region,
-            area_district=raw.area_district,
-            submitters=raw.submitters,
-            population=raw.population,
-        )
+        raw = vars(fixtures.inputs(self.spark, self.sf_dir))
+        return marts.Inputs(**{name: self.stage.save(df, name) for name, df in raw.items()})
 
     @cached_property
     def base(self) -> marts.Base:
@@ -220,6 +214,7 @@ QUERIES: dict[str, Query] = {
         population.fy_population(w.inputs.population)
     ),
     "contact_cells": lambda w: counts.contact_cells(_tidy(w)),
+    "patient_shares": lambda w: counts.patient_shares(w.base.patient_counts, "region"),
     "contact_counts": lambda w: counts.contact_counts(_tidy(w)),
     "patient_counts": lambda w: counts.patient_counts(_tidy(w)),
     "mart_roundtrip": lambda w: age_data(w.mart("contacts", "region")),

@@ -15,6 +15,7 @@ from wardcast.operators.counts import (
     contact_counts,
     included_contacts,
     patient_counts,
+    patient_shares,
     unique_patients,
 )
 from wardcast.operators.lookup import join_results
@@ -45,6 +46,7 @@ class Base:
 
     contact_counts: DataFrame
     patient_counts: DataFrame
+    patient_shares: dict[str, DataFrame]
     fy_population: DataFrame
     region_population: DataFrame
     national_population: DataFrame
@@ -53,9 +55,9 @@ class Base:
 def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, **tidy) -> Base:
     """Clean and count once.
 
-    With a ``stage`` the contact cells, both count tables and the population
-    are written between jobs, so that the long chain over the contacts runs
-    once for all published tables.
+    With a ``stage`` the contact cells, the count tables and the population are
+    written between jobs, so that the long chain over the contacts runs once
+    for all published tables, and later steps read small tables.
     """
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -63,11 +65,16 @@ def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, *
 
     rows = tidy_contacts(inputs.contacts, inputs.area_district, inputs.submitters, c=c, **tidy)
     cells = keep(contact_cells(rows, c), "contact_cells")
+    patients = keep(patient_counts(cells, c), "patient_counts")
     popn = keep(fy_population(inputs.population, c=c), "fy_population")
     shares = area_shares(inputs.area_region, inputs.area_district, c)
     return Base(
         contact_counts=keep(contact_counts(cells, c), "contact_counts"),
-        patient_counts=keep(patient_counts(cells, c), "patient_counts"),
+        patient_counts=patients,
+        patient_shares={
+            level: keep(patient_shares(patients, level, c), f"patient_shares_{level}")
+            for level in LEVELS
+        },
         fy_population=popn,
         region_population=keep(region_population(shares, popn, c), "region_population"),
         national_population=keep(national_population(popn, c), "national_population"),
@@ -80,7 +87,7 @@ def baseline_counts(
     """Counts to project: included contacts, or fractional unique patients."""
     if check_measure(measure) == "contacts":
         return included_contacts(base.contact_counts, level, c)
-    return unique_patients(base.patient_counts, level, by_service, c)
+    return unique_patients(base.patient_shares[level], level, by_service, c)
 
 
 def projected(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFrame:

@@ -397,7 +397,15 @@ SELECT icb22cdh, fin_year, age_int, {rnd('proj_popn_by_fy_age')} AS proj_popn_by
 SQL["national_population"] = f"""
 SELECT fin_year, age_int, {rnd('proj_popn_by_fy_age')} AS proj_popn_by_fy_age FROM popn_national"""
 SQL["contact_cells"] = f"""
-SELECT {REG}, service, patient_id, consistent_ind, attendance_cat, {PERSON}, count(*) AS n FROM tidy GROUP BY ALL"""
+SELECT t.icb22cdh, t.icb22nm, t.service, t.patient_id, consistent_ind, attendance_cat, {PERSON},
+ any_consistent, any_attended, count(*) AS n
+FROM tidy t JOIN patient_flags f ON t.patient_id = f.patient_id AND t.icb22cdh IS NOT DISTINCT FROM f.icb22cdh
+ AND t.icb22nm IS NOT DISTINCT FROM f.icb22nm AND t.service IS NOT DISTINCT FROM f.service GROUP BY ALL"""
+SQL["patient_shares"] = f"""
+SELECT {REG}, service, {PERSON}, {rnd('sum(prop)')} AS count,
+ {rnd('sum(CASE WHEN service IS NOT DISTINCT FROM first_service THEN prop ELSE 0 END)')} AS count_once
+FROM (SELECT *, first_value(service) OVER (PARTITION BY {REG}, patient_id, {PERSON} ORDER BY service NULLS FIRST) AS first_service
+ FROM mid_region) GROUP BY ALL"""
 SQL["contact_counts"] = "SELECT * FROM contact_counts"
 SQL["patient_counts"] = "SELECT * FROM patient_counts"
 for level in LEVELS:
