@@ -189,6 +189,7 @@ def test_zero_base_population(spark):
     )
     g = population.fy_population(popn)
     assert rows(g, "fin_year", "growth_coeff") == [("2022_23", None), ("2023_24", None)]
+    assert rows(population.undefined_growth(g)) == [("A", 1, "Male")]
     df = spark.createDataFrame([("A", 1, "Male", 3.0)], COUNTS)
     assert rows(project(df, g), "fin_year", "projected_count") == [("2022_23", None), ("2023_24", None)]
 

@@ -72,6 +72,12 @@ def test_big_keys_are_the_largest_and_bounded(spark):
     assert len(big_keys(df, "patient_id", min_rows=1, max_keys=7)) == 7
 
 
+def test_fits_by_rows_and_by_bytes(spark):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    assert fits(df) and not fits(df, max_rows=99) and not fits(df, max_bytes=50_000)
+    assert fits(df, max_rows=100, max_bytes=200_000) and fits(df.filter("false"), 0)
+
+
 def test_salted_join_equals_broadcast_join(spark):
     df = uneven(spark).withColumn("lad18cd", F.when(F.col("patient_id") == 0, "E1").otherwise(F.col("lad18cd")))
     table = spark.createDataFrame([("E1", 1), ("E1", 2), ("E2", 3), (None, 4)], "lad18cd string, v int")

@@ -52,6 +52,14 @@ def growth_coefficients(fy_popn: DataFrame, c: Cols = COLS) -> DataFrame:
     return fy_popn.select(*c.person, c.fin_year, c.growth)
 
 
+def undefined_growth(fy_popn: DataFrame, c: Cols = COLS) -> DataFrame:
+    """Cells without a growth coefficient, as their first population is zero.
+
+    Counts in them make the projected sums they belong to missing.
+    """
+    return fy_popn.filter(F.col(c.growth).isNull()).select(*c.person).distinct()
+
+
 def area_shares(area_region: DataFrame, area_district: DataFrame, c: Cols = COLS) -> DataFrame:
     """Share of each district's small areas that lie in each region."""
     both = join_lookup(

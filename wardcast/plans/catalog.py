@@ -6,6 +6,7 @@ since sums of floating-point numbers depend on their order.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import cached_property, reduce
 
@@ -61,7 +62,10 @@ class Workspace:
     @cached_property
     def inputs(self) -> marts.Inputs:
         raw = vars(fixtures.inputs(self.spark, self.sf_dir))
-        return marts.Inputs(**{name: self.stage.save(df, name) for name, df in raw.items()})
+        by = {"contacts": c.fin_year}
+        return marts.Inputs(
+            **{name: self.stage.save(df, name, by.get(name)) for name, df in raw.items()}
+        )
 
     @cached_property
     def base(self) -> marts.Base:
@@ -302,6 +306,7 @@ def _register_levels() -> None:
 _register_levels()
 
 _workspaces: dict[tuple[str, str], Workspace] = {}
+_lock = threading.RLock()  # tables between jobs are written once, whoever asks first
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
@@ -313,4 +318,5 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(QUERIES[name](workspace(spark, sf_dir)))
+    with _lock:
+        return rounded(QUERIES[name](workspace(spark, sf_dir)))

@@ -67,7 +67,9 @@ class Stage:
         self.spark = spark
         self.root = f"{root or shared_folder(spark)}/stage-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` (in folders ``by`` a column, which later filters prune) and read it back."""
         path = f"{self.root}/{name}"
-        df.write.mode("errorifexists").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
