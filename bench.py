@@ -1,8 +1,8 @@
 """Time the headline queries on the driver's tables and print one JSON line.
 
 Each query is run whole (every output row is produced, none is kept): once to
-warm up, then three times, of which the median counts. Tables between jobs are
-written once beforehand and timed as ``stage``.
+warm up, then three times, of which the median counts. ``stage`` is the time to
+write all tables between jobs and two published tables, once, after a warm-up.
 """
 
 from __future__ import annotations
@@ -53,13 +53,14 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    space = catalog.workspace(spark, sf_dir)
 
-    def prepare() -> None:
+    def prepare(space: catalog.Workspace) -> None:
         space.base  # noqa: B018
         space.both("contacts")
 
-    result = {"stage": round(timed(prepare), 3)}
+    prepare(catalog.Workspace(spark, sf_dir))
+    space = catalog.workspace(spark, sf_dir)
+    result = {"stage": round(timed(lambda: prepare(space)), 3)}
     for label, name in HEADLINE.items():
 
         def run(name: str = name) -> None:

@@ -358,10 +358,11 @@ def test_latest_submission_wins(spark):
 def test_age_at_first_contact(spark):
     contacts = spark.createDataFrame(
         [contact(age_int=None), contact(contact_date=dt.date(2022, 6, 1), age_int="41"),
-         contact(contact_date=dt.date(2022, 7, 1), age_int="40"), contact(patient_id=2, age_int=None)],
+         contact(contact_date=dt.date(2022, 7, 1), age_int="40"), contact(patient_id=2, age_int=None),
+         contact(contact_date=None, age_int="1"), contact(patient_id=3, contact_date=None, age_int="9")],
         CONTACTS,
     )
-    assert rows(prestep.age_at_first_contact(contacts)) == [(1, 41), (2, None)]
+    assert rows(prestep.age_at_first_contact(contacts)) == [(1, 41), (2, None), (3, 9)]
 
 
 def test_quality_exclusions(spark):

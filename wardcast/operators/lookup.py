@@ -48,17 +48,19 @@ def join_lookup(
     null_safe: bool = False,
     max_rows: int = MAX_BROADCAST_ROWS,
     big_rows: int = BIG_KEY_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` to ``lookup``.
 
     A lookup of a checked small size is broadcast, so ``rows`` are not
     shuffled. Beyond that the join shuffles on the keys, and keys with at least
     ``big_rows`` rows are salted; exact copies of one row share a salt and are
-    left to the adaptive skew-join.
+    left to the adaptive skew-join. ``small`` hands in an earlier measurement
+    of the same lookup (see ``fits``).
     """
     right = lookup.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     right_keys = [f"_r_{k}" for k in keys]
-    if fits(lookup, max_rows):
+    if fits(lookup, max_rows) if small is None else small:
         right = F.broadcast(right)
         return rows.join(right, _keys_match(rows, right, keys, null_safe), "left").drop(*right_keys)
     left, right = salted(rows, right, keys, right_keys, big_rows)

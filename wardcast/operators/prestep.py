@@ -12,6 +12,10 @@ from wardcast.functions.recode import ATTENDED, UNKNOWN, attendance_status
 from wardcast.operators.lookup import flag_membership
 
 
+LAST_DAY = 2**31 - 1
+AGES = 10_000  # more than any age, to set days apart
+
+
 def latest_submission(
     rows: DataFrame, keys: Sequence[str], version_cols: Sequence[str]
 ) -> DataFrame:
@@ -59,15 +63,15 @@ def consistent_submitters(
 def age_at_first_contact(
     contacts: DataFrame, *, baseline_fy: str = "2022/23", c: Cols = COLS
 ) -> DataFrame:
-    """One age per patient: that of the earliest contact with a known age (lowest on a tie)."""
+    """One age per patient: that of the earliest contact with a known age (lowest on a day).
+
+    Day and age make one number to take the least of, so the aggregation keeps
+    to fixed-width buffers. Contacts without a date come last.
+    """
     age = F.col(c.age).try_cast("int")
+    day = F.coalesce(F.unix_date(F.to_date(c.date)), F.lit(LAST_DAY)).cast("long")
     rows = contacts.filter((F.col(c.fin_year) == baseline_fy) & F.col(c.patient).isNotNull())
-    first = F.min(F.when(age.isNotNull(), F.struct(F.col(c.date), age.alias("_age"))))
-    return (
-        rows.groupBy(c.patient)
-        .agg(first.alias("_first"))
-        .select(c.patient, F.col("_first")["_age"].alias(c.age))
-    )
+    return rows.groupBy(c.patient).agg(F.min_by(age, day * AGES + age).alias(c.age))
 
 
 def coverage(

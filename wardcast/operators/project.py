@@ -21,6 +21,7 @@ def project(
     *,
     by_age: bool = True,
     unmatched: str = "keep",
+    growth_fits: bool | None = None,
     c: Cols = COLS,
 ) -> DataFrame:
     """Sum of count x growth by group, financial year and (with ``by_age``) age.
@@ -29,14 +30,16 @@ def project(
     multiplies as few rows as possible by the number of years, and the product
     is summed map-side. Counts without growth form rows with a missing year
     and count; ``unmatched="drop"`` leaves them out. A missing coefficient
-    makes its sum missing rather than too small.
+    makes its sum missing rather than too small. ``growth_fits`` is whether the
+    growth table is known to be small enough to broadcast; else it is measured.
     """
     if unmatched not in UNMATCHED:
         raise ValueError(f"unmatched must be one of {UNMATCHED}, not {unmatched!r}")
     keys = [*group_keys, *c.person]
     if set(counts.columns) != {*keys, "count"}:
         counts = counts.groupBy(*keys).agg(F.sum("count").alias("count"))
-    grown = join_lookup(counts, growth.select(*c.person, c.fin_year, c.growth), c.person)
+    growth = growth.select(*c.person, c.fin_year, c.growth)
+    grown = join_lookup(counts, growth, c.person, small=growth_fits)
     if unmatched == "drop":
         grown = grown.filter(F.col(c.fin_year).isNotNull())
     ages = [c.age] if by_age else []
@@ -51,11 +54,18 @@ def project_by_service(
     group_keys: Sequence[str] = (),
     *,
     unmatched: str = "keep",
+    growth_fits: bool | None = None,
     c: Cols = COLS,
 ) -> DataFrame:
     """Projection by group, service and year, ages added up in the same pass."""
     return project(
-        counts, growth, [*group_keys, c.service], by_age=False, unmatched=unmatched, c=c
+        counts,
+        growth,
+        [*group_keys, c.service],
+        by_age=False,
+        unmatched=unmatched,
+        growth_fits=growth_fits,
+        c=c,
     )
 
 

@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table over the cores if its files make fewer tasks than there are.
+
+    A file of one row group is one task; a table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _code(letter: str, number: Column) -> Column:
     return F.concat(F.lit(letter), number.cast("string"))
 
@@ -70,8 +79,10 @@ def submitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"
+    lines = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"
+        )
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     customer = table(spark, sf_dir, "customer").select(
@@ -85,7 +96,9 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(part, "l_partkey")
         .join(supplier, "l_suppkey")
         .join(orders, "l_orderkey")
-        .join(customer.join(nation, "n_nationkey").join(region, "r_regionkey"), "o_custkey")
+        .join(customer, "o_custkey")
+        .join(nation, "n_nationkey")
+        .join(region, "r_regionkey")
     )
     patient, part_key, line = F.col("o_custkey"), F.col("l_partkey"), F.col("l_linenumber")
     date = F.to_date(F.add_months(F.col("l_shipdate"), 12 * YEARS_AHEAD))

@@ -18,11 +18,12 @@ from wardcast.operators.counts import (
     patient_shares,
     unique_patients,
 )
-from wardcast.operators.lookup import join_results
+from wardcast.operators.lookup import fits, join_results
 from wardcast.operators.nest import nest
 from wardcast.operators.population import (
     area_shares,
     fy_population,
+    growth_coefficients,
     national_population,
     region_population,
 )
@@ -50,6 +51,7 @@ class Base:
     fy_population: DataFrame
     region_population: DataFrame
     national_population: DataFrame
+    growth_fits: bool
 
 
 def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, **tidy) -> Base:
@@ -78,6 +80,7 @@ def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, *
         fy_population=popn,
         region_population=keep(region_population(shares, popn, c), "region_population"),
         national_population=keep(national_population(popn, c), "national_population"),
+        growth_fits=fits(growth_coefficients(popn, c)),
     )
 
 
@@ -93,12 +96,14 @@ def baseline_counts(
 def projected(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFrame:
     """Projected counts by region, year and age."""
     counts = baseline_counts(base, measure, level, False, c)
-    return project(counts, base.fy_population, c.level_keys(level), c=c)
+    keys = c.level_keys(level)
+    return project(counts, base.fy_population, keys, growth_fits=base.growth_fits, c=c)
 
 
 def projected_by_service(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFrame:
     counts = baseline_counts(base, measure, level, True, c)
-    return project_by_service(counts, base.fy_population, c.level_keys(level), c=c)
+    keys = c.level_keys(level)
+    return project_by_service(counts, base.fy_population, keys, growth_fits=base.growth_fits, c=c)
 
 
 def build_mart(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFrame:
