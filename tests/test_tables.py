@@ -31,7 +31,7 @@ def total(df, column):
 
 
 def test_population_variant_prunes_folders(spark, tmp_path):
-    popn = fixtures.population(spark, SF_DIR).limit(50)
+    popn = fixtures.population(fixtures.StarTables(spark, SF_DIR)).limit(50)
     for variant, factor in (("principal_proj", 1), ("high", 2)):
         popn.withColumn("value", F.col("value") * factor).write.parquet(f"{tmp_path}/projection={variant}")
     out = tables.load_population(spark, str(tmp_path))
@@ -42,7 +42,7 @@ def test_population_variant_prunes_folders(spark, tmp_path):
 def test_contacts_are_renamed_and_pruned(spark, tmp_path):
     path = str(tmp_path / "contacts")
     mapping = {"patient_id": "Person_ID", "fin_year": "Year"}
-    fixtures.contacts(spark, SF_DIR).select(
+    fixtures.contacts(fixtures.StarTables(spark, SF_DIR)).select(
         "*", F.lit(1).alias("unused")
     ).withColumnsRenamed(mapping).write.parquet(path)
     out = tables.load_contacts(spark, path, mapping)
@@ -82,7 +82,7 @@ def test_shared_folder_is_the_one_the_session_names(spark):
 
 
 def test_publish_writes_four_tables(spark, tmp_path):
-    marts.publish(spark, fixtures.inputs(spark, SF_DIR), str(tmp_path))
+    marts.publish(spark, fixtures.inputs(fixtures.StarTables(spark, SF_DIR)), str(tmp_path))
     for measure in MEASURES:
         assert store.read_mart(spark, str(tmp_path), measure, "national").count() == 1
         assert store.read_mart(spark, str(tmp_path), measure, "region").count() == 5

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.tables = spark, fixtures.StarTables(spark, sf_dir)
         self._published: set[tuple[str, str]] = set()
 
     @cached_property
@@ -61,11 +61,12 @@ class Workspace:
 
     @cached_property
     def inputs(self) -> marts.Inputs:
-        raw = vars(fixtures.inputs(self.spark, self.sf_dir))
+        raw = vars(fixtures.inputs(self.tables))
         by = {"contacts": c.fin_year}
-        return marts.Inputs(
-            **{name: self.stage.save(df, name, by.get(name)) for name, df in raw.items()}
+        saved = marts.together(
+            *[partial(self.stage.save, df, name, by.get(name)) for name, df in raw.items()]
         )
+        return marts.Inputs(**dict(zip(raw, saved)))
 
     @cached_property
     def base(self) -> marts.Base:
@@ -78,8 +79,17 @@ class Workspace:
             self._published.add((measure, level))
         return read_mart(self.spark, self.stage.root, measure, level)
 
-    def both(self, measure: str) -> tuple[DataFrame, DataFrame]:
-        return self.mart(measure, "region"), self.mart(measure, "national")
+    def published(self, names: list[tuple[str, str]]) -> list[DataFrame]:
+        """Several published tables, written at the same time."""
+        self.base  # noqa: B018 - written before the tables that need it
+        return marts.together(*[partial(self.mart, *n) for n in names])
+
+    def both(self, measure: str) -> list[DataFrame]:
+        return self.published([(measure, level) for level in LEVELS])
+
+    def all(self) -> list[DataFrame]:
+        """Regional contacts and patients, then national contacts and patients."""
+        return self.published([(m, level) for level in LEVELS for m in MEASURES])
 
     def located(self) -> DataFrame:
         """All contacts with their district attached."""
@@ -161,6 +171,19 @@ def _mart_rows(measure: str, level: str) -> Query:
     return run
 
 
+def _dq_tables(level: str) -> Query:
+    """Reports of both measures, one under the other."""
+
+    def run(w: Workspace) -> DataFrame:
+        parts = [
+            quality.dq_table(w.mart(m, level), m, level).withColumn("measure", F.lit(m))
+            for m in MEASURES
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    return run
+
+
 def _exclusion_rates(w: Workspace) -> DataFrame:
     parts = [
         quality.dq_exclusion_rate(w.mart(m, "region"), m).withColumn("measure", F.lit(m))
@@ -178,9 +201,8 @@ def _year_map(w: Workspace) -> DataFrame:
 
 def _submissions(w: Workspace) -> DataFrame:
     """Line items as submissions of one contact key; the last ship date is the latest."""
-    rows = fixtures.table(w.spark, w.sf_dir, "lineitem")
     return prestep.latest_submission(
-        rows.select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_returnflag"),
+        w.tables["lineitem"].select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_returnflag"),
         ["l_orderkey", "l_linenumber"],
         ["l_shipdate"],
     )
@@ -243,18 +265,9 @@ QUERIES: dict[str, Query] = {
         w.mart("patients", "region"), horizon=None
     ),
     "usage_rate": lambda w: compare.usage_rate(*w.both("patients")),
-    "contacts_per_patient": lambda w: compare.contacts_per_patient(
-        w.mart("contacts", "region"),
-        w.mart("patients", "region"),
-        w.mart("contacts", "national"),
-        w.mart("patients", "national"),
-    ),
-    "dq_table_national": lambda w: quality.dq_table(
-        w.mart("contacts", "national"), "Contacts", "national"
-    ),
-    "dq_table_region": lambda w: quality.dq_table(
-        w.mart("patients", "region"), "Patients", "region"
-    ),
+    "contacts_per_patient": lambda w: compare.contacts_per_patient(*w.all()),
+    "dq_table_national": _dq_tables("national"),
+    "dq_table_region": _dq_tables("region"),
     "dq_exclusion_rate": _exclusion_rates,
     "insight_facts": lambda w: insights.insight_facts({m: w.mart(m, "region") for m in MEASURES}),
     "national_facts": lambda w: insights.national_facts(

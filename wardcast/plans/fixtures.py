@@ -23,8 +23,17 @@ NO_FORECAST = 23  # district without a population forecast
 TOP_AGE = 90
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class StarTables:
+    """The driver's tables of one folder, each opened once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._open[name]
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -44,54 +53,54 @@ def _digit(key: Column) -> Column:
     return (key % 10).cast("int")
 
 
-def small_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def small_areas(tables: StarTables) -> DataFrame:
     """Every small area: ten per nation, and wherever a customer or supplier lives."""
-    nation = table(spark, sf_dir, "nation").select(
+    nation = tables["nation"].select(
         "n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("d")
     )
-    customer = table(spark, sf_dir, "customer").select(
+    customer = tables["customer"].select(
         F.col("c_nationkey").alias("n_nationkey"), _digit(F.col("c_custkey")).alias("d")
     )
-    supplier = table(spark, sf_dir, "supplier").select(
+    supplier = tables["supplier"].select(
         F.col("s_nationkey").alias("n_nationkey"), _digit(F.col("s_suppkey")).alias("d")
     )
     places = reduce(DataFrame.union, [nation, customer, supplier]).distinct()
     return places.withColumn("lsoa11cd", _code("L", F.col("n_nationkey") * 10 + F.col("d")))
 
 
-def area_district(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = small_areas(spark, sf_dir).filter(F.col("n_nationkey") != OUTSIDE_LOOKUP)
+def area_district(tables: StarTables) -> DataFrame:
+    places = small_areas(tables).filter(F.col("n_nationkey") != OUTSIDE_LOOKUP)
     return places.select("lsoa11cd", _code("E", F.col("n_nationkey")).alias("lad18cd"))
 
 
-def area_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+def area_region(tables: StarTables) -> DataFrame:
     """Every fourth nation gives its last two small areas to the next region."""
-    regions = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    places = small_areas(spark, sf_dir).join(regions, "n_nationkey")
+    regions = tables["nation"].select("n_nationkey", "n_regionkey")
+    places = small_areas(tables).join(regions, "n_nationkey")
     moved = (F.col("d") >= 8) & (F.col("n_nationkey") % 4 == 0)
     region = F.when(moved, (F.col("n_regionkey") + 1) % 5).otherwise(F.col("n_regionkey"))
     return places.select("lsoa11cd", _code("Q", region).alias("icb22cdh"))
 
 
-def submitters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 4 != 0)
+def submitters(tables: StarTables) -> DataFrame:
+    rows = tables["supplier"].filter(F.col("s_suppkey") % 4 != 0)
     return rows.select(_code("S", F.col("s_suppkey")).alias("provider_org_id"))
 
 
-def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contacts(tables: StarTables) -> DataFrame:
     lines = spread(
-        table(spark, sf_dir, "lineitem").select(
+        tables["lineitem"].select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"
         )
     )
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    customer = table(spark, sf_dir, "customer").select(
+    orders = tables["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customer = tables["customer"].select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")
     )
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
-    region = table(spark, sf_dir, "region")
+    part = tables["part"].select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    supplier = tables["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    nation = tables["nation"].select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
+    region = tables["region"]
     joined = (
         lines.join(part, "l_partkey")
         .join(supplier, "l_suppkey")
@@ -131,7 +140,7 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+def population(tables: StarTables) -> DataFrame:
     """Forecast by year, district, age and sex.
 
     A cell's forecast follows a formula of its nation, age, sex and year, times
@@ -139,7 +148,7 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     comes from the customer table while its growth does not depend on it.
     """
     people = (
-        table(spark, sf_dir, "customer")
+        tables["customer"]
         .groupBy(
             F.col("c_nationkey").alias("n_nationkey"),
             F.least((F.col("c_custkey") * 7) % 116, F.lit(TOP_AGE)).cast("int").alias("age"),
@@ -147,7 +156,7 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg(F.count(F.lit(1)).alias("_people"))
     )
-    nations = table(spark, sf_dir, "nation").filter(
+    nations = tables["nation"].filter(
         ~F.col("n_nationkey").isin(NO_FORECAST, OUTSIDE_LOOKUP)
     )
     cells = nations.select(
@@ -169,11 +178,11 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+def inputs(tables: StarTables) -> Inputs:
     return Inputs(
-        contacts=contacts(spark, sf_dir),
-        area_region=area_region(spark, sf_dir),
-        area_district=area_district(spark, sf_dir),
-        submitters=submitters(spark, sf_dir),
-        population=population(spark, sf_dir),
+        contacts=contacts(tables),
+        area_region=area_region(tables),
+        area_district=area_district(tables),
+        submitters=submitters(tables),
+        population=population(tables),
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,12 @@ class Base:
     growth_fits: bool
 
 
+def together(*jobs: Callable) -> list:
+    """Submit independent jobs at the same time, so that small ones share the cluster."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, **tidy) -> Base:
     """Clean and count once.
 
@@ -65,23 +73,43 @@ def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, *
     def keep(df: DataFrame, name: str) -> DataFrame:
         return stage.save(df, name) if stage else df
 
-    rows = tidy_contacts(inputs.contacts, inputs.area_district, inputs.submitters, c=c, **tidy)
-    cells = keep(contact_cells(rows, c), "contact_cells")
-    patients = keep(patient_counts(cells, c), "patient_counts")
-    popn = keep(fy_population(inputs.population, c=c), "fy_population")
-    shares = area_shares(inputs.area_region, inputs.area_district, c)
-    return Base(
-        contact_counts=keep(contact_counts(cells, c), "contact_counts"),
-        patient_counts=patients,
-        patient_shares={
-            level: keep(patient_shares(patients, level, c), f"patient_shares_{level}")
-            for level in LEVELS
-        },
-        fy_population=popn,
-        region_population=keep(region_population(shares, popn, c), "region_population"),
-        national_population=keep(national_population(popn, c), "national_population"),
-        growth_fits=fits(growth_coefficients(popn, c)),
-    )
+    def people() -> dict:
+        popn = keep(fy_population(inputs.population, c=c), "fy_population")
+        shares = area_shares(inputs.area_region, inputs.area_district, c)
+        region, nation, small = together(
+            lambda: keep(region_population(shares, popn, c), "region_population"),
+            lambda: keep(national_population(popn, c), "national_population"),
+            lambda: fits(growth_coefficients(popn, c)),
+        )
+        return {
+            "fy_population": popn,
+            "region_population": region,
+            "national_population": nation,
+            "growth_fits": small,
+        }
+
+    def by_patient(cells: DataFrame) -> dict:
+        patients = keep(patient_counts(cells, c), "patient_counts")
+        shares = together(
+            *[
+                lambda lv=level: keep(patient_shares(patients, lv, c), f"patient_shares_{lv}")
+                for level in LEVELS
+            ]
+        )
+        return {"patient_counts": patients, "patient_shares": dict(zip(LEVELS, shares))}
+
+    def demand() -> dict:
+        rows = tidy_contacts(
+            inputs.contacts, inputs.area_district, inputs.submitters, c=c, **tidy
+        )
+        cells = keep(contact_cells(rows, c), "contact_cells")
+        contacts, patients = together(
+            lambda: keep(contact_counts(cells, c), "contact_counts"), lambda: by_patient(cells)
+        )
+        return {"contact_counts": contacts, **patients}
+
+    demanded, peopled = together(demand, people)
+    return Base(**demanded, **peopled)
 
 
 def baseline_counts(
@@ -135,7 +163,9 @@ def build_mart(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFram
 def publish(spark: SparkSession, inputs: Inputs, root: str, *, c: Cols = COLS, **tidy) -> Base:
     """Compute and write all four published tables under ``root``."""
     base = base_tables(inputs, Stage(spark), c=c, **tidy)
-    for measure in MEASURES:
-        for level in LEVELS:
-            write_mart(build_mart(base, measure, level, c), root, measure, level, c)
+
+    def write(measure: str, level: str) -> None:
+        write_mart(build_mart(base, measure, level, c), root, measure, level, c)
+
+    together(*[partial(write, m, lv) for m in MEASURES for lv in LEVELS])
     return base

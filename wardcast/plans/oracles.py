@@ -356,7 +356,7 @@ def report(measure: str, level: str) -> str:
     labels = [x for x in LABELS[measure] if level == "national" or x[0] != "missing_icb"]
     source = f"dq_{measure}_{level}" + (" JOIN region_names USING (icb22cdh)" if level == "region" else "")
     return "\nUNION ALL\n".join(
-        f"SELECT {keyed(level)}{i} AS category_ord, '{label}' AS category, {name} AS n, "
+        f"SELECT '{measure}' AS measure, {keyed(level)}{i} AS category_ord, '{label}' AS category, {name} AS n, "
         f"{rnd(f'{name} * 100.0 / NULLIF(all_unfiltd, 0)', 1)} AS pct FROM {source}"
         for i, (name, label) in enumerate(labels, start=1)
     )
@@ -533,8 +533,8 @@ def per_patient(level: str) -> str:
 SQL["contacts_per_patient"] = with_england(
     per_patient("national"), per_patient("region"), f"age_group, age_group_ord, {rnd('rate')} AS per_1000_patients"
 )
-SQL["dq_table_national"] = report("contacts", "national")
-SQL["dq_table_region"] = report("patients", "region")
+for level in LEVELS:
+    SQL[f"dq_table_{level}"] = "\nUNION ALL\n".join(report(m, level) for m in MEASURES)
 SQL["dq_exclusion_rate"] = "\nUNION ALL\n".join(
     f"SELECT {REG}, '{m}' AS measure, {rnd('total_excld * 100.0 / NULLIF(all_unfiltd, 0)', 1)} AS exclusion_rate"
     f" FROM dq_{m}_region JOIN region_names USING (icb22cdh)"
