@@ -1,17 +1,18 @@
 """Documents linked by the Jaccard similarity of their word shingles, and the components of the links.
 
-1. Shingles that several documents of one read share are counted; the most frequent, a table of fixed
+1. Shingles that recur within the texts of one task are counted; the most frequent, a table of fixed
    size, go to the end of the order that all sets use. Any order gives the same links.
 2. Each document becomes the digest of its set, a signature and a prefix: two linked sets share a shingle
    of their prefixes. Equal sets are one node from here on.
-3. Nodes that share a prefix shingle form blocks. Sets meet once, by their first shared shingle in tasks
-   of bounded size, where a star around each unlinked set joins near copies without any pair list.
-4. Blocks that still hold several groups are searched exactly: a signature tree over each part of a
-   block, a dual traversal of every two parts, and only pairs of different groups come out. Their sets are
-   compared in tiles, each set once per pair of tiles.
+3. Nodes that share a prefix shingle, and have one of a fitting size beside them, form blocks. Of
+   small blocks all pairs that the signatures allow are listed. In large ones a star is drawn around each node
+   that is in none yet; only its rays are listed.
+4. Listed pairs are compared by their sets, which are read again for these nodes alone.
+5. Large blocks that still hold several groups are searched exactly: a signature tree over each part, a dual
+   traversal of every two parts, and only pairs of different groups come out, to be compared as well.
 
 Large blocks are cut into parts of bounded size, and every pair of parts is a task of its own; nothing is
-capped, and links are lost nowhere: pairs within a group need no link to give the same components.
+capped, and no link is lost: pairs within a group need none to give the same components.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardcast.llm.components import smallest_reachable
 from wardcast.llm.shared import Sent, fields_udf, ship, stage, value_udf
 from wardcast.llm.signature_tree import (
-    Groups, Threshold, Tree, common, pairs, shingle_sets, signature,
+    NARROW, WIDE, Groups, Threshold, Tree, common, enough, folded, pairs, shingle_sets, signature,
 )
 
 
@@ -43,11 +44,12 @@ class Near:
     #: Shingles that are counted together, and how often one must occur there to be frequent.
     counted: int = 2_000_000
     repeats: int = 4
-    #: Shingles in a task that compares sets, and nodes in a part of a block.
-    task: int = 2_000_000
+    #: Nodes of a small block, and of a part of a large one.
+    small: int = 8
     part: int = 512
-    #: Rounds in which near copies are joined before the exact search.
-    rounds: int = 2
+    #: Shingles in a task that compares sets, and pairs of one node there.
+    task: int = 2_000_000
+    rays: int = 256
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, near: Near) -> dict[str, np.ndarray]:
@@ -114,75 +116,115 @@ def as_sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in column]
 
 
-def spread(key: str, size: Column, limit: int) -> Column:
-    """Which of ``ceil(size / limit)`` parts a row falls into, by a hash of ``key``."""
-    return F.pmod(F.xxhash64(key, F.lit("part")), F.ceil(size / F.lit(limit)))
+class Block:
+    """Rows of a block with their signatures: narrow ones if a narrow signature is among them."""
 
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values(["n", "node"])
+        self.node, self.n = rows["node"].to_numpy(), rows["n"].to_numpy()
+        self.root = rows["root"].to_numpy() if "root" in rows else self.node
+        self.bitmaps = stacked(rows["signature"], self.n)
+        self.hidden = self.n - np.bitwise_count(self.bitmaps).sum(1).astype(np.int64)
 
-def star(near: Near, group: pd.DataFrame) -> pd.DataFrame:
-    """Sets of one part: each set that is not yet linked is compared with all others that aren't."""
-    group = group.sort_values(["n", "node"], ignore_index=True)
-    nodes, sizes = group["node"].to_numpy(), group["n"].to_numpy()
-    sets = as_sets(group["elements"])
-    bitmaps = np.stack([signature(s) for s in sets])
-    bits = np.bitwise_count(bitmaps).sum(1).astype(np.int64)
-    part, over = near.threshold.part, near.threshold.over
-    root = nodes.copy()
-    left = np.arange(len(nodes))
-    while len(left) > 1:
-        one, rest = left[0], left[1:]
-        both = np.bitwise_count(bitmaps[rest] & bitmaps[one]).sum(1).astype(np.int64)
-        most = np.minimum(both + np.minimum(sizes[rest] - bits[rest], sizes[one] - bits[one]), sizes[one])
-        may = (part + over) * most >= part * (sizes[rest] + sizes[one])
-        linked = np.zeros(len(rest), bool)
-        for i in np.flatnonzero(may):
-            linked[i] = near.threshold.links(sizes[one], sizes[rest[i]], common(sets[one], sets[rest[i]]))
-        members = np.r_[one, rest[linked]]
-        root[members] = nodes[members].min()
-        left = rest[~linked]
-    return pd.DataFrame({"node": nodes, "root": root})
-
-
-def stars_of_task(near: Near, task: pd.DataFrame) -> pd.DataFrame:
-    return pd.concat([star(near, g) for _, g in task.groupby(["anchor", "part"])], ignore_index=True)
-
-
-def part_pairs(near: Near, rows: pd.DataFrame) -> np.ndarray:
-    """Pairs of different groups that may be linked, between two parts of a block (or in one)."""
-
-    def tree(own: pd.DataFrame) -> tuple[Tree, np.ndarray]:
-        own = own.sort_values(["n", "signature"])
-        bitmaps = np.stack([np.frombuffer(x, np.uint64) for x in own["signature"]])
-        return Tree(bitmaps, own["n"].to_numpy(), own["root"].to_numpy()), own["node"].to_numpy()
-
-    first = rows["first"].to_numpy()
-    if first.all():
-        own, nodes = tree(rows)
-        found = [np.stack([nodes[x], nodes[y]]) for x, y in pairs(own, None, near.threshold)]
-    elif first.any():
-        (a, nodes), (b, others) = tree(rows[first]), tree(rows[~first])
-        found = [np.stack([nodes[x], others[y]]) for x, y in pairs(a, b, near.threshold)]
-    else:
-        found = []
-    return np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
-
-
-def search_blocks(near: Near, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs from the parts of blocks in one partition, whose rows come sorted by block and parts."""
+    def may(self, i: int, near: Near) -> np.ndarray:
+        """Rows that may be linked with row ``i``."""
+        most = np.bitwise_count(self.bitmaps & self.bitmaps[i]).sum(1).astype(np.int64)
+        most += np.minimum(self.hidden, self.hidden[i])
+        return enough(most, self.n, self.n[i], self.n, self.n[i], near.threshold)
+
+
+def stacked(signatures: pd.Series, n: np.ndarray) -> np.ndarray:
+    """Signatures of one width in rows."""
+    wide = n > NARROW
+    if wide.all() or not wide.any():
+        return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(n), -1)
+    out = np.empty((len(n), NARROW // 64), np.uint64)
+    own = signatures.to_numpy()
+    out[~wide] = np.frombuffer(b"".join(own[~wide]), np.uint64).reshape(-1, NARROW // 64)
+    out[wide] = folded(np.frombuffer(b"".join(own[wide]), np.uint64).reshape(-1, WIDE // 64))
+    return out
+
+
+def by_width(rows: pd.DataFrame, near: Near) -> list[pd.DataFrame]:
+    """Rows with narrow signatures and those that fit them in size, and rows with wide ones."""
+    n, t = rows["n"], near.threshold
+    wide = n > NARROW
+    if not wide.any() or wide.all():
+        return [rows]
+    return [rows[~wide | (n * t.part <= NARROW * t.over)], rows[wide]]
+
+
+def rays(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
+    """Stars of a large block: pairs of a centre and a node that may be linked with it.
+
+    A node without a star that may be linked with some node is paired with itself, so that its set is read.
+    """
+    for own in by_width(rows, near):
+        block = Block(own)
+        left = np.ones(len(block.n), bool)
+        for i in range(len(block.n)):
+            if not left[i]:
+                continue
+            may = block.may(i, near)
+            may[i] = False
+            ends = np.flatnonzero(may & left)
+            left[ends] = left[i] = False
+            if len(ends):
+                yield np.stack([np.full(len(ends), block.node[i]), block.node[ends]])
+            elif may.any():
+                yield np.array([[block.node[i]], [block.node[i]]])
+
+
+def small_pairs(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
+    """All pairs that signatures allow in small blocks, which follow each other in ``rows``, by size within a block."""
+    for own in by_width(rows, near):
+        h, n, node = own["h"].to_numpy(), own["n"].to_numpy(), own["node"].to_numpy()
+        if len(n) < 2:
+            continue
+        bitmaps = stacked(own["signature"], n)
+        hidden = n - np.bitwise_count(bitmaps).sum(1).astype(np.int64)
+        for d in range(1, near.small):
+            i = np.flatnonzero(h[d:] == h[:-d])
+            if not len(i):
+                break
+            most = np.bitwise_count(bitmaps[i] & bitmaps[i + d]).sum(1) + np.minimum(hidden[i], hidden[i + d])
+            i = i[enough(most, n[i], n[i + d], n[i], n[i + d], near.threshold)]
+            yield np.stack([node[i], node[i + d]])
+
+
+def tree_pairs(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
+    """Pairs of different groups that may be linked, between two parts of a block or in one."""
+    for own in by_width(rows, near):
+        first = own["first"].to_numpy()
+        parts = [Block(own[side]) for side in ((first, ~first) if not first.all() else (first,)) if side.any()]
+        if len(parts) < 2 and not first.all():
+            continue
+        trees = [Tree(b.bitmaps, b.n, b.root) for b in parts]
+        if len(trees) == 2 and trees[0].levels[0][0].shape[1] != trees[1].levels[0][0].shape[1]:
+            trees = [Tree(folded(b.bitmaps) if b.bitmaps.shape[1] > NARROW // 64 else b.bitmaps, b.n, b.root) for b in parts]
+        for x, y in pairs(trees[0], trees[1] if len(trees) == 2 else None, near.threshold):
+            yield np.stack([parts[0].node[x], parts[-1].node[y]])
+
+
+def list_pairs(near: Near, exact: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) from the blocks of one partition, whose rows come sorted by block and parts."""
     key, held = ["h", "p", "q"], None
     for batch in batches:
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         last = (held[key] == held[key].iloc[-1]).all(axis=1)
         done, held = held[~last], held[last]
-        yield from found_pairs(near, done)
+        yield from listed(near, exact, done)
     if held is not None:
-        yield from found_pairs(near, held)
+        yield from listed(near, exact, held)
 
 
-def found_pairs(near: Near, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    out = [part_pairs(near, g) for _, g in rows.groupby(["h", "p", "q"], sort=False)]
-    if out and (found := np.concatenate(out, 1)).size:
-        yield pd.DataFrame({"a": found.min(0), "b": found.max(0)}).drop_duplicates()
+def listed(near: Near, exact: bool, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    small = rows["size"] <= near.small
+    found = [] if exact else list(small_pairs(rows[small].sort_values(["h", "n", "node"]), near))
+    for _, block in rows[~small].groupby(["h", "p", "q"], sort=False):
+        found += tree_pairs(block, near) if exact else rays(block, near)
+    if found and (all_ := np.concatenate(found, 1)).size:
+        yield pd.DataFrame({"a": all_.min(0), "b": all_.max(0)}).drop_duplicates()
 
 
 def verified(near: Near, listed: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -212,11 +254,14 @@ def components(
     rows = described(docs, id_col, text_col, near)
     nodes = stage(node_table(rows), "nodes")
     shared = stage(shared_postings(nodes, near), "shared")
-    sets = stage(needed_sets(docs, id_col, text_col, nodes, shared, near), "sets")
-    placed = stage(anchors(shared, near), "anchors")
-    roots = near_copies(placed, sets, near)
-    links = exact_links(shared, nodes, sets, placed, roots, near)
-    return labelled(rows, nodes, connected(roots, links)).withColumnRenamed("_id", id_col)
+    listed = stage(block_pairs(shared, nodes, None, near), "listed")
+    needed = listed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stage(needed_sets(docs, id_col, text_col, nodes, needed, near), "sets")
+    roots = connected(needed, verified_links(listed.filter("a <> b"), sets, near))
+    more = stage(block_pairs(shared, nodes, roots, near), "more")
+    more = more.join(listed, ["a", "b"], "left_anti")
+    roots = connected(needed, verified_links(more, sets, near), roots)
+    return labelled(rows, nodes, roots).withColumnRenamed("_id", id_col)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, near: Near) -> DataFrame:
@@ -250,116 +295,100 @@ def shared_postings(nodes: DataFrame, near: Near) -> DataFrame:
     return postings.withColumn("_fits", fits).filter("_fits").drop("_fits")
 
 
-def needed_sets(
-    docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shared: DataFrame, near: Near
-) -> DataFrame:
-    """(node, n, elements) of the nodes that share something; their holders' texts are read again."""
-    holders = nodes.select("node", "n", "_id", "_text").join(shared.select("node").distinct(), "node", "left_semi")
-    texts = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_whole"))
-    found = texts.join(holders, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")))
-    return found.select("node", "n", value_udf(sets_of, "binary", near)("_whole").alias("elements"))
-
-
-def anchors(shared: DataFrame, near: Near) -> DataFrame:
-    """(node, n, anchors, tile): a node's first shared shingles, and the part of its anchor's block."""
-    own = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("_all"))
-    own = own.select("node", "n", F.slice("_all.h", 1, near.rounds).alias("anchors")).withColumn("_h", F.col("anchors")[0])
-    load = own.groupBy("_h").agg(F.sum("n").alias("_load"))
-    part = spread("node", F.col("_load"), near.task)
-    return own.join(load, "_h").select("node", "n", "anchors", F.xxhash64("_h", part).alias("tile"))
+def block_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame | None, near: Near) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that may be linked: those of step 3, or with ``roots`` those of step 5."""
+    rows, kept = shared.select("h", "node", "n"), F.lit(True)
+    sizes = [F.count("*").alias("size")]
+    if roots is not None:
+        # A node that no list held may be linked with none, so blocks are searched without it.
+        rows, kept = rows.join(roots, "node"), (F.col("_a") < F.col("_b")) & (F.col("size") > near.small)
+        sizes += [F.min("root").alias("_a"), F.max("root").alias("_b")]
+    blocks = rows.groupBy("h").agg(*sizes).filter(kept)
+    parts = F.ceil(F.col("size") / F.lit(near.part)).cast("int")
+    rows = rows.join(blocks.select("h", F.col("size").cast("int"), parts.alias("parts")), "h")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
+    # Every two parts meet; a part alone only where there is no other, as pairs of parts hold its own pairs as well.
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
+    with_ = F.explode(F.transform(others, lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q"))))
+    if roots is not None:  # the traversal takes a part with itself as a task of its own
+        alone = F.struct(F.col("part").alias("p"), F.col("part").alias("q"))
+        with_ = F.explode(F.array_union(F.transform(others, lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q"))), F.array(alone)))
+    dealt = rows.select("*", with_.alias("_with")).withColumn("first", F.col("part") == F.col("_with.p"))
+    kept_columns = ["h", "_with.p", "_with.q", "node", "n", "size", "first", *(["root"] if roots is not None else [])]
+    dealt = dealt.select(*kept_columns).join(nodes.select("node", "signature"), "node").repartition("h", "p", "q")
+    exact = roots is not None
+    ship()
 
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return list_pairs(near, exact, batches)
 
-def task_number(rows: DataFrame, key: list[str], volume: Column, near: Near) -> DataFrame:
-    """``rows`` with the number of the task that takes each key: as many as the volume needs."""
-    total = rows.agg(F.sum(volume)).first()[0] or 0
-    return rows.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(max(1, -(-int(total) // near.task)))))
+    return dealt.sortWithinPartitions("h", "p", "q").mapInPandas(search, "a long, b long").distinct()
 
 
-def near_copies(placed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """(node, root): nodes that a chain of links joins to their root, found by a few rounds of stars.
+def needed_sets(
+    docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, needed: DataFrame, near: Near
+) -> DataFrame:
+    """(node, n, elements) of the needed nodes, from their holders' texts, which are read again.
 
-    Each round compares only the roots of the one before, by another shared shingle, so the
-    parts of a large group of copies meet in the next. What the rounds miss is left to the exact search.
+    A bitmap of fixed size over hashes of the needed texts keeps most others out of the shuffle.
     """
-    ship()
-
-    def compare(task: pd.DataFrame) -> pd.DataFrame:
-        return stars_of_task(near, task)
-
-    roots = placed.select("node", F.col("node").alias("root"))
-    for i in range(near.rounds):
-        open_ = placed.join(roots.filter("node = root").select("node"), "node", "left_semi")
-        own = open_.select("node", "n", F.coalesce(F.get("anchors", F.lit(i)), F.element_at("anchors", -1)).alias("anchor"))
-        load = own.groupBy("anchor").agg(F.sum("n").alias("_load"), F.count("*").alias("_nodes"))
-        own = own.join(load.filter("_nodes > 1"), "anchor")
-        own = own.withColumn("part", spread("node", F.col("_load"), near.task)).select("node", "anchor", "part", "n")
-        tasks = task_number(own, ["anchor", "part"], F.col("n"), near).drop("n").join(sets, "node")
-        found = stage(tasks.groupBy("task").applyInPandas(compare, "node long, root long"), "stars")
-        merged = found.filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_to"))
-        # A node that had its text read twice (repeated rows) may appear twice.
-        merged = merged.groupBy("root").agg(F.min("_to").alias("_to"))
-        roots = stage(roots.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "roots")
-    return roots
-
-
-def exact_links(
-    shared: DataFrame, nodes: DataFrame, sets: DataFrame, placed: DataFrame, roots: DataFrame, near: Near
-) -> DataFrame:
-    """(a, b): links that connect groups of ``roots``, from all blocks that hold more than one group."""
-    rooted = shared.select("h", "node", "n").join(roots, "node")
-    live = rooted.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_size"))
-    live = live.filter("_a < _b").withColumn("parts", F.ceil(F.col("_size") / near.part).cast("int"))
-    rows = rooted.join(live.select("h", "parts"), "h")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q")),
-    )
-    dealt = rows.select("h", "node", "n", "root", "part", F.explode(others).alias("_with"))
-    dealt = dealt.select("h", "_with.p", "_with.q", "node", "n", "root", (F.col("part") == F.col("_with.p")).alias("first"))
-    dealt = dealt.join(nodes.select("node", "signature"), "node").repartition("h", "p", "q")
-    ship()
+    holders = nodes.select("node", "n", "_id", "_text").join(needed, "node", "left_semi")
+    texts = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_whole"))
+    texts = maybe_among(texts, "_hash", holders, "_text")
+    found = texts.join(holders, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")))
+    own = found.select("node", "n", value_udf(sets_of, "binary", near)("_whole").alias("elements"))
+    return own.dropDuplicates(["node"])  # repeated rows
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return search_blocks(near, batches)
 
-    listed = dealt.sortWithinPartitions("h", "p", "q").mapInPandas(search, "a long, b long").distinct()
-    return verified_links(stage(listed, "pairs"), sets, placed, near)
+def maybe_among(rows: DataFrame, key: str, among: DataFrame, other: str, bits: int = 1 << 25) -> DataFrame:
+    """Rows whose hash ``key`` may be among the hashes ``other``: a broadcast bitmap of ``bits`` bits says no to the rest."""
+    number = lambda c: F.pmod(F.col(c), F.lit(bits))
+    maps = among.select(number(other).alias("_bit"))
+    maps = maps.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_map")
+    )  # at most bits / 32768 rows of 4 KiB
+    at = F.bitmap_bit_position("_number")
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    numbered = rows.withColumn("_number", number(key)).withColumn("_bucket", F.bitmap_bucket_number("_number"))
+    joined = numbered.join(F.broadcast(maps), "_bucket")
+    return joined.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def verified_links(listed: DataFrame, sets: DataFrame, placed: DataFrame, near: Near) -> DataFrame:
+def verified_links(listed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Those listed pairs that are linked, but for some that other links connect anyway.
 
-    Pairs are compared in tiles of nodes with one anchor, so the many pairs of a dense group need each set once
-    per pair of tiles.
+    Pairs are dealt by the least node beside their first one, which brings the pairs of a dense group together;
+    many pairs of one such node go to several tasks. A task gets each set once.
     """
-    tiles = placed.select("node", "tile")
-    tiled = listed.join(tiles.withColumnsRenamed({"node": "a", "tile": "ta"}), "a")
-    tiled = tiled.join(tiles.withColumnsRenamed({"node": "b", "tile": "tb"}), "b")
-    tiled = stage(tiled.select("a", "b", F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")).alias("tiles")), "tiled")
-    wanted = tiled.select("tiles", F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = wanted.join(placed.select("node", "n"), "node")
+    least = listed.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("_least"))
+    keyed = listed.join(least, "a", "left").select("a", "b", F.coalesce("_least", "a").alias("_key"))
+    load = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("b", F.lit("rays")), F.ceil(F.col("_n") / F.lit(near.rays)))
+    keyed = stage(keyed.join(load, "_key").select("a", "b", F.xxhash64("_key", part).alias("_key")), "keyed")
+    wanted = keyed.select("_key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stage(wanted.join(sets.select("node", "n"), "node"), "wanted")
     tasks = max(1, -(-int(wanted.agg(F.sum("n")).first()[0] or 0) // near.task))
-    number = F.pmod(F.xxhash64("tiles"), F.lit(tasks)).alias("task")
-    elements = wanted.select("node", number).distinct().join(sets.dropDuplicates(["node"]).select("node", "elements"), "node")
+    number = F.pmod(F.xxhash64("_key"), F.lit(tasks)).alias("task")
+    elements = wanted.select("node", number).distinct().join(sets.select("node", "elements"), "node")
 
     def verify(listed: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         return verified(near, listed, sets)
 
     ship()
-    grouped = tiled.select("a", "b", number).groupBy("task").cogroup(elements.groupBy("task"))
+    grouped = keyed.select("a", "b", number).groupBy("task").cogroup(elements.groupBy("task"))
     return stage(grouped.applyInPandas(verify, "a long, b long"), "verified")
 
 
-def connected(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) with the groups joined by the links between their members."""
+def connected(nodes: DataFrame, links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all ``nodes``: groups of ``roots`` (at first each node alone) joined by the links."""
+    roots = nodes.select("node", F.col("node").alias("root")) if roots is None else roots
     to = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
     edges = links.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     edges = stage(edges.filter("a <> b").distinct(), "edges")
     if edges.isEmpty():
-        return roots
+        return stage(roots, "roots")
     reached = smallest_reachable(edges).select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    return roots.join(reached, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return stage(roots.join(reached, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "roots")
 
 
 def labelled(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:

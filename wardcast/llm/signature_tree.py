@@ -15,8 +15,8 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
-BITS = 2048
-WORDS = BITS // 64
+#: Bits of signatures of sets of up to NARROW shingles, and of larger ones; the wide fold into the narrow.
+NARROW, WIDE = 512, 2048
 FANOUT = 8
 #: Node pairs that are expanded at once.
 FRONT = 16_384
@@ -135,11 +135,17 @@ def shingle_sets(texts: Iterable[str | None], size: int) -> Iterator[np.ndarray]
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(found % np.uint64(BITS)).astype(np.int64)] = 1
+    width = NARROW if len(found) <= NARROW else WIDE
+    bits = np.zeros(width, np.uint8)
+    bits[(found % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def folded(wide: np.ndarray) -> np.ndarray:
+    """Wide signatures (in rows) as narrow ones."""
+    return np.bitwise_or.reduce(wide.reshape(len(wide), WIDE // NARROW, NARROW // 64), axis=1)
+
+
 class Tree:
     """Signatures in rows, and their nodes level by level; equal ``group`` numbers need no pair."""
 
@@ -157,16 +163,21 @@ class Tree:
             )
 
 
+def enough(most, low_a, low_b, high_a, high_b, threshold: Threshold) -> np.ndarray:
+    """Whether sets of sizes from low to high that share ``most`` shingles at most can be linked."""
+    part, over = threshold.part, threshold.over
+    most = np.minimum(most, np.minimum(high_a, high_b))
+    sizes = (over * high_a >= part * low_b) & (over * high_b >= part * low_a)
+    return sizes & ((part + over) * most >= part * (low_a + low_b))
+
+
 def may_link(level_x, x: np.ndarray, level_y, y: np.ndarray, threshold: Threshold) -> np.ndarray:
     """Which pairs of nodes can hold a pair of sets of different groups with enough overlap."""
     bx, lowx, highx, hidx, fx, lx = (v[x] for v in level_x)
     by, lowy, highy, hidy, fy, ly = (v[y] for v in level_y)
-    most = np.minimum(np.bitwise_count(bx & by).sum(1).astype(np.int64) + np.minimum(hidx, hidy), np.minimum(highx, highy))
-    part, over = threshold.part, threshold.over
-    enough = (part + over) * most >= part * (lowx + lowy)
-    sizes = (over * highx >= part * lowy) & (over * highy >= part * lowx)
+    most = np.bitwise_count(bx & by).sum(1).astype(np.int64) + np.minimum(hidx, hidy)
     one_group = (fx == lx) & (fy == ly) & (fx == fy)
-    return enough & sizes & ~one_group
+    return enough(most, lowx, lowy, highx, highy, threshold) & ~one_group
 
 
 def children(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
