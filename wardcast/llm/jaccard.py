@@ -5,11 +5,13 @@
 2. Each document becomes the digest of its set, a signature and a prefix: two linked sets share a shingle
    of their prefixes. Equal sets are one node from here on.
 3. Nodes that share a prefix shingle, and have one of a fitting size beside them, form blocks. Of
-   small blocks all pairs that the signatures allow are listed. In large ones a star is drawn around each node
-   that is in none yet; only its rays are listed.
-4. Listed pairs are compared by their sets, which are read again for these nodes alone.
+   small blocks all pairs that the signatures allow are listed. The sets of these nodes, and of those in
+   large blocks, are read again; no others are.
+4. Nodes of large blocks meet once, by the first such block each is in, in tasks of bounded size. There a
+   star is drawn around each set that is in none yet, and its centre is compared with all others.
 5. Large blocks that still hold several groups are searched exactly: a signature tree over each part, a dual
-   traversal of every two parts, and only pairs of different groups come out, to be compared as well.
+   traversal of every two parts, and only pairs of different groups come out that were not compared
+   before. Listed pairs are then compared by their sets.
 
 Large blocks are cut into parts of bounded size, and every pair of parts is a task of its own; nothing is
 capped, and no link is lost: pairs within a group need none to give the same components.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from wardcast.llm.components import smallest_reachable
 from wardcast.llm.shared import Sent, fields_udf, ship, stage, value_udf
 from wardcast.llm.signature_tree import (
-    NARROW, WIDE, Groups, Threshold, Tree, common, enough, folded, pairs, shingle_sets, signature,
+    Groups, Threshold, Tree, Widths, common, enough, pairs, shingle_sets,
 )
 
 
@@ -50,6 +52,9 @@ class Near:
     #: Shingles in a task that compares sets, and pairs of one node there.
     task: int = 2_000_000
     rays: int = 256
+    #: Signatures of all documents, and of those in large blocks.
+    coarse: Widths = Widths(512, 512, 2048)
+    fine: Widths = Widths(1024, 4096, 16_384)
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, near: Near) -> dict[str, np.ndarray]:
@@ -104,7 +109,7 @@ def describe(frequent: Sent, near: Near, texts: pd.Series) -> pd.DataFrame:
         n = len(found)
         first = ordered_prefix(found, near.threshold.prefix(n), order).view(np.int64)
         digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None
-        rows.append((n, digest, signature(found).tobytes() if n else None, first))
+        rows.append((n, digest, near.coarse.signature(found).tobytes() if n else None, first))
     return pd.DataFrame(rows, columns=["n_shingles", "digest", "signature", "prefix"])
 
 
@@ -116,72 +121,34 @@ def as_sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in column]
 
 
-class Block:
-    """Rows of a block with their signatures: narrow ones if a narrow signature is among them."""
-
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["n", "node"])
-        self.node, self.n = rows["node"].to_numpy(), rows["n"].to_numpy()
-        self.root = rows["root"].to_numpy() if "root" in rows else self.node
-        self.bitmaps = stacked(rows["signature"], self.n)
-        self.hidden = self.n - np.bitwise_count(self.bitmaps).sum(1).astype(np.int64)
-
-    def may(self, i: int, near: Near) -> np.ndarray:
-        """Rows that may be linked with row ``i``."""
-        most = np.bitwise_count(self.bitmaps & self.bitmaps[i]).sum(1).astype(np.int64)
-        most += np.minimum(self.hidden, self.hidden[i])
-        return enough(most, self.n, self.n[i], self.n, self.n[i], near.threshold)
-
-
-def stacked(signatures: pd.Series, n: np.ndarray) -> np.ndarray:
-    """Signatures of one width in rows."""
-    wide = n > NARROW
-    if wide.all() or not wide.any():
-        return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(n), -1)
-    out = np.empty((len(n), NARROW // 64), np.uint64)
-    own = signatures.to_numpy()
-    out[~wide] = np.frombuffer(b"".join(own[~wide]), np.uint64).reshape(-1, NARROW // 64)
-    out[wide] = folded(np.frombuffer(b"".join(own[wide]), np.uint64).reshape(-1, WIDE // 64))
-    return out
-
-
-def by_width(rows: pd.DataFrame, near: Near) -> list[pd.DataFrame]:
+def by_width(rows: pd.DataFrame, widths: Widths, near: Near) -> list[pd.DataFrame]:
     """Rows with narrow signatures and those that fit them in size, and rows with wide ones."""
     n, t = rows["n"], near.threshold
-    wide = n > NARROW
+    wide = n > widths.limit
     if not wide.any() or wide.all():
         return [rows]
-    return [rows[~wide | (n * t.part <= NARROW * t.over)], rows[wide]]
+    return [rows[~wide | (n * t.part <= widths.limit * t.over)], rows[wide]]
 
 
-def rays(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
-    """Stars of a large block: pairs of a centre and a node that may be linked with it.
+def small_pairs(near: Near, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs (a, b) that signatures allow in small blocks; rows come sorted by block and size."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        last = held["h"] == held["h"].iloc[-1]
+        done, held = held[~last], held[last]
+        yield from pairs_by_distance(near, done)
+    if held is not None:
+        yield from pairs_by_distance(near, held)
 
-    A node without a star that may be linked with some node is paired with itself, so that its set is read.
-    """
-    for own in by_width(rows, near):
-        block = Block(own)
-        left = np.ones(len(block.n), bool)
-        for i in range(len(block.n)):
-            if not left[i]:
-                continue
-            may = block.may(i, near)
-            may[i] = False
-            ends = np.flatnonzero(may & left)
-            left[ends] = left[i] = False
-            if len(ends):
-                yield np.stack([np.full(len(ends), block.node[i]), block.node[ends]])
-            elif may.any():
-                yield np.array([[block.node[i]], [block.node[i]]])
-
-
-def small_pairs(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
-    """All pairs that signatures allow in small blocks, which follow each other in ``rows``, by size within a block."""
-    for own in by_width(rows, near):
+
+def pairs_by_distance(near: Near, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    found = []
+    for own in by_width(rows, near.coarse, near):
         h, n, node = own["h"].to_numpy(), own["n"].to_numpy(), own["node"].to_numpy()
         if len(n) < 2:
             continue
-        bitmaps = stacked(own["signature"], n)
+        bitmaps = near.coarse.stacked(list(own["signature"]), n)
         hidden = n - np.bitwise_count(bitmaps).sum(1).astype(np.int64)
         for d in range(1, near.small):
             i = np.flatnonzero(h[d:] == h[:-d])
@@ -189,40 +156,85 @@ def small_pairs(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
                 break
             most = np.bitwise_count(bitmaps[i] & bitmaps[i + d]).sum(1) + np.minimum(hidden[i], hidden[i + d])
             i = i[enough(most, n[i], n[i + d], n[i], n[i + d], near.threshold)]
-            yield np.stack([node[i], node[i + d]])
+            found.append(np.stack([node[i], node[i + d]]))
+    if found and (all_ := np.concatenate(found, 1)).size:
+        yield pd.DataFrame({"a": all_.min(0), "b": all_.max(0)}).drop_duplicates()
+
+
+def stars(near: Near, task: pd.DataFrame) -> pd.DataFrame:
+    """(node, root, tile, centre) of the sets of one task; tiles are compared apart from each other."""
+    return pd.concat([star(near, g) for _, g in task.groupby("tile")], ignore_index=True)
+
+
+def star(near: Near, rows: pd.DataFrame) -> pd.DataFrame:
+    """Every centre is compared with all sets that no link joins it with yet."""
+    rows = rows.sort_values(["n", "node"], ignore_index=True)
+    n, sets = rows["n"].to_numpy(), as_sets(rows["elements"])
+    groups, left, centre = Groups(len(n)), np.ones(len(n), bool), np.zeros(len(n), bool)
+    bitmaps = near.fine.stacked([near.fine.signature(s).tobytes() for s in sets], n)
+    hidden = n - np.bitwise_count(bitmaps).sum(1).astype(np.int64)
+    for i in range(len(n)):
+        if not left[i]:
+            continue
+        centre[i], left[i] = True, False
+        most = np.bitwise_count(bitmaps & bitmaps[i]).sum(1).astype(np.int64) + np.minimum(hidden, hidden[i])
+        may = enough(most, n, n[i], n, n[i], near.threshold)
+        may[i] = False
+        # Sets in no star first: those outside need no comparison once their star has joined.
+        for j in sorted(np.flatnonzero(may), key=lambda j: not left[j]):
+            if groups.find(i) != groups.find(j) and near.threshold.links(n[i], n[j], common(sets[i], sets[j])):
+                groups.join(i, j)
+                left[j] = False
+    root = rows["node"].to_numpy()[[groups.find(i) for i in range(len(n))]]
+    return pd.DataFrame({"node": rows["node"], "root": root, "tile": rows["tile"], "centre": centre})
+
+
+class Part:
+    """Rows of a part of a block, and the tree over their signatures."""
+
+    def __init__(self, rows: pd.DataFrame, near: Near):
+        rows = rows.sort_values(["n", "node"])
+        self.node, self.n, self.root, self.tile, self.centre = (
+            rows[c].to_numpy() for c in ("node", "n", "root", "tile", "centre")
+        )
+        self.bitmaps = near.fine.stacked(list(rows["signature"]), self.n)
+
+    def tree(self, near: Near, narrow: bool) -> Tree:
+        return Tree(near.fine.narrowed(self.bitmaps) if narrow else self.bitmaps, self.n, self.root)
 
 
 def tree_pairs(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
-    """Pairs of different groups that may be linked, between two parts of a block or in one."""
-    for own in by_width(rows, near):
+    """Pairs of different groups that may be linked and were not compared, between two parts of a block or in one."""
+    for own in by_width(rows, near.fine, near):
         first = own["first"].to_numpy()
-        parts = [Block(own[side]) for side in ((first, ~first) if not first.all() else (first,)) if side.any()]
-        if len(parts) < 2 and not first.all():
+        if own["p"].iloc[0] == own["q"].iloc[0]:
+            parts = [Part(own, near)]
+        elif first.any() and not first.all():
+            parts = [Part(own[first], near), Part(own[~first], near)]
+        else:
             continue
-        trees = [Tree(b.bitmaps, b.n, b.root) for b in parts]
-        if len(trees) == 2 and trees[0].levels[0][0].shape[1] != trees[1].levels[0][0].shape[1]:
-            trees = [Tree(folded(b.bitmaps) if b.bitmaps.shape[1] > NARROW // 64 else b.bitmaps, b.n, b.root) for b in parts]
-        for x, y in pairs(trees[0], trees[1] if len(trees) == 2 else None, near.threshold):
-            yield np.stack([parts[0].node[x], parts[-1].node[y]])
+        narrow = len({p.bitmaps.shape[1] for p in parts}) > 1
+        trees = [p.tree(near, narrow) for p in parts]
+        a, b = parts[0], parts[-1]
+        for x, y in pairs(trees[0], trees[1] if len(trees) > 1 else None, near.threshold):
+            new = ~((a.tile[x] == b.tile[y]) & (a.centre[x] | b.centre[y]))
+            yield np.stack([a.node[x[new]], b.node[y[new]]])
 
 
-def list_pairs(near: Near, exact: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def large_pairs(near: Near, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (a, b) from the blocks of one partition, whose rows come sorted by block and parts."""
     key, held = ["h", "p", "q"], None
     for batch in batches:
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         last = (held[key] == held[key].iloc[-1]).all(axis=1)
         done, held = held[~last], held[last]
-        yield from listed(near, exact, done)
+        yield from pairs_of_blocks(near, done)
     if held is not None:
-        yield from listed(near, exact, held)
+        yield from pairs_of_blocks(near, held)
 
 
-def listed(near: Near, exact: bool, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    small = rows["size"] <= near.small
-    found = [] if exact else list(small_pairs(rows[small].sort_values(["h", "n", "node"]), near))
-    for _, block in rows[~small].groupby(["h", "p", "q"], sort=False):
-        found += tree_pairs(block, near) if exact else rays(block, near)
+def pairs_of_blocks(near: Near, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    found = [p for _, block in rows.groupby(["h", "p", "q"], sort=False) for p in tree_pairs(block, near)]
     if found and (all_ := np.concatenate(found, 1)).size:
         yield pd.DataFrame({"a": all_.min(0), "b": all_.max(0)}).drop_duplicates()
 
@@ -254,13 +266,16 @@ def components(
     rows = described(docs, id_col, text_col, near)
     nodes = stage(node_table(rows), "nodes")
     shared = stage(shared_postings(nodes, near), "shared")
-    listed = stage(block_pairs(shared, nodes, None, near), "listed")
-    needed = listed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    large = shared.filter(F.col("size") > near.small)
+    listed = stage(pairs_in_small(shared.filter(F.col("size") <= near.small), nodes, near), "listed")
+    placed = stage(large.groupBy("node", "n").agg(F.min_by("h", "place").alias("anchor")), "placed")
+    needed = listed.select(F.explode(F.array("a", "b")).alias("node")).union(placed.select("node")).distinct()
+    needed = stage(needed, "needed")
     sets = stage(needed_sets(docs, id_col, text_col, nodes, needed, near), "sets")
-    roots = connected(needed, verified_links(listed.filter("a <> b"), sets, near))
-    more = stage(block_pairs(shared, nodes, roots, near), "more")
-    more = more.join(listed, ["a", "b"], "left_anti")
-    roots = connected(needed, verified_links(more, sets, near), roots)
+    drawn = stars_of_blocks(placed, sets, near)
+    links = drawn.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified_links(listed, sets, near))
+    roots = connected(needed, links)
+    roots = connected(needed, verified_links(pairs_in_large(large, drawn, roots, near), sets, near), roots)
     return labelled(rows, nodes, roots).withColumnRenamed("_id", id_col)
 
 
@@ -282,7 +297,7 @@ def node_table(rows: DataFrame) -> DataFrame:
 
 
 def shared_postings(nodes: DataFrame, near: Near) -> DataFrame:
-    """(h, node, n, place) of prefix shingles that another node of a fitting size has as well.
+    """(h, node, n, place, size of the block) of prefix shingles that another node of a fitting size has as well.
 
     In a block in order of size, a node fits any other if it fits the one before or after it. One
     exchange of numbers; a block's rows stream through a sort that spills.
@@ -292,37 +307,72 @@ def shared_postings(nodes: DataFrame, near: Near) -> DataFrame:
     by_size = Window.partitionBy("h").orderBy("n", "node")
     n, before, after = F.col("n"), F.lag("n").over(by_size), F.lead("n").over(by_size)
     fits = F.coalesce(over * before >= part * n, F.lit(False)) | F.coalesce(over * n >= part * after, F.lit(False))
-    return postings.withColumn("_fits", fits).filter("_fits").drop("_fits")
-
-
-def block_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame | None, near: Near) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that may be linked: those of step 3, or with ``roots`` those of step 5."""
-    rows, kept = shared.select("h", "node", "n"), F.lit(True)
-    sizes = [F.count("*").alias("size")]
-    if roots is not None:
-        # A node that no list held may be linked with none, so blocks are searched without it.
-        rows, kept = rows.join(roots, "node"), (F.col("_a") < F.col("_b")) & (F.col("size") > near.small)
-        sizes += [F.min("root").alias("_a"), F.max("root").alias("_b")]
-    blocks = rows.groupBy("h").agg(*sizes).filter(kept)
-    parts = F.ceil(F.col("size") / F.lit(near.part)).cast("int")
-    rows = rows.join(blocks.select("h", F.col("size").cast("int"), parts.alias("parts")), "h")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
-    # Every two parts meet; a part alone only where there is no other, as pairs of parts hold its own pairs as well.
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
-    with_ = F.explode(F.transform(others, lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q"))))
-    if roots is not None:  # the traversal takes a part with itself as a task of its own
-        alone = F.struct(F.col("part").alias("p"), F.col("part").alias("q"))
-        with_ = F.explode(F.array_union(F.transform(others, lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q"))), F.array(alone)))
-    dealt = rows.select("*", with_.alias("_with")).withColumn("first", F.col("part") == F.col("_with.p"))
-    kept_columns = ["h", "_with.p", "_with.q", "node", "n", "size", "first", *(["root"] if roots is not None else [])]
-    dealt = dealt.select(*kept_columns).join(nodes.select("node", "signature"), "node").repartition("h", "p", "q")
-    exact = roots is not None
+    found = postings.withColumn("_fits", fits).filter("_fits").drop("_fits")
+    return found.join(found.groupBy("h").agg(F.count("*").alias("size")), "h")
+
+
+def pairs_in_small(small: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of small blocks that may be linked."""
+    ship()
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return small_pairs(near, batches)
+
+    rows = small.select("h", "node", "n").join(nodes.select("node", "signature"), "node").repartition("h")
+    return rows.sortWithinPartitions("h", "n", "node").mapInPandas(search, "a long, b long").distinct()
+
+
+def stars_of_blocks(placed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """(node, root, tile, centre, signature) of all nodes of large blocks.
+
+    A tile is a part of the nodes with one anchor. Where an anchor has several, the roots of its tiles meet once more.
+    """
+    ship()
+
+    def compare(task: pd.DataFrame) -> pd.DataFrame:
+        return stars(near, task)
+
+    def drawn(nodes: DataFrame, name: str) -> DataFrame:
+        load = nodes.groupBy("anchor").agg(F.sum("n").alias("_load"))
+        part = F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("_load") / F.lit(near.task)))
+        tiled = nodes.join(load, "anchor").select("node", "n", F.xxhash64("anchor", part).alias("tile"))
+        tasks = max(1, -(-int(tiled.agg(F.sum("n")).first()[0] or 0) // near.task))
+        own = tiled.withColumn("task", F.pmod(F.xxhash64("tile"), F.lit(tasks))).join(sets.drop("n"), "node")
+        return stage(own.groupBy("task").applyInPandas(compare, "node long, root long, tile long, centre boolean"), name)
+
+    first = drawn(placed, "stars")
+    split = placed.groupBy("anchor").agg(F.sum("n").alias("_load")).filter(F.col("_load") > near.task).select("anchor")
+    again = placed.join(split, "anchor", "left_semi").join(first.filter("node = root").select("node"), "node", "left_semi")
+    merged = drawn(again, "stars").select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    signatures = sets.select("node", value_udf(fine_signatures, "binary", near)("elements").alias("signature"))
+    found = first.join(merged, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
+    return stage(found.join(signatures, "node"), "drawn")
+
+
+def fine_signatures(near: Near, elements: pd.Series) -> pd.Series:
+    return pd.Series([near.fine.signature(s).tobytes() for s in as_sets(elements)], dtype=object)
+
+
+def pairs_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, near: Near) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of large blocks that may be linked, are in different groups and weren't compared."""
+    rows = large.select("h", "node", "n").join(roots, "node")
+    live = rows.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_size"))
+    live = live.filter("_a < _b").select("h", F.ceil(F.col("_size") / F.lit(near.part)).cast("int").alias("parts"))
+    rows = rows.join(live, "h").withColumn("part", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
+    meets = F.transform(  # every two parts, and each with itself
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct(F.least(o, "part").alias("p"), F.greatest(o, "part").alias("q")),
+    )
+    dealt = rows.select("h", "node", "n", "root", "part", F.explode(meets).alias("_with"))
+    first = (F.col("part") == F.col("_with.p")).alias("first")
+    dealt = dealt.select("h", "_with.p", "_with.q", "node", "n", "root", first).join(drawn.drop("root"), "node")
     ship()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return list_pairs(near, exact, batches)
+        return large_pairs(near, batches)
 
-    return dealt.sortWithinPartitions("h", "p", "q").mapInPandas(search, "a long, b long").distinct()
+    dealt = dealt.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
+    return dealt.mapInPandas(search, "a long, b long").distinct()
 
 
 def needed_sets(
@@ -360,10 +410,12 @@ def verified_links(listed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     Pairs are dealt by the least node beside their first one, which brings the pairs of a dense group together;
     many pairs of one such node go to several tasks. A task gets each set once.
     """
+    listed = stage(listed, "pairs")
     least = listed.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("_least"))
     keyed = listed.join(least, "a", "left").select("a", "b", F.coalesce("_least", "a").alias("_key"))
     load = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
     part = F.pmod(F.xxhash64("b", F.lit("rays")), F.ceil(F.col("_n") / F.lit(near.rays)))
+    # The list is written with its keys, so it is searched for once.
     keyed = stage(keyed.join(load, "_key").select("a", "b", F.xxhash64("_key", part).alias("_key")), "keyed")
     wanted = keyed.select("_key", F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stage(wanted.join(sets.select("node", "n"), "node"), "wanted")

@@ -15,8 +15,6 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
-#: Bits of signatures of sets of up to NARROW shingles, and of larger ones; the wide fold into the narrow.
-NARROW, WIDE = 512, 2048
 FANOUT = 8
 #: Node pairs that are expanded at once.
 FRONT = 16_384
@@ -134,16 +132,35 @@ def shingle_sets(texts: Iterable[str | None], size: int) -> Iterator[np.ndarray]
         yield from flush()
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    width = NARROW if len(found) <= NARROW else WIDE
-    bits = np.zeros(width, np.uint8)
-    bits[(found % np.uint64(width)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
-
-
-def folded(wide: np.ndarray) -> np.ndarray:
-    """Wide signatures (in rows) as narrow ones."""
-    return np.bitwise_or.reduce(wide.reshape(len(wide), WIDE // NARROW, NARROW // 64), axis=1)
+@dataclass(frozen=True)
+class Widths:
+    """Bits of the signatures of sets of up to ``limit`` shingles, and of larger ones; the wide fold into the narrow."""
+
+    limit: int
+    narrow: int
+    wide: int
+
+    def signature(self, found: np.ndarray) -> np.ndarray:
+        width = self.narrow if len(found) <= self.limit else self.wide
+        bits = np.zeros(width, np.uint8)
+        bits[(found % np.uint64(width)).astype(np.int64)] = 1
+        return np.packbits(bits).view(np.uint64)
+
+    def folded(self, wide: np.ndarray) -> np.ndarray:
+        """Wide signatures (in rows) as narrow ones."""
+        parts = wide.reshape(len(wide), self.wide // self.narrow, self.narrow // 64)
+        return np.bitwise_or.reduce(parts, axis=1)
+
+    def stacked(self, signatures: list[bytes], n: np.ndarray) -> np.ndarray:
+        """Signatures in rows of one width: narrow if a narrow one is among them."""
+        wide = n > self.limit
+        if wide.all() or not wide.any():
+            return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(n), -1)
+        rows = [np.frombuffer(x, np.uint64) for x in signatures]
+        return np.stack([self.folded(x[None])[0] if w else x for x, w in zip(rows, wide)])
+
+    def narrowed(self, rows: np.ndarray) -> np.ndarray:
+        return self.folded(rows) if rows.shape[1] > self.narrow // 64 else rows
 
 
 class Tree:
