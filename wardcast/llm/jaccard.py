@@ -162,16 +162,17 @@ def pairs_by_distance(near: Near, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def stars(near: Near, task: pd.DataFrame) -> pd.DataFrame:
-    """(node, root, tile, centre) of the sets of one task; tiles are compared apart from each other."""
+    """(node, root, tile, centre, signature) of the sets of one task; tiles are compared apart from each other."""
     return pd.concat([star(near, g) for _, g in task.groupby("tile")], ignore_index=True)
 
 
 def star(near: Near, rows: pd.DataFrame) -> pd.DataFrame:
     """Every centre is compared with all sets that no link joins it with yet."""
-    rows = rows.sort_values(["n", "node"], ignore_index=True)
+    rows = rows.drop_duplicates("node").sort_values(["n", "node"], ignore_index=True)  # repeated rows
     n, sets = rows["n"].to_numpy(), as_sets(rows["elements"])
     groups, left, centre = Groups(len(n)), np.ones(len(n), bool), np.zeros(len(n), bool)
-    bitmaps = near.fine.stacked([near.fine.signature(s).tobytes() for s in sets], n)
+    signatures = [near.fine.signature(s).tobytes() for s in sets]
+    bitmaps = near.fine.stacked(signatures, n)
     hidden = n - np.bitwise_count(bitmaps).sum(1).astype(np.int64)
     for i in range(len(n)):
         if not left[i]:
@@ -186,7 +187,8 @@ def star(near: Near, rows: pd.DataFrame) -> pd.DataFrame:
                 groups.join(i, j)
                 left[j] = False
     root = rows["node"].to_numpy()[[groups.find(i) for i in range(len(n))]]
-    return pd.DataFrame({"node": rows["node"], "root": root, "tile": rows["tile"], "centre": centre})
+    found = {"node": rows["node"], "root": root, "tile": rows["tile"], "centre": centre, "signature": signatures}
+    return pd.DataFrame(found)
 
 
 class Part:
@@ -268,14 +270,12 @@ def components(
     shared = stage(shared_postings(nodes, near), "shared")
     large = shared.filter(F.col("size") > near.small)
     listed = stage(pairs_in_small(shared.filter(F.col("size") <= near.small), nodes, near), "listed")
-    placed = stage(large.groupBy("node", "n").agg(F.min_by("h", "place").alias("anchor")), "placed")
-    needed = listed.select(F.explode(F.array("a", "b")).alias("node")).union(placed.select("node")).distinct()
-    needed = stage(needed, "needed")
-    sets = stage(needed_sets(docs, id_col, text_col, nodes, needed, near), "sets")
+    placed = stage(tiled(large.groupBy("node", "n").agg(F.min_by("h", "place").alias("anchor")), near), "placed")
+    sets = stage(needed_sets(docs, id_col, text_col, nodes, listed, placed, near), "sets")
     drawn = stars_of_blocks(placed, sets, near)
     links = drawn.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified_links(listed, sets, near))
-    roots = connected(needed, links)
-    roots = connected(needed, verified_links(pairs_in_large(large, drawn, roots, near), sets, near), roots)
+    roots = connected(sets.select("node").distinct(), links)
+    roots = connected(roots, verified_links(pairs_in_large(large, drawn, roots, near), sets, near), roots)
     return labelled(rows, nodes, roots).withColumnRenamed("_id", id_col)
 
 
@@ -308,7 +308,7 @@ def shared_postings(nodes: DataFrame, near: Near) -> DataFrame:
     n, before, after = F.col("n"), F.lag("n").over(by_size), F.lead("n").over(by_size)
     fits = F.coalesce(over * before >= part * n, F.lit(False)) | F.coalesce(over * n >= part * after, F.lit(False))
     found = postings.withColumn("_fits", fits).filter("_fits").drop("_fits")
-    return found.join(found.groupBy("h").agg(F.count("*").alias("size")), "h")
+    return found.withColumn("size", F.count("*").over(Window.partitionBy("h")))
 
 
 def pairs_in_small(small: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
@@ -322,35 +322,41 @@ def pairs_in_small(small: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     return rows.sortWithinPartitions("h", "n", "node").mapInPandas(search, "a long, b long").distinct()
 
 
+def tiled(nodes: DataFrame, near: Near) -> DataFrame:
+    """Nodes with a tile, a part of bounded volume of those with one anchor, and the task that compares it."""
+    load = nodes.groupBy("anchor").agg(F.sum("n").alias("_load"))
+    parts = F.ceil(F.col("_load") / F.lit(near.task))
+    tile = F.xxhash64("anchor", F.pmod(F.xxhash64("node", F.lit("part")), parts))
+    total = int(nodes.agg(F.sum("n")).first()[0] or 0)
+    task = F.pmod(F.xxhash64("tile"), F.lit(max(1, -(-total // near.task))))
+    found = nodes.join(load, "anchor").select("node", "n", "anchor", tile.alias("tile"), (parts > 1).alias("split"))
+    return found.withColumn("task", task)
+
+
 def stars_of_blocks(placed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """(node, root, tile, centre, signature) of all nodes of large blocks.
 
-    A tile is a part of the nodes with one anchor. Where an anchor has several, the roots of its tiles meet once more.
+    Where an anchor has several tiles, their roots meet once more.
     """
     ship()
 
     def compare(task: pd.DataFrame) -> pd.DataFrame:
         return stars(near, task)
 
-    def drawn(nodes: DataFrame, name: str) -> DataFrame:
-        load = nodes.groupBy("anchor").agg(F.sum("n").alias("_load"))
-        part = F.pmod(F.xxhash64("node", F.lit("part")), F.ceil(F.col("_load") / F.lit(near.task)))
-        tiled = nodes.join(load, "anchor").select("node", "n", F.xxhash64("anchor", part).alias("tile"))
-        tasks = max(1, -(-int(tiled.agg(F.sum("n")).first()[0] or 0) // near.task))
-        own = tiled.withColumn("task", F.pmod(F.xxhash64("tile"), F.lit(tasks))).join(sets.drop("n"), "node")
-        return stage(own.groupBy("task").applyInPandas(compare, "node long, root long, tile long, centre boolean"), name)
-
-    first = drawn(placed, "stars")
-    split = placed.groupBy("anchor").agg(F.sum("n").alias("_load")).filter(F.col("_load") > near.task).select("anchor")
-    again = placed.join(split, "anchor", "left_semi").join(first.filter("node = root").select("node"), "node", "left_semi")
-    merged = drawn(again, "stars").select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    signatures = sets.select("node", value_udf(fine_signatures, "binary", near)("elements").alias("signature"))
-    found = first.join(merged, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
-    return stage(found.join(signatures, "node"), "drawn")
-
+    def drawn(rows: DataFrame) -> DataFrame:
+        columns = "node long, root long, tile long, centre boolean, signature binary"
+        own = rows.select("node", "n", "elements", "tile", "task")
+        return stage(own.groupBy("task").applyInPandas(compare, columns), "stars")
 
-def fine_signatures(near: Near, elements: pd.Series) -> pd.Series:
-    return pd.Series([near.fine.signature(s).tobytes() for s in as_sets(elements)], dtype=object)
+    first = drawn(sets.filter(F.col("tile").isNotNull()))
+    again = placed.filter("split").join(first.filter("node = root").select("node"), "node", "left_semi")
+    again = stage(tiled(again.select("node", "n", "anchor"), near), "again")
+    if again.isEmpty():
+        return first
+    held = maybe_among(sets.select(F.col("node").alias("_node"), "elements"), "_node", again, "node")
+    merged = drawn(again.join(held, F.col("node") == F.col("_node")))
+    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return stage(first.join(merged, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"), "drawn")
 
 
 def pairs_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, near: Near) -> DataFrame:
@@ -376,18 +382,21 @@ def pairs_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, near: N
 
 
 def needed_sets(
-    docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, needed: DataFrame, near: Near
+    docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, listed: DataFrame, placed: DataFrame, near: Near
 ) -> DataFrame:
-    """(node, n, elements) of the needed nodes, from their holders' texts, which are read again.
+    """(node, n, elements, tile, task) of the nodes of listed pairs and of large blocks.
 
-    A bitmap of fixed size over hashes of the needed texts keeps most others out of the shuffle.
+    Their holders' texts are read again; a bitmap of fixed size over the hashes of these texts keeps most others out of
+    the shuffle. Repeated rows give a node more than once.
     """
-    holders = nodes.select("node", "n", "_id", "_text").join(needed, "node", "left_semi")
+    ends = listed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    tiles = placed.select("node", "tile", "task")
+    needed = ends.join(tiles, "node", "full")
+    holders = stage(nodes.select("node", "n", "_id", "_text").join(needed, "node"), "holders")
     texts = docs.select(F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_whole"))
     texts = maybe_among(texts, "_hash", holders, "_text")
     found = texts.join(holders, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")))
-    own = found.select("node", "n", value_udf(sets_of, "binary", near)("_whole").alias("elements"))
-    return own.dropDuplicates(["node"])  # repeated rows
+    return found.select("node", "n", value_udf(sets_of, "binary", near)("_whole").alias("elements"), "tile", "task")
 
 
 def maybe_among(rows: DataFrame, key: str, among: DataFrame, other: str, bits: int = 1 << 25) -> DataFrame:
@@ -418,10 +427,12 @@ def verified_links(listed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     # The list is written with its keys, so it is searched for once.
     keyed = stage(keyed.join(load, "_key").select("a", "b", F.xxhash64("_key", part).alias("_key")), "keyed")
     wanted = keyed.select("_key", F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stage(wanted.join(sets.select("node", "n"), "node"), "wanted")
+    wanted = stage(wanted.join(sets.select("node", "n").distinct(), "node"), "wanted")
     tasks = max(1, -(-int(wanted.agg(F.sum("n")).first()[0] or 0) // near.task))
     number = F.pmod(F.xxhash64("_key"), F.lit(tasks)).alias("task")
-    elements = wanted.select("node", number).distinct().join(sets.select("node", "elements"), "node")
+    held = maybe_among(sets.select(F.col("node").alias("_node"), "elements"), "_node", wanted, "node")
+    elements = wanted.select("node", number).distinct().join(held, F.col("node") == F.col("_node"))
+    elements = elements.select("node", "elements", "task")
 
     def verify(listed: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
         return verified(near, listed, sets)
@@ -433,7 +444,7 @@ def verified_links(listed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 
 def connected(nodes: DataFrame, links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(node, root) of all ``nodes``: groups of ``roots`` (at first each node alone) joined by the links."""
-    roots = nodes.select("node", F.col("node").alias("root")) if roots is None else roots
+    roots = stage(nodes.select("node", F.col("node").alias("root")), "alone") if roots is None else roots
     to = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
     edges = links.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     edges = stage(edges.filter("a <> b").distinct(), "edges")
