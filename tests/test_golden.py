@@ -27,7 +27,7 @@ from wardcast.functions.recode import (
     service_display_name,
     sex_label,
 )
-from wardcast.operators import compare, counts, population, prestep, quality
+from wardcast.operators import compare, counts, insights, population, prestep, quality
 from wardcast.operators.clean import tidy_contacts
 from wardcast.operators.fill import fill_down_up
 from wardcast.operators.project import project, unmatched_counts
@@ -279,6 +279,18 @@ def test_tied_largest_changes_are_all_kept(spark):
     close(rows(out, "age_group", "pct_change"), [("0", 10.0), ("1-4", 10.0)])
 
 
+def test_sums_with_a_missing_part_are_missing(spark):
+    values = {"2022_23": (100.0, 50.0, None), "2032_33": (100.0, 50.0, 10.0), "2042_43": (100.0, 50.0, 60.0)}
+    data = [(fy, age, v, 1.0) for fy, own in values.items() for age, v in zip((10, 70, 88), own)]
+    nation = mart(spark, data)
+    older = rows(compare.age_share_summary(nation).select("fin_year", "older_count").distinct())
+    assert older == [("2022_23", None), ("2032_33", 60.0), ("2042_43", 110.0)]
+    facts = insights.national_facts({"contacts": nation}).first()
+    assert facts["baseline_millions"] is None and facts["pct_change"] is None
+    assert facts["baseline_older_millions"] is None and facts["horizon_older_pct"] is not None
+    assert compare.headline(nation).filter("horizon = '2042_43'").first()["pct_change"] is None
+
+
 def test_incomplete_services_are_not_compared(spark):
     nation = mart(spark, services=both_years("X", 100.0, 120.0) + both_years("Y", 50.0, 50.0))
     region = mart(spark, services=both_years("X", 10.0, 13.0) + [("Y", "2022_23", 5.0)], region="Q1")
@@ -363,6 +375,12 @@ def test_age_at_first_contact(spark):
         CONTACTS,
     )
     assert rows(prestep.age_at_first_contact(contacts)) == [(1, 41), (2, None), (3, 9)]
+    dirty = spark.createDataFrame(
+        [contact(contact_date=dt.date(2022, 5, 1), age_int="20000"), contact(contact_date=dt.date(2022, 5, 2), age_int="40"),
+         contact(patient_id=2, contact_date=dt.date(1960, 5, 1), age_int="-7"), contact(patient_id=2, age_int="3")],
+        CONTACTS,
+    )
+    assert rows(prestep.age_at_first_contact(dirty)) == [(1, 20000), (2, -7)]
 
 
 def test_quality_exclusions(spark):

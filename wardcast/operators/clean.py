@@ -32,7 +32,7 @@ def tidy_contacts(
     baseline_fy: str = "2022/23",
     age_cap: int = 90,
     attendance_map: Mapping[str, Sequence[str]] = ATTENDANCE,
-    big_patients: Sequence | None = None,
+    big_patients: DataFrame | Sequence | None = None,
     big_patient_rows: int = BIG_KEY_ROWS,
     c: Cols = COLS,
 ) -> DataFrame:

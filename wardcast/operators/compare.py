@@ -148,7 +148,9 @@ def age_share_summary(
     rows = _by_band(rows, keys, BROAD_BANDS, [c.projected], c)
     year = Window.partitionBy(*keys)
     value = F.col(c.projected)
-    older = F.sum(F.when(F.col("age_group").isin(*OLDER_BANDS), value)).over(year)
+    is_older = F.col("age_group").isin(*OLDER_BANDS)
+    unknown = F.count(F.when(is_older & value.isNull(), F.lit(1))).over(year)
+    older = F.when(unknown == 0, F.sum(F.when(is_older, value)).over(year))
     missing = F.count(F.when(value.isNull(), F.lit(1))).over(year)
     whole = F.when(missing == 0, F.sum(value).over(year))
     rows = rows.withColumns({"_all": whole, "_older": older})

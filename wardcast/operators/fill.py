@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardcast.operators.lookup import join_lookup
+from wardcast.operators.skew import known_keys, with_big
+from wardcast.sources.marts import Stage
+
 
 def _order(order: str, cols: Sequence[str]) -> list[Column]:
     return [F.asc_nulls_first(c) for c in (order, *cols)]
@@ -47,7 +50,8 @@ def _fill_by_window(rows: DataFrame, key: str, order: str, cols: Sequence[str])
 def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:
     keys = [key, order, *cols]
     day = F.to_date(order)
-    combos = rows.select(*keys).distinct().withColumn("_day", day)
+    kept = Stage(rows.sparkSession)
+    combos = kept.save(rows.select(*keys).distinct().withColumn("_day", day), "combos")
 
     # One row per key and day: its first and last known value of each column.
     rank = F.struct(order, *cols)
@@ -63,7 +67,7 @@ def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str]) ->
     for c in cols:
         carry[f"_before_{c}"] = F.last(f"_last_{c}", ignorenulls=True).over(before)
         carry[f"_any_{c}"] = F.first(f"_first_{c}", ignorenulls=True).over(whole)
-    days = days.withColumns(carry).select(key, "_day", *carry)
+    days = kept.save(days.withColumns(carry).select(key, "_day", *carry), "days")
 
     same_day = Window.partitionBy(key, "_day").orderBy(*_order(order, cols))
     so_far = same_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -75,20 +79,26 @@ def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str]) ->
         f"_filled_{c}": F.coalesce(f"_today_{c}", f"_before_{c}", f"_any_{c}") for c in cols
     }
     gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-    combos = combos.filter(gap).withColumns(filled).select(*keys, *filled)
+    combos = kept.save(combos.filter(gap).withColumns(filled).select(*keys, *filled), "filled")
 
     out = join_lookup(rows, combos, keys, null_safe=True)
     return out.withColumns({c: F.coalesce(c, f"_filled_{c}") for c in cols}).drop(*filled)
 
 
 def fill_down_up(
-    rows: DataFrame, key: str, order: str, cols: Sequence[str], *, big: Sequence | None = None
+    rows: DataFrame, key: str, order: str, cols: Sequence[str], *, big: DataFrame | Sequence | None = None
 ) -> DataFrame:
-    """Fill ``cols`` within ``key``; ``big`` names the keys to split (see ``big_keys``)."""
+    """Fill ``cols`` within ``key``; ``big`` holds the keys to split (a list, or see ``big_keys``).
+
+    Rows of big keys are written down once, since the split way reads them several times.
+    """
     columns = rows.columns
-    if not big:
+    if big is not None and not isinstance(big, DataFrame):
+        big = known_keys(rows, key, big)
+    if big is None or big.isEmpty():
         return _fill_by_window(rows, key, order, cols).select(*columns)
-    is_big = F.col(key).isin(*big)
-    plain = _fill_by_window(rows.filter(~is_big | F.col(key).isNull()), key, order, cols)
-    split = _fill_by_day(rows.filter(is_big), key, order, cols)
+    marked = with_big(rows, F.col(key), big)
+    plain = _fill_by_window(marked.filter("_n IS NULL").drop("_n"), key, order, cols)
+    hot = Stage(rows.sparkSession).save(marked.filter("_n IS NOT NULL").drop("_n"), "hot")
+    split = _fill_by_day(hot, key, order, cols)
     return plain.select(*columns).unionByName(split.select(*columns))

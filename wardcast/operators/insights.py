@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardcast.columns import COLS, Cols, check_measure
 from wardcast.functions.fy import fy_display
-from wardcast.functions.measures import change_percent, millions, round_even
+from wardcast.functions.measures import change_percent, millions, round_even, strict_sum
 from wardcast.operators.compare import (
     BASE,
     HORIZON,
@@ -72,7 +72,7 @@ def national_facts(
         fy = F.col(c.fin_year)
         columns = {"baseline": base, "midpoint": midpoint, "horizon": horizon}
         total = older.withColumn("_all", F.col(c.projected)).groupBy(c.fin_year).agg(
-            F.sum("_all").alias("_all"),
+            strict_sum(F.col("_all")).alias("_all"),
             F.max("older_millions").alias("older_millions"),
             F.max("older_pct").alias("older_pct"),
         )

@@ -9,7 +9,7 @@ from wardcast.columns import COLS, Cols
 from wardcast.functions.fy import fy_label
 from wardcast.functions.measures import ratio, strict_sum
 from wardcast.functions.recode import sex_label
-from wardcast.operators.lookup import join_lookup
+from wardcast.operators.lookup import join_lookup, join_results
 
 
 def fy_population(
@@ -74,14 +74,17 @@ def area_shares(area_region: DataFrame, area_district: DataFrame, c: Cols = COLS
 def region_population(shares: DataFrame, fy_popn: DataFrame, c: Cols = COLS) -> DataFrame:
     """Population of each region by financial year and age.
 
-    Genders are added up before the join, and the district shares are small
-    enough to broadcast. A share whose district has no population shows as a
-    row without a financial year.
+    Genders are added up before the join; the population streams past the
+    district shares, which are the lookup. A share whose district has no
+    population shows as a row without a financial year.
     """
     by_district = fy_popn.groupBy(c.district, c.fin_year, c.age).agg(
         strict_sum(F.col(c.population)).alias(c.population)
     )
-    both = join_lookup(shares, by_district, [c.district])
+    lookup = shares.withColumn("_shared", F.lit(True))
+    both = join_lookup(by_district, lookup, [c.district]).filter("_shared").drop("_shared")
+    alone = join_results(shares, by_district.select(c.district).distinct(), [c.district], "left_anti")
+    both = both.unionByName(alone, allowMissingColumns=True)
     return both.groupBy(c.region, c.fin_year, c.age).agg(
         strict_sum(F.col(c.population) * F.col(c.share)).alias(c.age_population)
     )

@@ -13,7 +13,7 @@ from wardcast.operators.lookup import flag_membership
 
 
 LAST_DAY = 2**31 - 1
-AGES = 10_000  # more than any age, to set days apart
+INTS = 2**32  # how many ages an integer can hold, to set days apart
 
 
 def latest_submission(
@@ -71,7 +71,7 @@ def age_at_first_contact(
     age = F.col(c.age).try_cast("int")
     day = F.coalesce(F.unix_date(F.to_date(c.date)), F.lit(LAST_DAY)).cast("long")
     rows = contacts.filter((F.col(c.fin_year) == baseline_fy) & F.col(c.patient).isNotNull())
-    return rows.groupBy(c.patient).agg(F.min_by(age, day * AGES + age).alias(c.age))
+    return rows.groupBy(c.patient).agg(F.min_by(age, day * INTS + (age.cast("long") + INTS // 2)).alias(c.age))
 
 
 def coverage(

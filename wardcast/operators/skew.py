@@ -7,33 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is big from this many rows on. At most MAX_BIG_KEYS are singled out,
-# the largest first: fewer than that many keys can hold over 1/MAX_BIG_KEYS of
-# all rows each, so none that is left out can dominate a cluster.
+from wardcast.operators.size import fits
+from wardcast.sources.marts import Stage
+
+# A key is big from this many rows on: more than one task should sort.
 BIG_KEY_ROWS = 2_000_000
-MAX_BIG_KEYS = 1000
-SALTS = 64
 
 
-def big_keys(
-    rows: DataFrame,
-    key: str | Column,
-    min_rows: int = BIG_KEY_ROWS,
-    max_keys: int = MAX_BIG_KEYS,
-) -> list:
-    """Values of ``key`` with at least ``min_rows`` rows, largest first, at most ``max_keys``.
+def big_keys(rows: DataFrame, key: str | Column, min_rows: int = BIG_KEY_ROWS) -> DataFrame:
+    """(_key, _n) of every key with at least ``min_rows`` rows, however many there are.
 
-    Reads the key only and counts map-side before the shuffle.
+    Reads the key only and counts map-side before the shuffle. The table is written
+    down, so that it is counted once; it has at most one row per ``min_rows`` rows.
     """
     value = F.col(key) if isinstance(key, str) else key
-    top = (
-        rows.groupBy(value.alias("_key"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") >= min_rows) & F.col("_key").isNotNull())
-        .orderBy(F.desc("_n"), "_key")
-        .limit(max_keys)
-    )
-    return [r[0] for r in top.collect()]
+    counts = rows.groupBy(value.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    big = counts.filter((F.col("_n") >= min_rows) & F.col("_key").isNotNull())
+    return Stage(rows.sparkSession).save(big, "big_keys")
+
+
+def known_keys(rows: DataFrame, key: str, values: Sequence) -> DataFrame:
+    """A table like that of ``big_keys`` from keys that are known; their counts are left at 1."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.sparkSession.createDataFrame([(v, 1) for v in values], f"_key {kind}, _n long")
+
+
+def with_big(rows: DataFrame, value: Column, big: DataFrame) -> DataFrame:
+    """``rows`` with ``_n``, the count of a big key, missing for all others.
+
+    ``big`` is broadcast if its measured size allows, else the planner splits what is skewed.
+    """
+    keyed = rows.withColumn("_key", value)
+    return keyed.join(F.broadcast(big) if fits(big) else big, "_key", "left").drop("_key")
 
 
 def _code(keys: Sequence[str]) -> Column:
@@ -47,9 +52,8 @@ def salted(
     keys: Sequence[str],
     lookup_keys: Sequence[str],
     min_rows: int = BIG_KEY_ROWS,
-    salts: int = SALTS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Add a join key ``_salt`` / ``_r_salt`` that spreads big keys over ``salts`` tasks.
+    """Add a join key ``_salt`` / ``_r_salt`` that spreads a big key over a task per ``min_rows`` rows.
 
     Only lookup rows of big keys are repeated. The salt is taken from the
     whole row, never from chance or row position, so that a task which runs
@@ -57,11 +61,11 @@ def salted(
     """
     code, lookup_code = _code(keys), _code(lookup_keys)
     big = big_keys(rows, code, min_rows)
-    if not big:
+    if big.isEmpty():
         return rows.withColumn("_salt", F.lit(0)), lookup.withColumn("_r_salt", F.lit(0))
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    left = rows.withColumn("_salt", F.when(code.isin(*big), spread).otherwise(0))
-    copies = F.when(
-        lookup_code.isin(*big), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
-    return left, lookup.withColumn("_r_salt", F.explode(copies))
+    salts = F.coalesce(F.ceil(F.col("_n") / F.lit(min_rows)), F.lit(1)).cast("int")
+    left = with_big(rows, code, big)
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_n")
+    right = with_big(lookup, lookup_code, big)
+    right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_n")
+    return left, right

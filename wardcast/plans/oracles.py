@@ -624,7 +624,10 @@ def with_ctes(query: str) -> str:
         add(name)
     if not ordered:
         return query
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in ordered) + "\n" + query
+    # Evaluated once each, however often they are read.
+    once = {"fx_popn", "cal_popn", "fy_blend"}
+    parts = [f"{n} AS {'MATERIALIZED ' if n in once else ''}({CTE[n]})" for n in ordered]
+    return "WITH " + ",\n".join(parts) + "\n" + query
 
 
 def all_sql() -> dict[str, str]:

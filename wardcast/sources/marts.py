@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,13 +49,13 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
     Only a local session, where driver and executors are one machine, may fall
-    back on a temporary folder.
+    back on a folder in its warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="wardcast-")
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/wardcast-stage"
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
