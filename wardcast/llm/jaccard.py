@@ -42,10 +42,10 @@ class Near:
     words: int = 5
     threshold: Threshold = Threshold(4, 5)
     #: Shingles whose frequency is kept, at most: 16 bytes each in every Python worker.
-    frequent: int = 500_000
+    frequent: int = 1_000_000
     #: Shingles that are counted together, and how often one must occur there to be frequent.
     counted: int = 2_000_000
-    repeats: int = 4
+    repeats: int = 2
     #: Nodes of a small block, and of a part of a large one.
     small: int = 8
     part: int = 512
