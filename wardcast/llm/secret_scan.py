@@ -35,8 +35,8 @@ DIGESTS = (32, 40, 56, 64, 96, 128)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})+")
-#: Pieces of an identifier: words, numbers, and short codes between joiners.
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,14})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,14}))*[_/+=-]*")
+#: Words, numbers and capitals of an identifier.
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 @dataclass(frozen=True)
@@ -69,13 +69,12 @@ def excluded(run: str) -> bool:
     bare = run.rstrip("=")
     if HEXADECIMAL.fullmatch(bare):
         return len(bare) in DIGESTS or bare.isdigit()
-    if UUID.fullmatch(bare) or not re.search("[0-9]", bare) and (bare.islower() or bare.isupper()):
+    if UUID.fullmatch(bare) or not re.search("[A-Za-z]", bare) or not re.search("[0-9]", bare) and (bare.islower() or bare.isupper()):
         return True
-    if not IDENTIFIER.fullmatch(bare):
-        return False
     # A random string also splits into words and numbers, but into many short ones.
-    parts = re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", bare)
-    return len(bare) >= 4 * len(parts)
+    parts = PARTS.findall(bare)
+    whole = all(len(p) <= 14 if p.isdigit() else len(p) > 1 for p in parts[1:])
+    return whole and len(bare) >= 4 * len(parts)
 
 
 def bits(run: str) -> float:
