@@ -262,6 +262,8 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     n = len(found)
     if any(b.within and label in ("good", "near") for b, label in zip(found, labels)):
         labels = [label if b.within else "bad" for b, label in zip(found, labels)]
+    if "good" not in labels:  # a page of short paragraphs only
+        labels = ["good" if label == "near" else label for label in labels]
     before, after = [""] * n, [""] * n
     last, inside = "bad", False
     for i in range(n):
