@@ -35,6 +35,10 @@ from wardcast.llm.signature_tree import (
 )
 
 
+#: Levels of a count for each doubling.
+LEVELS = 8
+
+
 @dataclass(frozen=True)
 class Near:
     """What links two documents, and sizes of the work (which change no result)."""
@@ -61,7 +65,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, near: Near) -> dict[str, n
     """The most frequent shingles and their counts, in order of the hash; at most ``near.frequent``.
 
     Every shingle of every text is counted within a part of a task; those that recur there are summed
-    over all tasks. The order of sets alone depends on it.
+    over all tasks, and come by whole levels of their count. The order of sets alone depends on it.
     """
 
     def repeated(held: list[np.ndarray]) -> pd.DataFrame:
@@ -83,9 +87,19 @@ def frequent_shingles(docs: DataFrame, text_col: str, near: Near) -> dict[str, n
 
     ship()
     counts = docs.select(F.col(text_col).alias("_text")).mapInPandas(count, "h long, n long")
-    best = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(near.frequent).toPandas()
-    best = best.assign(h=best["h"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
-    return {"h": best["h"].to_numpy(), "n": best["n"].to_numpy(np.int64)}
+    level = F.floor(F.log2("n") * LEVELS).cast("int")
+    counts = stage(counts.groupBy("h").agg(F.sum("n").alias("n")).withColumn("level", level), "counts")
+    levels = counts.groupBy("level").agg(F.count("*").alias("size")).orderBy(F.desc("level")).collect()
+    least, total = 64 * LEVELS, 0
+    for found in levels:  # fewer than 64 times LEVELS
+        total += found["size"]
+        if total > near.frequent:
+            break
+        least = found["level"]
+    best = counts.filter(F.col("level") >= least).select("h", "n").toArrow()
+    h, n = (best[c].to_numpy() for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return {"h": h.view(np.uint64)[order], "n": n[order]}
 
 
 def ordered_prefix(found: np.ndarray, size: int, frequent: dict[str, np.ndarray]) -> np.ndarray:
