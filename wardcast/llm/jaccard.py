@@ -313,16 +313,23 @@ def node_table(rows: DataFrame) -> DataFrame:
 def shared_postings(nodes: DataFrame, near: Near) -> DataFrame:
     """(h, node, n, place, size of the block) of prefix shingles that another node of a fitting size has as well.
 
-    In a block in order of size, a node fits any other if it fits the one before or after it. One
-    exchange of numbers; a block's rows stream through a sort that spills.
+    Two linked nodes meet in the block of the first shingle that they share. None of what a node has before it is
+    shared, so its place bounds the size of the other (``reach``). In order of size, a block falls apart wherever
+    no node before reaches any behind; h is then the block's part. One exchange of numbers; a block's rows
+    stream through a sort that spills.
     """
     part, over = near.threshold.part, near.threshold.over
     postings = nodes.select("node", "n", F.posexplode("prefix").alias("place", "h"))
-    by_size = Window.partitionBy("h").orderBy("n", "node")
-    n, before, after = F.col("n"), F.lag("n").over(by_size), F.lead("n").over(by_size)
-    fits = F.coalesce(over * before >= part * n, F.lit(False)) | F.coalesce(over * n >= part * after, F.lit(False))
-    found = postings.withColumn("_fits", fits).filter("_fits").drop("_fits")
-    return found.withColumn("size", F.count("*").over(Window.partitionBy("h")))
+    n, by_size = F.col("n"), Window.partitionBy("h").orderBy("n", "node")
+    reach = F.floor((over * n - (part + over) * F.col("place")) / part)
+    before = F.max("reach").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    found = postings.withColumn("reach", reach).withColumn("_met", F.coalesce(before >= n, F.lit(False)))
+    onward = F.coalesce(F.lead("_met").over(by_size), F.lit(False))
+    found = found.withColumn("_on", onward).filter("_met or _on")
+    # A node that none before reaches begins a part.
+    found = found.withColumn("_run", F.sum((~F.col("_met")).cast("long")).over(by_size))
+    found = found.withColumn("size", F.count("*").over(Window.partitionBy("h", "_run")))
+    return found.select(F.xxhash64("h", "_run").alias("h"), "node", "n", "place", "size")
 
 
 def pairs_in_small(small: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
