@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of all documents in training order."""
-    return token_output.training_records(docs)
+    """Token sequences of all documents in training order, as they lie in the written shards."""
+    return token_output.sharded_records(docs)
 
 
 STAGES = [

@@ -10,8 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from wardcast.llm import (
-    decontaminate, exact_dedup, fixity, jaccard, mixing, secret_scan, token_output, toxicity, url_rules,
+    decontaminate, exact_dedup, fixity, jaccard, mixing, queries, secret_scan, token_output, toxicity, url_rules,
 )
 from wardcast.llm.components import smallest_reachable
 from wardcast.llm.signature_tree import Threshold, Tree, Widths, common, pairs, shingle_sets
@@ -366,6 +367,32 @@ def test_records_round_trip_and_shards_resume(spark, tmp_path):
     assert [x.tobytes() for x in token_output.read_slots(folder, 0, 10**6, layout)] == in_order
 
 
+def test_rows_come_from_written_shards(spark, tmp_path):
+    layout = token_output.Layout(sequence=16, shard=8, partition=32)
+    docs = spark.createDataFrame([(2**60 + 1, text(300)), (None, text(40)), (3, "")], "doc_id long, text string").repartition(3)
+    folder = f"{tmp_path}/shards"
+    rows = token_output.sharded_records(docs, layout=layout, to=f"file://{folder}")
+    got = sorted(rows.collect(), key=lambda r: r["slot"])
+    assert {r["doc_id"] for r in got} == {2**60 + 1, None, 3}
+    assert [r["record"] for r in got] == [x.tobytes() for x in token_output.read_slots(folder, 0, 10**6, layout)]
+    for r in got:
+        with open(r["path"], "rb") as file:
+            data = file.read()
+        assert zlib.crc32(data) == r["shard_crc32"] and r["path"] == f"{folder}/{token_output.shard_name(r['shard'])}"
+        assert data[r["byte_offset"] :][: layout.stride] == r["record"] and zlib.crc32(r["record"]) == r["crc32"]
+    assert sorted(rows.collect(), key=lambda r: r["slot"]) == got
+
+
+def test_query_and_stage_write_shards(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for found in (queries.op2_token_records(spark, str(tmp_path)), corpus_pipeline.token_records(spark, docs, str(tmp_path))):
+        for r in found.collect():
+            with open(r["path"], "rb") as file:
+                file.seek(r["byte_offset"])
+                assert file.read(len(r["record"])) == r["record"]
+
+
 @pytest.mark.parametrize("keep_all", [False, True])
 def test_mixture_meets_targets(spark, keep_all):
     rows, known = [], []

@@ -22,7 +22,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.training_records(table(spark, sf_dir, "documents"))
+    return token_output.sharded_records(table(spark, sf_dir, "documents"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:

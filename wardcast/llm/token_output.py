@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from wardcast.llm.shared import VOCABULARIES, encoding, ship, stage, value_udf
+from wardcast.llm.shared import VOCABULARIES, encoding, folder, ship, stage, value_udf
 
 ROUNDS = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +105,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, layout: Layout) -> tup
     """
     found = value_udf(encode, "array<binary>", layout)(F.col(text_col))
     cut = docs.select(F.col(id_col).alias("_id"), F.posexplode(found).alias("part", "tokens"))
-    written = stage(cut.withColumn("_at", F.monotonically_increasing_id()), "sequences")
+    written = stage(cut.withColumn("_at", F.monotonically_increasing_id()), "sequences", "zstd")
     task, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = {r["_task"]: r["n"] for r in written.groupBy(task.alias("_task")).agg(F.count("*").alias("n")).toLocalIterator()}
     begins, total = [], 0
@@ -146,50 +148,138 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(records: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame:
+#: What rows of written shards have besides the columns of their records.
+CHECKS = (StructField("crc32", LongType()), StructField("shard_crc32", LongType()), StructField("path", StringType()))
+
+
+class Shard:
+    """A shard that is being written beside its place; ``close`` renames it."""
+
+    def __init__(self, folder: str, number: int):
+        self.number, self.path = int(number), f"{folder}/{shard_name(number)}"
+        self.rows = self.size = self.crc = 0
+        self.temporary = f"{folder}/.{shard_name(number)}.{os.getpid()}.{os.urandom(4).hex()}"
+        os.makedirs(folder, exist_ok=True)
+        self.file = open(self.temporary, "wb")  # noqa: SIM115
+
+    def add(self, records: list[bytes]) -> None:
+        data = b"".join(records)
+        self.file.write(data)
+        self.rows, self.size, self.crc = self.rows + len(records), self.size + len(data), zlib.crc32(data, self.crc)
+
+    def close(self) -> bool:
+        """Whether the shard is new: one that is there with its full length and checksum is left as it is."""
+        self.file.close()
+        fresh = not same_file(self.path, self.size, self.crc)
+        if fresh:
+            os.replace(self.temporary, self.path)
+        else:
+            os.remove(self.temporary)
+        return fresh
+
+
+def write_shards(
+    records: DataFrame, folder: str, layout: Layout = Layout(), rows: bool = False
+) -> DataFrame:
     """Write records as files of fixed stride to a folder that all executors share.
 
     Returns one row per shard: shard, path, records, bytes, crc32, written. A shard is written beside its
     place and renamed when complete, so a task that runs again leaves no torn file; a shard that is there with
     its full length and checksum is left as it is, which makes a broken run resumable.
+
+    With ``rows``, returns one row per record as it lies in its file, with the columns of ``records``, crc32 (of
+    the record), shard_crc32 and path. Each shard is read again where it was written, and a file that differs from what
+    was written, by its checksum, is an error; what a task holds is one shard's columns without the records.
     """
-    os.makedirs(folder, exist_ok=True)
-    stride = layout.stride
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, rows, size, crc = None, 0, 0, 0
-        file = temporary = None
-
-        def close() -> pd.DataFrame:
-            file.close()
-            path = f"{folder}/{shard_name(shard)}"
-            fresh = not same_file(path, size, crc)
-            if fresh:
-                os.replace(temporary, path)
-            else:
-                os.remove(temporary)
-            return pd.DataFrame([(shard, path, rows, size, crc, fresh)], columns=names)
-
-        for batch in batches:
-            for own, record in zip(batch["shard"], batch["record"]):
-                if own != shard:
-                    if file:
-                        yield close()
-                    shard, rows, size, crc = own, 0, 0, 0
-                    temporary = f"{folder}/.{shard_name(own)}.{os.getpid()}.{os.urandom(4).hex()}"
-                    file = open(temporary, "wb")  # noqa: SIM115
-                file.write(record)
-                rows, size, crc = rows + 1, size + stride, zlib.crc32(record, crc)
-        if file:
-            yield close()
+    folder = local_path(folder)
+    ship()
+    if rows:
+        return records.mapInArrow(
+            lambda batches: rows_of_shards(batches, folder, layout),
+            StructType([*records.schema, *CHECKS]),
+        )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, fresh, _ in shards_of(batches, folder):
+            one = (shard.number, shard.path, shard.rows, shard.size, shard.crc, fresh)
+            yield pa.RecordBatch.from_pydict({c: [v] for c, v in zip(names, one)})
 
     names = ["shard", "path", "records", "bytes", "crc32", "written"]
-    ship()
-    return records.select("shard", "record").mapInPandas(
+    return records.select("shard", "record").mapInArrow(
         write, "shard long, path string, records long, bytes long, crc32 long, written boolean"
     )
 
 
+def local_path(folder: str) -> str:
+    """The path that Python opens; shards lie in a folder that is mounted wherever tasks run."""
+    scheme, _, rest = folder.rpartition(":/")
+    if scheme not in ("", "file"):
+        raise ValueError(f"shards need a folder that every executor can open, not {folder}")
+    return f"/{rest.lstrip('/')}" if scheme else folder
+
+
+def shards_of(
+    batches: Iterator[pa.RecordBatch], folder: str
+) -> Iterator[tuple[Shard, bool, list[pa.RecordBatch]]]:
+    """Each shard when it lies in its place, whether it is new, and what came with its records."""
+    shard, held = None, []
+    for batch in batches:
+        numbers = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if shard is None or numbers[a] != shard.number:
+                if shard:
+                    yield shard, shard.close(), held
+                shard, held = Shard(folder, numbers[a]), []
+            part = batch.slice(a, b - a)
+            shard.add(part.column("record").to_pylist())
+            held.append(part)
+    if shard:
+        yield shard, shard.close(), held
+
+
+def rows_of_shards(
+    batches: Iterator[pa.RecordBatch], folder: str, layout: Layout
+) -> Iterator[pa.RecordBatch]:
+    """Rows of the written shards: place and record as the file has them, beside the columns that came with them."""
+    for shard, _, held in shards_of(batches, folder):
+        crc = slot = 0
+        with open(shard.path, "rb") as file:
+            for part in held:
+                data = file.read(len(part) * layout.stride)
+                crc = zlib.crc32(data, crc)
+                found = [data[i : i + layout.stride] for i in range(0, len(data), layout.stride)]
+                first = shard.number * layout.shard + slot
+                slot += len(found)
+                if len(found) != len(part):
+                    raise ValueError(f"{shard.path} is shorter than its records")
+                if part.column("slot").to_pylist() != list(range(first, first + len(found))):
+                    raise ValueError(f"{shard.path} does not hold its slots in order")
+                own = dict(zip(part.schema.names, part.columns))
+                own["record"] = pa.array(found, pa.binary())
+                own["crc32"] = pa.array([zlib.crc32(r) for r in found], pa.int64())
+                own["shard_crc32"] = pa.array([shard.crc] * len(found), pa.int64())
+                own["path"] = pa.array([shard.path] * len(found), pa.string())
+                yield pa.RecordBatch.from_pydict(own)
+            if file.read(1) or crc != shard.crc:
+                raise ValueError(f"{shard.path} differs from what was written")
+
+
+def sharded_records(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = Layout(), to: str | None = None
+) -> DataFrame:
+    """Rows of ``training_records``, written as shards to the folder ``to`` and read from there, with checksums.
+
+    Without ``to`` the shards go to a new folder below the one that executors share. The tasks that work out the rows
+    write the shards, so these are there once all rows have been read; given the same folder, a run
+    that broke off goes on with the shards that it lacks.
+    """
+    records = training_records(docs, id_col, text_col, layout)
+    return write_shards(records, to or folder(docs.sparkSession, "shards"), layout, rows=True)
+
+
 def same_file(path: str, size: int, crc: int) -> bool:
     if not os.path.exists(path) or os.path.getsize(path) != size:
         return False
