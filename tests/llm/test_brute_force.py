@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on small tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -275,6 +276,20 @@ def test_secrets(spark):
         "K" * 30, "9f86d081-884c-7d65-9a2f-eaa0c55ad015", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "some_long_identifier_of_words",
     ]
     rows = [(i, RNG.choice([" ", "\n", ""]).join(RNG.choices(parts, k=RNG.randint(0, 9)))) for i in range(300)]
+def test_every_significant_term_is_learned(spark):
+    own = ["".join(c) for c in itertools.product("bcdfghjkl", "aeiou", "mnpqr", "stvwz")][:700]
+    toxic = [(i, f"plain {' '.join(own[k] for k in range(700) if k % 100 == i % 100)}") for i in range(600)]  # in 6 texts each
+    toxic += [(i, "weak") for i in range(600, 605)]
+    rows = toxic + [(i, "plain words of no kind") for i in range(605, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 605)) for i, _ in rows], "doc_id long, toxic int")
+    learned = toxicity.learn(docs, labels, "toxic", "doc_id", "text", toxicity.Settings())
+    assert set(learned["idf"]) == {*own, "weak"}
+    index = toxicity.Index(learned["idf"], learned["rows"], toxicity.Settings())
+    score, neighbours, found = index.score(toxicity.terms("weak"))
+    assert score > 0.8 and found == ["weak"] and neighbours == [600]  # equal vectors have one entry
+
+
     got = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     for r in got:
         t = dict(rows)[r["doc_id"]]

@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their beginnings. A bounded sample of labelled rows gives the terms that speak for the
+Terms are words and their beginnings. A bounded sample of labelled rows gives all terms that speak for the
 label, and one vector per row; equal vectors become one entry with its votes. The entries form
 an inverted index in blocks: for each term and block the largest weight is known, so a query reads
 blocks in the order of their upper bounds and stops once none can beat its k-th neighbour, which is
 exact. Neighbours vote with the square of their cosine, drawn towards the rate of rows without any
-term. The index has a size bound by parameters and is broadcast; every text is scored whole where it
+term. The index is bounded by the sample and is broadcast; every text is scored whole where it
 is read, without a shuffle.
 """
 
@@ -32,8 +32,7 @@ BEGINNINGS = (5, 7)
 class Settings:
     #: About so many labelled rows, chosen by a hash of their id, are learned from.
     sample: int = 20_000
-    #: Terms of the index, the strongest by chi-square (0.001 level) among those in enough sampled texts.
-    terms: int = 512
+    #: The index has every term that passes this (the 0.001 level) and is in enough sampled texts.
     least_chi_square: float = 10.83
     least_texts: int = 5
     neighbours: int = 25
@@ -125,17 +124,19 @@ class Index:
         self.ids = np.array([same[k][2] for k in keys], np.int64)
         size = settings.block
         self.blocks = -(-len(keys) // size)
-        self.bound = np.zeros((len(idf), self.blocks))
         held: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for e, k in enumerate(keys):
             for t, w in self.vector(k):
                 held[t].append((e, w))
-                self.bound[t, e // size] = max(self.bound[t, e // size], w)
         self.entries, self.weights, self.block_of = {}, {}, {}
+        #: Blocks that hold a term, and the largest weight in each.
+        self.bound: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for t, postings in held.items():
             self.entries[t] = np.array([e for e, _ in postings])
             self.weights[t] = np.array([w for _, w in postings])
             self.block_of[t] = self.entries[t] // size
+            own, first = np.unique(self.block_of[t], return_index=True)
+            self.bound[t] = own, np.maximum.reduceat(self.weights[t], first)
         self.known: dict[tuple, tuple] = {}
 
     def key(self, counts: dict[str, int]) -> tuple[tuple[int, int], ...]:
@@ -153,7 +154,11 @@ class Index:
     def nearest(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Entries with the largest cosines and these, nearest first, ties by id; exact."""
         own, k = self.vector(key), self.settings.neighbours
-        upper = sum((w * self.bound[t] for t, w in own), np.zeros(self.blocks))
+        upper = np.zeros(self.blocks)
+        for t, w in own:
+            if t in self.bound:
+                in_, most = self.bound[t]
+                upper[in_] += w * most
         order = np.argsort(-upper, kind="stable")
         totals = np.zeros(len(self.ids))
         first = np.zeros(self.blocks, bool)
@@ -192,7 +197,7 @@ class Index:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, settings: Settings) -> dict:
-    """What the index is made of: at most ``terms`` weights, and the vectors of the sampled rows."""
+    """What the index is made of: a weight for each term that passes the tests, and the vectors of the sampled rows."""
     rows = labelled_sample(docs, labels, label, id_col, text_col, settings.sample)
     total, toxic = rows.agg(F.count("*"), F.sum(F.when(F.col("_y") > 0, 1).otherwise(0))).first()
     if not total:
@@ -201,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     telling = counted.filter(F.col("n_toxic") * total > F.col("n") * (toxic or 0))
     strength = chi_square(total, toxic)
     telling = telling.filter(strength >= settings.least_chi_square)
-    best = telling.orderBy(strength.desc(), "term").limit(settings.terms).collect()
+    best = sorted(telling.select("term", "n", strength.alias("_s")).collect(), key=lambda r: (-r["_s"], r["term"]))
     idf = {r["term"]: math.log((total + 1) / (r["n"] + 1)) + 1 for r in best}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
