@@ -202,6 +202,23 @@ def test_items_are_found_within_their_budget(spark):
     assert sum(map(bool, got.values())) > 15
 
 
+@pytest.mark.parametrize(
+    "item, held, free",
+    [
+        ("What is the capital of France?", "so: what IS the capital, of france", "what is the old capital of france"),
+        ("法国的首都是哪里", "他问法国的首城是哪里，没人知道", "他问德国的首城在哪里"),
+        ("東京", "夏の東京は暑い", "東の京"),
+        ("ประเทศไทย", "ในประเทศไทยวันนี้", "ในประเดคไทย"),
+        (" ".join(f"q{i}" for i in range(200)), " ".join("x" if i % 10 == 3 else f"q{i}" for i in range(200)), " ".join("x" if i % 7 == 3 else f"q{i}" for i in range(200))),
+    ],
+)
+def test_short_unspaced_and_long_items(spark, item, held, free):
+    docs = spark.createDataFrame([(1, held), (2, free)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, " ?! "), (3, "")], "item_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["items"]] for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {1: [1], 2: []}
+
+
 def test_index_finds_the_nearest(spark):
     settings = toxicity.Settings(neighbours=7, block=4, first_blocks=1)
     idf = {t: 1 + RNG.random() * 3 for t in "abcdefghij"}
@@ -259,6 +276,20 @@ def test_toxicity_learns_words_on_held_out_rows(spark):
     assert again == {r["doc_id"]: r["score"] for r in got}
 
 
+def test_every_significant_term_is_learned(spark):
+    own = ["".join(c) for c in itertools.product("bcdfghjkl", "aeiou", "mnpqr", "stvwz")][:700]
+    toxic = [(i, f"plain {' '.join(own[k] for k in range(700) if k % 100 == i % 100)}") for i in range(600)]  # in 6 texts each
+    toxic += [(i, "weak") for i in range(600, 605)]
+    rows = toxic + [(i, "plain words of no kind") for i in range(605, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 605)) for i, _ in rows], "doc_id long, toxic int")
+    learned = toxicity.learn(docs, labels, "toxic", "doc_id", "text", toxicity.Settings())
+    assert set(learned["idf"]) == {*own, "weak"}
+    index = toxicity.Index(learned["idf"], learned["rows"], toxicity.Settings())
+    score, neighbours, found = index.score(toxicity.terms("weak"))
+    assert score > 0.8 and found == ["weak"] and neighbours == [600]  # equal vectors have one entry
+
+
 def plain_secrets(t):
     spans = []
     for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
@@ -276,20 +307,6 @@ def test_secrets(spark):
         "K" * 30, "9f86d081-884c-7d65-9a2f-eaa0c55ad015", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "some_long_identifier_of_words",
     ]
     rows = [(i, RNG.choice([" ", "\n", ""]).join(RNG.choices(parts, k=RNG.randint(0, 9)))) for i in range(300)]
-def test_every_significant_term_is_learned(spark):
-    own = ["".join(c) for c in itertools.product("bcdfghjkl", "aeiou", "mnpqr", "stvwz")][:700]
-    toxic = [(i, f"plain {' '.join(own[k] for k in range(700) if k % 100 == i % 100)}") for i in range(600)]  # in 6 texts each
-    toxic += [(i, "weak") for i in range(600, 605)]
-    rows = toxic + [(i, "plain words of no kind") for i in range(605, 3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i < 605)) for i, _ in rows], "doc_id long, toxic int")
-    learned = toxicity.learn(docs, labels, "toxic", "doc_id", "text", toxicity.Settings())
-    assert set(learned["idf"]) == {*own, "weak"}
-    index = toxicity.Index(learned["idf"], learned["rows"], toxicity.Settings())
-    score, neighbours, found = index.score(toxicity.terms("weak"))
-    assert score > 0.8 and found == ["weak"] and neighbours == [600]  # equal vectors have one entry
-
-
     got = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     for r in got:
         t = dict(rows)[r["doc_id"]]

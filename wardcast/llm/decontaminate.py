@@ -10,6 +10,7 @@ place, whole, and documents are never shuffled.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,25 +22,37 @@ from pyspark.sql import functions as F
 from wardcast.llm.shared import Sent, value_udf
 
 WORD = re.compile(r"[^\W_]+")
+#: Scripts written without spaces: Thai, Lao, Burmese, Khmer, Tai, Balinese, Javanese, kana, Chinese characters.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3021-\u3029\u3031-\u3035\u303b\u3040-\u30ff"
+    "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+)
+#: Their vowel signs and tones, which go with the character before.
+SIGNS = "".join(c for c in map(chr, range(0x0E00, 0xAAE0)) if re.match(f"[{UNSPACED}]", c) and unicodedata.category(c)[0] == "M")
+ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
+CHARACTER_OR_WORD = re.compile(rf"(?![\W_])[{UNSPACED}][{SIGNS}]*|[^\W_{UNSPACED}]+")
 
 
 @dataclass(frozen=True)
 class Edits:
-    """``budget`` edits for every ``per`` words of an item, rounded down; at most ``most``."""
+    """``budget`` edits for every ``per`` words of an item, rounded down; shorter items are looked for word for word."""
 
     budget: int = 1
     per: int = 8
-    most: int = 12
-    #: Items with fewer words are no evidence.
-    least_words: int = 8
 
     def of(self, words: int) -> int:
-        return min(self.most, words * self.budget // self.per)
+        return words * self.budget // self.per
 
 
 def words(text: str | None) -> list[str]:
-    """Letters and digits in lower case; punctuation and white space only part words."""
-    return WORD.findall(text.lower()) if text else []
+    """Letters and digits in lower case; punctuation and white space only part words.
+
+    In scripts without spaces every character is a word.
+    """
+    if not text:
+        return []
+    text = text.lower()
+    return (CHARACTER_OR_WORD if not text.isascii() and ANY_UNSPACED.search(text) else WORD).findall(text)
 
 
 def pieces(length: int, count: int) -> list[tuple[int, int]]:
@@ -147,9 +160,9 @@ def search(items: Sent, edits: Edits, texts: pd.Series) -> pd.Series:
 
 
 def item_blocks(
-    benchmark: DataFrame, edits: Edits, id_col: str, text_col: str, block: int
+    benchmark: DataFrame, id_col: str, text_col: str, block: int
 ) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items with enough words, in blocks of at most ``block`` words; one block in the driver at a time.
+    """Items with any words, in blocks of at most ``block`` words; one block in the driver at a time.
 
     Of items with the same text the smallest id stays; one without any id gets a number below zero
     from its text.
@@ -159,7 +172,7 @@ def item_blocks(
     own = own.withColumn("_id", F.coalesce("_id", F.least(F.lit(-1), -F.abs(F.xxhash64("_text")))))
     part, held = [], 0
     for row in own.orderBy("_id", "_text").toLocalIterator():
-        if len(w := words(row["_text"])) < edits.least_words:
+        if not (w := words(row["_text"])):
             continue
         if part and held + len(w) > block:
             yield part
@@ -181,12 +194,12 @@ def held_items(
 ) -> Column:
     """A column for ``docs``: the items that each text holds, the nearest first, with places in words.
 
-    Empty for null, empty and clean texts. Null, empty and too short items are not looked for, and an
+    Empty for null, empty and clean texts. Null items and those without any word are not looked for, and an
     empty benchmark finds nothing. Every block of items is applied to every text.
     """
     spark = docs.sparkSession
     found = F.array().cast(FOUND)
-    for part in item_blocks(benchmark, edits, item_id_col, item_text_col, block):
+    for part in item_blocks(benchmark, item_id_col, item_text_col, block):
         column = value_udf(search, FOUND, Sent(spark, part), edits)
         found = F.concat(found, column(F.col(text_col)))
     return F.array_sort(found)
