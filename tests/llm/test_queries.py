@@ -88,6 +88,28 @@ def test_main_text(page, text):
     assert main_text(page) == " ".join(text.split())
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html class=has-cookie-banner><body class='single right-sidebar'><p>{PROSE}</p></body></html>",
+        f"<article aria-hidden='false'><p>{PROSE}</p></article>",
+        f"<p title='hidden gems'>{PROSE}</p>",
+        f"<p data-class=menu data-style='display:none'>{PROSE}</p>",
+        f"<main id=search><article class='post comment share'><p>{PROSE}</p></article></main>",
+        f"<div class='wrap with-sidebar sidebar-left'><p>{PROSE}</p></div>",
+        f"<p>{PROSE}</p><div hidden>{PROSE}</div><div HIDDEN=''>{PROSE}</div><article style='display: none'>{PROSE}</article>",
+        f"<p>{PROSE}</p><div id=right-sidebar>{PROSE}</div><div class='box sidebar'>{PROSE}</div><div class='a' role=search>{PROSE}</div>",
+    ],
+)
+def test_marks_are_attributes_of_their_own_name(page):
+    assert main_text(page) == " ".join(PROSE.split())
+
+
+def test_attributes_take_linear_time():
+    for own in ("a=\"b' " * 60_000, "a-" * 60_000, "no-" * 60_000, "a " * 60_000 + "=" + " " * 60_000):
+        main_text(f"<div {own}>x</div><div class='{own}'>x</div><div class={own}>x</div>")
+
+
 def test_broken_pages_take_linear_time():
     for page in ("<div>" * 30_000, "<a b='" * 30_000, "<p>a<" * 30_000, "<!--" * 30_000, "</p>" * 30_000, "<script>" * 30_000):
         main_text(page + "x")

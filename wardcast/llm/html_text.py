@@ -57,7 +57,15 @@ STOP = frozenset(
 
 OPENS = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 QUOTE_OR_END = re.compile(r"[\"'>]")
-ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Classes that say how a page is laid out, or what it has, and not what the element is: right-sidebar, has-menu.
+LAYOUT = re.compile(
+    r"(?:[a-z0-9]+[-_]+)*(?:no|has|have|with|without)[-_]+[a-z0-9_-]+|"
+    r"(?:[a-z0-9]+[-_]+)*(?:left|right|both|double|single|one|two|three)[-_]*sidebars?(?:[-_]+(?:layout|page|template))?|"
+    r"(?:[a-z0-9]+[-_]+)*sidebars?[-_]+(?:left|right|both|none|no|layout|page|template)"
+)
+#: Elements that hold the page: never boilerplate. Of articles only hidden and style count.
+PAGE = frozenset("html body".split())
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -82,17 +90,27 @@ class Limits:
     high: float = 0.22
 
 
-def marked(attributes: str) -> bool:
-    """Whether class, id, role or style say that an element is boilerplate or hidden."""
+def marked(element: str, attributes: str) -> bool:
+    """Whether class, id, role or style say that an element is boilerplate, or it is hidden."""
+    if element in PAGE or not attributes:
+        return False
+    seen = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "hidden":
             return True
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        elif any(w in MARKS for w in re.split(r"[^a-z0-9]+", value)):
-            return True
+        elif name in ("class", "id", "role") and element not in WITHIN:
+            for token in value.split():
+                if name == "class" and LAYOUT.fullmatch(token):
+                    continue
+                if any(w in MARKS for w in re.split(r"[^a-z0-9]+", token)):
+                    return True
     return False
 
 
@@ -182,7 +200,7 @@ class Reader:
             self.parts.append("\n")
         if name == "a":
             self.in_link = True
-        boiler = marked(attributes)
+        boiler = marked(name, attributes)
         if name in EMPTY:
             if name == "hr":
                 self.end()
