@@ -338,6 +338,15 @@ def test_token_efficiency(run, secret):
     assert bool(secret_scan.scan(f"see {run} here")["n_random"]) == secret
 
 
+def test_random_strings_after_fillers():
+    key = "x8Kd02LqPz7TnVb41RmYw6JcHs3FuEa9oQ5i"
+    varied = "".join(RNG.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=2000))
+    for run in ("A" * 256 + key, "A" * 300 + key + "Z" * 700, "-_" * 400 + key, "A" * 300 + varied, "a/b/" * 80 + varied):
+        assert secret_scan.scan(f"see {run} here")["spans"] == f"random:4:{4 + len(run)}"
+    for run in ("A" * 1000, "ab" * 500, "a/b-" * 200, "A" * 500 + "internationalization_of_documents"):
+        assert not secret_scan.scan(f"see {run} here")["n_random"]
+
+
 def test_url_verdicts(spark):
     rules = [url_rules.parse_rule(*r) for r in [("allow", "org/"), ("block", "example.org/es/"), ("block", "com/de/")]]
     cases = {

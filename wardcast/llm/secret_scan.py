@@ -35,6 +35,8 @@ DIGESTS = (32, 40, 56, 64, 96, 128)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
 HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})+")
+#: A few characters over and over: zeros, ``====``, ``-=-=``.
+FILLER = re.compile(r"(.{1,4}?)\1{7,}")
 #: Words, numbers and capitals of an identifier.
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -83,20 +85,34 @@ def bits(run: str) -> float:
     return -sum(n / len(run) * math.log2(n / len(run)) for n in counts)
 
 
+def is_random(run: str, test: Test) -> bool:
+    """Whether the vocabulary needs many tokens for a run, and any slice of it is varied enough."""
+    if len(run) < test.least_length or excluded(run):
+        return False
+    slices = [run[i : i + test.slice] for i in range(0, len(run), test.slice)]
+    if all(bits(s) < test.least_bits for s in slices):
+        return False
+    codec = encoding(test.vocabulary)
+    return len(run) < test.most_ratio * sum(len(codec.encode_ordinary(s)) for s in slices)
+
+
+def between_fillers(run: str) -> list[str]:
+    """What stands before, between and after fillers of a run, if it has any."""
+    parts, at = [], 0
+    for m in FILLER.finditer(run):
+        parts.append(run[at : m.start()])
+        at = m.end()
+    return [*parts, run[at:]] if parts else []
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], test: Test) -> list[tuple[int, int, str]]:
-    """Runs apart from ``taken`` that the vocabulary needs many tokens for."""
+    """Runs apart from ``taken`` that the vocabulary needs many tokens for, whole or but for their fillers."""
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if len(run) < test.least_length or excluded(run) or bits(run[: test.slice]) < test.least_bits:
-            continue
-        if any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if len(run) < test.least_length or any(a < m.end() and m.start() < b for a, b, _ in taken):
             continue
-        codec = encoding(test.vocabulary)
-        tokens = sum(
-            len(codec.encode_ordinary(run[i : i + test.slice])) for i in range(0, len(run), test.slice)
-        )
-        if len(run) < test.most_ratio * tokens:
+        if is_random(run, test) or not excluded(run) and any(is_random(p, test) for p in between_fillers(run)):
             found.append((m.start(), m.end(), "random"))
     return found
 
