@@ -76,9 +76,62 @@ FROM negatives WHERE rank <= 10
 """
 
 
+def prefix_trie() -> str:
+    """Prefixes as chained digests; subtree sums by the members' paths below each node."""
+    return r"""
+WITH RECURSIVE steps AS (
+  SELECT b, 0 AS k, b::BIGINT AS c FROM range(256) t(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8
+), ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS digits FROM conversations WHERE conv_id IS NOT NULL
+), crcs AS (
+  SELECT conv_id, digits, 0 AS k, 4294967295::BIGINT AS c FROM ids
+  UNION ALL
+  SELECT conv_id, digits, k + 1, xor(c >> 8, t[1 + (xor(c, ascii(substr(digits, k + 1, 1))::BIGINT) & 255)])
+  FROM crcs, crc_table WHERE k < length(digits)
+), heads AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM crcs WHERE k = length(digits)
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT h.conv_id, o.i, 0 AS part, role, text FROM heads h JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20 AND o.i <= h.h
+  UNION ALL
+  SELECT h.conv_id, o.i, 1 AS part, role, text FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.i > h.h
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS depth, count(*) OVER (PARTITION BY conv_id) AS len,
+         len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda w: w <> '')) AS words,
+         md5(length(role)::VARCHAR || ':' || role || text) AS turn_key
+  FROM rebuilt
+), paths AS (
+  SELECT conv_id, depth, len, words, md5(string_agg(turn_key, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM placed
+  UNION ALL
+  SELECT conv_id, 0, (SELECT count(*) FROM placed p WHERE p.conv_id = h.conv_id), 0, '' FROM heads h
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, count(*) = count(*) FILTER (len = depth) AS leaf,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = depth), '')) AS ends_sha256
+  FROM paths GROUP BY node, depth
+), up AS (
+  SELECT p.node, p.depth, q.node AS above FROM nodes n JOIN paths p ON p.node = n.node AND p.depth = n.depth AND p.conv_id = n.conv_id
+  JOIN paths q ON q.conv_id = p.conv_id AND q.depth <= p.depth
+), sums AS (
+  SELECT above AS node, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM up JOIN nodes USING (node) GROUP BY above
+), links AS (
+  SELECT p.node, q.node AS parent FROM nodes n JOIN paths p ON p.node = n.node AND p.depth = n.depth AND p.conv_id = n.conv_id
+  JOIN paths q ON q.conv_id = p.conv_id AND q.depth = p.depth - 1
+), kids AS (SELECT parent AS node, count(*) AS n_children FROM links GROUP BY parent)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN links l ON l.node = n.node LEFT JOIN nodes m ON m.node = l.parent
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "op10_exact_dedup": exact_dedup(),
         "op11_hard_negatives": hard_negatives(),
+        "op12_prefix_trie": prefix_trie(),
         "op5_url_rules": url_verdicts(),
     }

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.llm import (
-    decontaminate, exact_dedup, fixity, hard_negatives, html_text, jaccard, mixing, secret_scan, token_output, toxicity, url_rules,
+    decontaminate, exact_dedup, fixity, hard_negatives, html_text, jaccard, mixing, prefix_trie, secret_scan, token_output, toxicity, url_rules,
 )
-from wardcast.llm.shared import table
+from wardcast.llm.shared import stage, table
 
 #: Rules of the URL contract (fixed values).
 URL_RULES = (
@@ -97,10 +97,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, id_ % 100 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the rebuilt conversations."""
+    turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
+    turns = stage(prefix_trie.numbered(turns), "numbered")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns), turns.select("conv").distinct())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_token_records, op3_fixity_audit, op4_jaccard_join, op5_url_rules, op6_mixing, op7_html_text, op8_toxicity, op9_decontaminate, op10_exact_dedup,
-        op11_hard_negatives,
+        op11_hard_negatives, op12_prefix_trie,
     )
 }
