@@ -25,7 +25,9 @@ from wardcast.llm.shared import ship, stage
 
 #: Rows of a block of candidates, anchors of a stripe, blocks that share a cell on average.
 ROW_BITS = 12
-BLOCK, STRIPE, BLOCKS_A_CELL = 1 << ROW_BITS, 1_024, 4
+BLOCK, STRIPE, BLOCKS_A_CELL = 1 << ROW_BITS, 1_024, 2
+#: Tasks over the grid at most. They are set, since a cell has few bytes for its work.
+TASKS = 8_192
 #: Candidates and anchors that are scored at once, so that the tables stay in the processor's cache.
 TILE = (512, 128)
 NO_ID = np.iinfo(np.int64).max
@@ -236,7 +238,8 @@ def in_cells(blocks: DataFrame, anchors: DataFrame, stripes: int, cells: int, fu
     left = blocks.drop("anchors").withColumn("_share", share).withColumn("_stripe", every(stripes))
     stripe = F.pmod(F.xxhash64("row"), F.lit(stripes)).cast("int")
     right = anchors.withColumn("_stripe", stripe).withColumn("_share", every(cells))
-    key = ["_stripe", "_share"]
+    key, n = ["_stripe", "_share"], min(stripes * cells, TASKS)
+    left, right = left.repartition(n, *key), right.repartition(n, *key)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(function, returns)
 
 

@@ -137,6 +137,7 @@ def before(rows: DataFrame) -> DataFrame:
 
 def numbered(turns: DataFrame, size: int = BLOCK) -> DataFrame:
     """Turns with ``i``, their number from 1 in the conversation, by turn (null first), then by digest."""
+    turns = stage(turns, "digests")  # the ranges are found by a pass of its own
     rows = sorted_blocks(turns, [F.asc("conv"), F.asc_nulls_first("turn"), F.asc("a"), F.asc("b")], size, "turns")
     ranked = rows.join(before(rows), ["conv", "block"])
     return ranked.select("conv", (F.col("n_before") + F.col("place") - F.col("start") + 1).alias("i"), "a", "b", "words")
@@ -462,8 +463,9 @@ def root(below: DataFrame, turns: DataFrame, members: DataFrame) -> DataFrame:
     ids = empty.select(F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"), F.array("conv").alias("ids"), "conv")
     ends = hashed(ids).agg(F.first("ends_sha256").alias("ends_sha256"))
     all_ = members.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n_convs"))
-    one = [d.withColumn("_one", F.lit(1)) for d in (all_, top, ends)]
-    row = one[0].join(one[1], "_one").join(one[2], "_one").filter("n_convs > 0")
+    # Three tables of one row side by side: each fills its own columns.
+    parts = all_.unionByName(top, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    row = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns]).filter("n_convs > 0")
     return row.select(
         "conv_id", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children",
         "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"),
