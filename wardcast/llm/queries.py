@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.llm import (
-    decontaminate, exact_dedup, fixity, hard_negatives, html_text, jaccard, mixing, prefix_trie, secret_scan, token_output, toxicity, url_rules,
+    decontaminate, exact_dedup, fixity, hard_negatives, html_text, jaccard, mixing, prefix_trie, repeats, secret_scan, token_output, toxicity, url_rules,
 )
 from wardcast.llm.shared import stage, table
 
@@ -104,10 +104,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns), turns.select("conv").distinct())
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_token_records, op3_fixity_audit, op4_jaccard_join, op5_url_rules, op6_mixing, op7_html_text, op8_toxicity, op9_decontaminate, op10_exact_dedup,
-        op11_hard_negatives, op12_prefix_trie,
+        op11_hard_negatives, op12_prefix_trie, op13_repeats,
     )
 }
