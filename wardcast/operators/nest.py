@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.columns import COLS, Cols
 
 
-def nest(
-    rows: DataFrame, keys: Sequence[str], fields: Sequence[str], order: Sequence[str], name: str
-) -> DataFrame:
-    """One row per key with its ``fields`` as a sorted array of structs, missing values last.
+def nested(fields: Sequence[str], order: Sequence[str], only: Column | None = None) -> Column:
+    """The ``fields`` of a group's rows as a sorted array of structs, missing values last; of ``only`` some rows, if given.
 
     Meant for rows already summed to the grain of the fields (one per year and
     age, one per service and year), so an array has as many entries as those
@@ -21,8 +19,15 @@ def nest(
     """
     sort = [x for o in order for x in (F.col(o).isNull().alias(f"_{o}"), F.col(o).alias(f"_v_{o}"))]
     entry = F.struct(*sort, F.struct(*fields).alias("entry"))
-    collected = F.array_sort(F.collect_list(entry))
-    return rows.groupBy(*keys).agg(F.transform(collected, lambda e: e["entry"]).alias(name))
+    collected = F.collect_list(entry if only is None else F.when(only, entry))
+    return F.transform(F.array_sort(collected), lambda e: e["entry"])
+
+
+def nest(
+    rows: DataFrame, keys: Sequence[str], fields: Sequence[str], order: Sequence[str], name: str
+) -> DataFrame:
+    """One row per key with its ``fields`` as an array (see ``nested``)."""
+    return rows.groupBy(*keys).agg(nested(fields, order).alias(name))
 
 
 def age_data(mart: DataFrame, c: Cols = COLS) -> DataFrame:

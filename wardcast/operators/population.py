@@ -12,40 +12,54 @@ from wardcast.functions.recode import sex_label
 from wardcast.operators.lookup import join_lookup, join_results
 
 
-def fy_population(
+def population_series(
     population: DataFrame,
     *,
     base_year: int = 2022,
     weights: tuple[float, float] = (0.75, 0.25),
     c: Cols = COLS,
 ) -> DataFrame:
-    """Calendar-year population to financial years, with growth since the first of them.
+    """One row per person cell with its financial years in order, as an array of (year, population, growth).
 
-    Input columns: year, area_code, age, sex, value. A financial year blends
-    its calendar year with the next one; the last calendar year has none and
-    is dropped. A cell is one row per year, so its window stays small.
+    Input columns: year, area_code, age, sex, value. A financial year blends its calendar year
+    with the next one that the cell has; the last calendar year has none and is dropped. A cell's calendar
+    years come together as one short array; blend and base are taken from it by position.
     """
     rows = population.filter(F.col("year").try_cast("int") >= base_year).select(
-        F.col("year").try_cast("int").alias("_year"),
         F.col("area_code").alias(c.district),
         F.col("age").try_cast("int").alias(c.age),
         sex_label(F.col("sex")).alias(c.gender),
-        F.col("value").try_cast("double").alias("_value"),
-    )
-    w = Window.partitionBy(*c.person).orderBy("_year")
-    rows = rows.withColumns(
-        {
-            c.fin_year: fy_label(F.col("_year"), F.lead("_year").over(w)),
-            c.population: F.col("_value") * weights[0] + F.lead("_value").over(w) * weights[1],
-        }
+        F.struct(F.col("year").try_cast("int").alias("year"), F.col("value").try_cast("double").alias("value")).alias("_at"),
     )
-    first = F.first(c.population).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = rows.groupBy(*c.person).agg(F.array_sort(F.collect_list("_at")).alias("_years"))
+    n = F.size("_years") - 1
+    blend = F.zip_with(
+        F.slice("_years", F.lit(1), n),
+        F.slice("_years", F.lit(2), n),
+        lambda a, b: F.struct(
+            fy_label(a["year"], b["year"]).alias(c.fin_year),
+            (a["value"] * weights[0] + b["value"] * weights[1]).alias(c.population),
+        ),
     )
-    rows = rows.withColumn(c.growth, ratio(F.col(c.population), first))
-    return rows.filter(F.col(c.population).isNotNull()).select(
-        *c.person, c.fin_year, c.population, c.growth
+    cells = cells.withColumn("_blend", blend)
+    first = F.get("_blend", F.lit(0))[c.population]
+    series = F.transform(
+        F.filter("_blend", lambda x: x[c.population].isNotNull()),
+        lambda x: F.struct(x[c.fin_year], x[c.population], ratio(x[c.population], first).alias(c.growth)),
     )
+    return cells.select(*c.person, series.alias("series"))
+
+
+def fy_population(
+    population: DataFrame,
+    *,
+    base_year: int = 2022,
+    weights: tuple[float, float] = (0.75, 0.25),
+    c: Cols = COLS,
+) -> DataFrame:
+    """Calendar-year population to financial years, with growth since the first of them (see ``population_series``)."""
+    cells = population_series(population, base_year=base_year, weights=weights, c=c)
+    return cells.select(*c.person, F.inline("series")).select(*c.person, c.fin_year, c.population, c.growth)
 
 
 def growth_coefficients(fy_popn: DataFrame, c: Cols = COLS) -> DataFrame:

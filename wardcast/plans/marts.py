@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from functools import partial, reduce
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +20,22 @@ from wardcast.operators.counts import (
     patient_shares,
     unique_patients,
 )
-from wardcast.operators.lookup import fits, join_results
-from wardcast.operators.nest import nest
+from wardcast.operators.lookup import join_results
+from wardcast.operators.nest import nested
 from wardcast.operators.population import (
     area_shares,
     fy_population,
-    growth_coefficients,
     national_population,
     region_population,
 )
-from wardcast.operators.project import project, project_by_service
+from wardcast.operators.project import (
+    Growth,
+    growth_by_cell,
+    measured,
+    project,
+    project_both,
+    project_by_service,
+)
 from wardcast.operators.quality import contacts_dq, patients_dq
 from wardcast.sources.marts import Stage, write_mart
 
@@ -53,7 +59,7 @@ class Base:
     fy_population: DataFrame
     region_population: DataFrame
     national_population: DataFrame
-    growth_fits: bool
+    growth: Growth
 
 
 def together(*jobs: Callable) -> list:
@@ -76,16 +82,21 @@ def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, *
     def people() -> dict:
         popn = keep(fy_population(inputs.population, c=c), "fy_population")
         shares = area_shares(inputs.area_region, inputs.area_district, c)
-        region, nation, small = together(
+
+        def growth() -> Growth:
+            found = growth_by_cell(popn, c)
+            return measured(replace(found, cells=keep(found.cells, "growth")))
+
+        region, nation, growths = together(
             lambda: keep(region_population(shares, popn, c), "region_population"),
             lambda: keep(national_population(popn, c), "national_population"),
-            lambda: fits(growth_coefficients(popn, c)),
+            growth,
         )
         return {
             "fy_population": popn,
             "region_population": region,
             "national_population": nation,
-            "growth_fits": small,
+            "growth": growths,
         }
 
     def by_patient(cells: DataFrame) -> dict:
@@ -125,37 +136,45 @@ def projected(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFrame
     """Projected counts by region, year and age."""
     counts = baseline_counts(base, measure, level, False, c)
     keys = c.level_keys(level)
-    return project(counts, base.fy_population, keys, growth_fits=base.growth_fits, c=c)
+    return project(counts, base.growth, keys, c=c)
 
 
 def projected_by_service(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFrame:
     counts = baseline_counts(base, measure, level, True, c)
     keys = c.level_keys(level)
-    return project_by_service(counts, base.fy_population, keys, growth_fits=base.growth_fits, c=c)
+    return project_by_service(counts, base.growth, keys, c=c)
 
 
 def build_mart(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFrame:
-    """One row per region, or one for the nation: nested projections and quality counts."""
+    """One row per region, or one for the nation: nested projections and quality counts.
+
+    Baseline counts are read once and joined once to the growths; both projections and both nested
+    columns come from that.
+    """
     keys = c.level_keys(check_level(level))
-    by_age = projected(base, measure, level, c)
-    by_service = projected_by_service(base, measure, level, c)
+    if check_measure(measure) == "contacts":
+        counts, once = included_contacts(base.contact_counts, level, c), "count"
+    else:
+        counts, once = base.patient_shares[level], "count_once"
+    both = project_both(counts, base.growth, keys, once=once, c=c)
     popn = base.region_population if keys else base.national_population
     popn_keys = [c.region, c.fin_year, c.age] if keys else [c.fin_year, c.age]
-    by_age = join_results(by_age, popn, popn_keys)
-
-    ages = [c.fin_year, c.age]
-    services = [c.service, c.fin_year]
-    data = nest(by_age, keys, [*ages, c.projected, c.age_population], ages, "data")
-    service = nest(by_service, keys, [*services, c.projected], services, "service_data")
+    both = join_results(both, popn, popn_keys)
+
+    ages, services = [c.fin_year, c.age], [c.service, c.fin_year]
+    by_age = F.col("by_age")
+    data = both.groupBy(*keys).agg(
+        nested([*services, c.projected], services, ~by_age).alias("service_data"),
+        nested([*ages, c.projected, c.age_population], ages, by_age).alias("data"),
+    )
     quality = contacts_dq if check_measure(measure) == "contacts" else patients_dq
     counts = base.contact_counts if measure.lower() == "contacts" else base.patient_counts
     dq = quality(counts, level, prefix=True, c=c)
     if keys:
-        mart = join_results(service, data, keys)
-        mart = join_results(mart, dq, [c.region])
+        mart = join_results(data, dq, [c.region])
     else:
-        # Three one-row tables side by side: each fills its own columns.
-        parts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [service, data, dq])
+        # Two one-row tables side by side: each fills its own columns.
+        parts = data.unionByName(dq, allowMissingColumns=True)
         mart = parts.agg(*[F.first(x, ignorenulls=True).alias(x) for x in parts.columns])
     return mart.select(*keys, "service_data", "data", *[x for x in dq.columns if x != c.region])
 

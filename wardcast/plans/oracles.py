@@ -58,14 +58,14 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 CTE["people"] = """
 SELECT c_nationkey AS nation, CASE WHEN (c_custkey * 7) % 116 > 90 THEN 90 ELSE (c_custkey * 7) % 116 END AS age,
  CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS sex, count(*) AS n FROM customer GROUP BY ALL"""
+CTE["popn_cells"] = """
+SELECT n_nationkey, age, unnest(range(1, 3)) AS sex
+FROM (SELECT n_nationkey, unnest(range(0, 91)) AS age FROM nation WHERE n_nationkey NOT IN (23, 24))"""
 CTE["fx_popn"] = """
-SELECT CAST(2021 + y.p_partkey AS INT) AS year, 'E' || CAST(n_nationkey AS VARCHAR) AS area_code,
- CAST(a.p_partkey AS INT) AS age, CAST(1 + x.d AS INT) AS sex,
- CAST((500 + n_nationkey * 11 + (90 - a.p_partkey) * 7 + x.d * 13 + y.p_partkey * (a.p_partkey - 30) * 0.25)
-  * (1 + coalesce(people.n, 0)) AS DOUBLE) AS value
-FROM nation CROSS JOIN part y CROSS JOIN part a CROSS JOIN digits x
-LEFT JOIN people ON people.nation = n_nationkey AND people.age = a.p_partkey AND people.sex = 1 + x.d
-WHERE y.p_partkey < 23 AND a.p_partkey <= 90 AND x.d < 2 AND n_nationkey NOT IN (23, 24)"""
+SELECT CAST(2021 + step AS INT) AS year, 'E' || CAST(n_nationkey AS VARCHAR) AS area_code, CAST(age AS INT) AS age, CAST(sex AS INT) AS sex,
+ CAST((500 + n_nationkey * 11 + (90 - age) * 7 + (sex - 1) * 13 + step * (age - 30) * 0.25) * size AS DOUBLE) AS value
+FROM (SELECT n_nationkey, c.age, c.sex, 1 + coalesce(n, 0) AS size, unnest(range(0, 23)) AS step
+ FROM popn_cells c LEFT JOIN people p ON p.nation = n_nationkey AND p.age = c.age AND p.sex = c.sex)"""
 
 # --- cleaning ------------------------------------------------------------------
 
@@ -105,13 +105,13 @@ CTE["cal_popn"] = """
 SELECT year AS cal_yr, area_code AS lad18cd, age AS age_int,
  CASE WHEN sex = 1 THEN 'Male' ELSE 'Female' END AS gender_cat, value FROM fx_popn WHERE year >= 2022"""
 CTE["fy_blend"] = f"""
-SELECT {PERSON}, a.cal_yr, CAST(a.cal_yr AS VARCHAR) || '_' || lpad(CAST(b.cal_yr % 100 AS VARCHAR), 2, '0') AS fin_year,
- a.value * 0.75 + b.value * 0.25 AS fin_year_popn
-FROM cal_popn a JOIN (SELECT cal_yr, {PERSON}, value FROM cal_popn) b USING ({PERSON})
-WHERE b.cal_yr = a.cal_yr + 1"""
+SELECT {PERSON}, cal_yr, CAST(cal_yr AS VARCHAR) || '_' || lpad(CAST((cal_yr + 1) % 100 AS VARCHAR), 2, '0') AS fin_year,
+ value * 0.75 + lead(value) OVER (PARTITION BY {PERSON} ORDER BY cal_yr) * 0.25 AS fin_year_popn
+FROM cal_popn"""
 CTE["fy_popn"] = f"""
-SELECT {PERSON}, f.fin_year, f.fin_year_popn, f.fin_year_popn / NULLIF(g.fin_year_popn, 0) AS growth_coeff
-FROM fy_blend f JOIN (SELECT {PERSON}, fin_year_popn FROM fy_blend WHERE cal_yr = 2022) g USING ({PERSON})"""
+SELECT {PERSON}, fin_year, fin_year_popn,
+ fin_year_popn / NULLIF(first_value(fin_year_popn) OVER (PARTITION BY {PERSON} ORDER BY cal_yr), 0) AS growth_coeff
+FROM fy_blend WHERE fin_year_popn IS NOT NULL"""
 CTE["shares"] = """
 SELECT icb22cdh, p.lad18cd, p.n * 1.0 / t.n AS proportion
 FROM (SELECT icb22cdh, lad18cd, count(*) AS n FROM fx_lsoa_icb LEFT JOIN fx_lsoa_lad USING (lsoa11cd) GROUP BY ALL) p
