@@ -206,3 +206,26 @@ def test_columns_can_be_named_otherwise(spark):
         assert rows(service_data(mart, c), "team", "fy", "projected_count") == [("X", "2022_23", 1.0)]
     with pytest.raises(ValueError):
         c.level_keys("planet")
+
+
+def test_marts_join_growth_once_and_open_years_after_the_sum(space):
+    for measure in MEASURES:
+        for level in LEVELS:
+            text = plan(marts.build_mart(space.base, measure, level))
+            assert text.count("growths:array<double>") == 1, (measure, level)
+            # Years become rows above the sums by region, and nothing else multiplies rows.
+            assert text.count("Generate inline") == 1 == text.count("Generate")
+            opened, joined = text.index("Generate inline"), text.index("growths#")
+            assert opened < text.rindex("HashAggregate") and "HashAggregate" in text[opened:joined]
+
+
+def test_one_patient_shuffle_for_both_levels(space):
+    both = counts.patient_shares_both(space.base.patient_counts)
+    shares = [counts.shares_of_level(both, level) for level in LEVELS]
+    text = plan(shares[0].select("service", "count").unionByName(shares[1].select("service", "count")))
+    for one in (plan(both), plan(shares[0]), plan(shares[1])):
+        assert len(re.findall(r"Exchange hashpartitioning\(patient_id", one)) == 1
+        assert len(re.findall(r"Exchange hashpartitioning\([^)]*patient_id", one)) == 1
+    assert "Window" in text
+    lads = plan(counts.patient_lad_shares(space.base.patient_counts, "region"))
+    assert len(re.findall(r"Exchange", lads)) == 1

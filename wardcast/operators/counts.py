@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,11 +79,12 @@ def patient_lad_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFra
     """Share of each patient's contacts by district, within the region or nationally.
 
     Contacts are added up by district first, so the window over a patient
-    never holds more rows than there are districts.
+    never holds more rows than there are districts. Sum and window use one shuffle by patient.
     """
     keys = c.level_keys(level)
     by_district = (
         included_patients(counts, level, c)
+        .repartition(c.patient)
         .groupBy(*keys, c.district, c.patient)
         .agg(F.sum("n").alias("_n"))
     )
@@ -92,36 +94,71 @@ def patient_lad_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFra
     )
 
 
+def _share(within: Sequence[str], order: Sequence[str], c: Cols) -> tuple[Column, Column]:
+    """All of a patient's contacts, and those in a row's district.
+
+    ``within`` is the region, or nothing for the nation. The widest window comes first, in the order that the
+    others need: one sort serves all.
+    """
+    patient = Window.partitionBy(c.patient, *within).orderBy(*c.person, *order)
+    whole = patient.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = Window.partitionBy(c.patient, *within, c.district)
+    return F.sum("n").over(whole), F.sum("n").over(here)
+
+
+def patient_shares_both(counts: DataFrame, c: Cols = COLS) -> DataFrame:
+    """Fractional patients by region, service and person cell, for the regions and for the nation.
+
+    ``count`` and ``count_once`` are the region's (see ``patient_shares``), missing for patients without a region;
+    ``national`` and ``national_once`` are parts of the nation's, each patient's share in the first of the
+    regions it has in a cell, so that adding them over regions gives the national figures.
+
+    Contacts are brought together by patient once; windows for both levels use that shuffle, with a sort each, in
+    place of joins of shares back to the patients. Every window holds the counted cells of one patient at most.
+    """
+    rows = included_patients(counts, "national", c).repartition(c.patient)
+    everywhere = [c.service, *c.regions]
+    total, here = _share([], everywhere, c)
+    person = Window.partitionBy(c.patient, *c.person)
+    rows = rows.withColumn("_all", total).withColumn("_share", here / F.col("_all"))
+    rows = rows.withColumn("_first", F.row_number().over(person.orderBy(*everywhere)) == 1)
+    again = Window.partitionBy(c.patient, *c.person, c.service).orderBy(*c.regions)
+    rows = rows.withColumn("_national", F.when(F.row_number().over(again) == 1, F.col("_share")))
+    rows = rows.withColumn("_national_once", F.when(F.col("_first"), F.col("_share")).otherwise(0.0))
+
+    total, here = _share(c.regions, [c.service], c)
+    rows = rows.withColumn("_all", total)
+    # A share is looked up by region code and name, so it is missing where one of them is.
+    share = F.when(all_present(*c.regions), here / F.col("_all"))
+    own = Window.partitionBy(c.patient, *c.regions, *c.person).orderBy(c.service)
+    first = F.row_number().over(own) == 1
+    rows = rows.withColumn("_share", share).withColumn("_first", first)
+    once = F.when(F.col("_first"), F.col("_share")).when(F.col("_share").isNotNull(), 0.0)
+    return rows.groupBy(*c.regions, c.service, *c.person).agg(
+        F.sum("_share").alias("count"),
+        F.sum(once).alias("count_once"),
+        F.sum("_national").alias("national"),
+        F.sum("_national_once").alias("national_once"),
+    )
+
+
+def shares_of_level(both: DataFrame, level: str, c: Cols = COLS) -> DataFrame:
+    """Fractional patients of one level from ``patient_shares_both``; patients are not read again."""
+    if check_level(level) == "region":
+        return both.filter(F.col(c.region).isNotNull()).drop("national", "national_once")
+    return both.groupBy(c.service, *c.person).agg(
+        F.sum("national").alias("count"), F.sum("national_once").alias("count_once")
+    )
+
+
 def patient_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFrame:
     """Fractional patients by service, district, age and gender, in both ways of counting.
 
     ``count`` adds up the patients of a service; ``count_once`` lets a patient
     of several services count in one of them only, so that adding it over
     services gives the unique patients. One pass over the patients serves both.
-
-    Windows take the place of a join of shares back to the patients. The widest
-    comes first, in the order the others need: its partitioning by patient and
-    its sort serve all three.
     """
-    keys = c.level_keys(level)
-    rows = included_patients(counts, level, c)
-    if not keys:
-        # Add up the regions map-side before a patient's rows are brought together.
-        rows = rows.groupBy(c.service, *c.person, c.patient).agg(F.sum("n").alias("n"))
-    patient = Window.partitionBy(*keys, c.patient).orderBy(*c.person, c.service)
-    whole = patient.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_all", F.sum("n").over(whole))
-    here = F.sum("n").over(Window.partitionBy(*keys, c.patient, c.district))
-    share = here / F.col("_all")
-    if keys:
-        # A share is looked up by region code and name, so it is missing where the name is.
-        share = F.when(F.col(c.region_name).isNotNull(), share)
-    first = F.row_number().over(Window.partitionBy(*keys, c.patient, *c.person).orderBy(c.service))
-    rows = rows.withColumn("_share", share).withColumn("_first", first)
-    once = F.when(F.col("_first") == 1, F.col("_share")).when(F.col("_share").isNotNull(), 0.0)
-    return rows.groupBy(*keys, c.service, *c.person).agg(
-        F.sum("_share").alias("count"), F.sum(once).alias("count_once")
-    )
+    return shares_of_level(patient_shares_both(counts, c), level, c)
 
 
 def unique_patients(

@@ -17,7 +17,8 @@ from wardcast.operators.counts import (
     contact_counts,
     included_contacts,
     patient_counts,
-    patient_shares,
+    patient_shares_both,
+    shares_of_level,
     unique_patients,
 )
 from wardcast.operators.lookup import join_results
@@ -101,13 +102,9 @@ def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, *
 
     def by_patient(cells: DataFrame) -> dict:
         patients = keep(patient_counts(cells, c), "patient_counts")
-        shares = together(
-            *[
-                lambda lv=level: keep(patient_shares(patients, lv, c), f"patient_shares_{lv}")
-                for level in LEVELS
-            ]
-        )
-        return {"patient_counts": patients, "patient_shares": dict(zip(LEVELS, shares))}
+        both = keep(patient_shares_both(patients, c), "patient_shares")
+        shares = {level: shares_of_level(both, level, c) for level in LEVELS}
+        return {"patient_counts": patients, "patient_shares": shares}
 
     def demand() -> dict:
         rows = tidy_contacts(
