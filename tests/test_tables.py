@@ -12,8 +12,8 @@ from wardcast.operators import compare, counts, population
 from wardcast.operators.clean import tidy_contacts
 from wardcast.operators.nest import age_data, nest, service_data
 from wardcast.plans import catalog, fixtures, marts
+from wardcast.sources import files, tables
 from wardcast.sources import marts as store
-from wardcast.sources import tables
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -81,8 +81,17 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert store.Stage(spark).root.startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
-def test_publish_writes_four_tables(spark, tmp_path):
-    marts.publish(spark, fixtures.inputs(fixtures.StarTables(spark, SF_DIR)), str(tmp_path))
+def folders(spark, prefix="stage-"):
+    return {n for n in files.names(spark, store.shared_folder(spark)) if n.startswith(prefix)}
+
+
+def test_publish_writes_four_tables_and_leaves_nothing_else(spark, tmp_path, space):
+    inputs = fixtures.inputs(fixtures.StarTables(spark, SF_DIR))
+    inputs.contacts.limit(0).count()
+    before, tables_before = folders(spark), len(spark.catalog.listTables())
+    paths = marts.publish(spark, inputs, str(tmp_path), big_patient_rows=20)
+    assert folders(spark) == before and len(spark.catalog.listTables()) == tables_before
+    assert len(paths) == 4
     for measure in MEASURES:
         assert store.read_mart(spark, str(tmp_path), measure, "national").count() == 1
         assert store.read_mart(spark, str(tmp_path), measure, "region").count() == 5
@@ -220,12 +229,12 @@ def test_marts_join_growth_once_and_open_years_after_the_sum(space):
 
 
 def test_one_patient_shuffle_for_both_levels(space):
-    both = counts.patient_shares_both(space.base.patient_counts)
-    shares = [counts.shares_of_level(both, level) for level in LEVELS]
-    text = plan(shares[0].select("service", "count").unionByName(shares[1].select("service", "count")))
-    for one in (plan(both), plan(shares[0]), plan(shares[1])):
-        assert len(re.findall(r"Exchange hashpartitioning\(patient_id", one)) == 1
-        assert len(re.findall(r"Exchange hashpartitioning\([^)]*patient_id", one)) == 1
-    assert "Window" in text
-    lads = plan(counts.patient_lad_shares(space.base.patient_counts, "region"))
-    assert len(re.findall(r"Exchange", lads)) == 1
+    loose = space.spark.read.parquet(f"{space.stage.root}/patient_counts")  # the files, without their clustering
+    both = counts.patient_shares_both(loose)
+    for df in (both, *[counts.shares_of_level(both, level) for level in LEVELS]):
+        assert len(re.findall(r"Exchange hashpartitioning\([^)]*patient_id", plan(df))) == 1
+    for level in LEVELS:
+        assert plan(counts.patient_lad_shares(loose, level)).count("Exchange") == 1
+    for level in LEVELS:
+        ours = counts.shares_of_level(both, level)
+        assert rows(ours) == rows(space.base.patient_shares[level].select(*ours.columns))

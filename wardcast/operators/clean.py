@@ -12,6 +12,7 @@ from wardcast.functions.recode import ATTENDANCE, attendance_status, capped_age,
 from wardcast.operators.fill import fill_down_up
 from wardcast.operators.lookup import flag_membership, join_lookup
 from wardcast.operators.skew import BIG_KEY_ROWS, big_keys
+from wardcast.sources.stages import Stage
 
 
 def baseline_contacts(contacts: DataFrame, baseline_fy: str, c: Cols = COLS) -> DataFrame:
@@ -34,6 +35,7 @@ def tidy_contacts(
     attendance_map: Mapping[str, Sequence[str]] = ATTENDANCE,
     big_patients: DataFrame | Sequence | None = None,
     big_patient_rows: int = BIG_KEY_ROWS,
+    stage: Stage | None = None,
     c: Cols = COLS,
 ) -> DataFrame:
     """Select, flag and recode contacts, attach the district and fill each patient's gaps.
@@ -42,11 +44,11 @@ def tidy_contacts(
     patient's contacts together. Patients with ``big_patient_rows`` or more
     contacts are found by a count over the patient column and filled in
     pieces. Where they are known, or known not to exist, ``big_patients`` names
-    them and saves that count.
+    them and saves that count. What has to be written on the way belongs to ``stage``.
     """
     rows = baseline_contacts(contacts, baseline_fy, c)
     if big_patients is None:
-        big_patients = big_keys(rows, c.patient, big_patient_rows)
+        big_patients = big_keys(rows, c.patient, big_patient_rows, stage)
     rows = rows.select(*c.regions, c.patient, c.date, c.area, c.age, c.gender,
                        c.submitter, c.attendance, c.service)
     rows = flag_consistent(rows, submitters, c).withColumns(
@@ -58,4 +60,4 @@ def tidy_contacts(
     )
     rows = join_lookup(rows, area_district.select(c.area, c.district), [c.area])
     rows = rows.drop(c.area, c.submitter)
-    return fill_down_up(rows, c.patient, c.date, c.filled, big=big_patients)
+    return fill_down_up(rows, c.patient, c.date, c.filled, big=big_patients, stage=stage)

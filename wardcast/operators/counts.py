@@ -78,20 +78,14 @@ def included_patients(counts: DataFrame, level: str, c: Cols = COLS) -> DataFram
 def patient_lad_shares(counts: DataFrame, level: str, c: Cols = COLS) -> DataFrame:
     """Share of each patient's contacts by district, within the region or nationally.
 
-    Contacts are added up by district first, so the window over a patient
-    never holds more rows than there are districts. Sum and window use one shuffle by patient.
+    A patient's window comes first and the sum by district uses its shuffle; where the table is clustered by
+    patient there is none.
     """
     keys = c.level_keys(level)
-    by_district = (
-        included_patients(counts, level, c)
-        .repartition(c.patient)
-        .groupBy(*keys, c.district, c.patient)
-        .agg(F.sum("n").alias("_n"))
-    )
-    whole = F.sum("_n").over(Window.partitionBy(*keys, c.patient))
-    return by_district.select(
-        *keys, c.district, c.patient, (F.col("_n") / whole).alias("prop")
-    )
+    whole = F.sum("n").over(Window.partitionBy(*keys, c.patient))
+    rows = included_patients(counts, level, c).withColumn("_all", whole)
+    by_district = rows.groupBy(*keys, c.district, c.patient).agg(F.sum("n").alias("_n"), F.max("_all").alias("_all"))
+    return by_district.select(*keys, c.district, c.patient, (F.col("_n") / F.col("_all")).alias("prop"))
 
 
 def _share(within: Sequence[str], order: Sequence[str], c: Cols) -> tuple[Column, Column]:
@@ -113,10 +107,10 @@ def patient_shares_both(counts: DataFrame, c: Cols = COLS) -> DataFrame:
     ``national`` and ``national_once`` are parts of the nation's, each patient's share in the first of the
     regions it has in a cell, so that adding them over regions gives the national figures.
 
-    Contacts are brought together by patient once; windows for both levels use that shuffle, with a sort each, in
+    Contacts are brought together by patient once, by the first window, unless they are clustered so; windows for both levels use that, with a sort each, in
     place of joins of shares back to the patients. Every window holds the counted cells of one patient at most.
     """
-    rows = included_patients(counts, "national", c).repartition(c.patient)
+    rows = included_patients(counts, "national", c)
     everywhere = [c.service, *c.regions]
     total, here = _share([], everywhere, c)
     person = Window.partitionBy(c.patient, *c.person)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wardcast.operators.lookup import join_lookup
 from wardcast.operators.skew import known_keys, with_big
-from wardcast.sources.marts import Stage
+from wardcast.sources.stages import Stage
 
 
 def _order(order: str, cols: Sequence[str]) -> list[Column]:
@@ -47,11 +47,10 @@ def _fill_by_window(rows: DataFrame, key: str, order: str, cols: Sequence[str])
     )
 
 
-def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str]) -> DataFrame:
+def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str], kept: Stage) -> DataFrame:
     keys = [key, order, *cols]
     day = F.to_date(order)
-    kept = Stage(rows.sparkSession)
-    combos = kept.save(rows.select(*keys).distinct().withColumn("_day", day), "combos")
+    combos = kept.scratch(rows.select(*keys).distinct().withColumn("_day", day), "combos")
 
     # One row per key and day: its first and last known value of each column.
     rank = F.struct(order, *cols)
@@ -67,7 +66,7 @@ def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str]) ->
     for c in cols:
         carry[f"_before_{c}"] = F.last(f"_last_{c}", ignorenulls=True).over(before)
         carry[f"_any_{c}"] = F.first(f"_first_{c}", ignorenulls=True).over(whole)
-    days = kept.save(days.withColumns(carry).select(key, "_day", *carry), "days")
+    days = kept.scratch(days.withColumns(carry).select(key, "_day", *carry), "days")
 
     same_day = Window.partitionBy(key, "_day").orderBy(*_order(order, cols))
     so_far = same_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -79,14 +78,20 @@ def _fill_by_day(rows: DataFrame, key: str, order: str, cols: Sequence[str]) ->
         f"_filled_{c}": F.coalesce(f"_today_{c}", f"_before_{c}", f"_any_{c}") for c in cols
     }
     gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
-    combos = kept.save(combos.filter(gap).withColumns(filled).select(*keys, *filled), "filled")
+    combos = kept.scratch(combos.filter(gap).withColumns(filled).select(*keys, *filled), "filled")
 
     out = join_lookup(rows, combos, keys, null_safe=True)
     return out.withColumns({c: F.coalesce(c, f"_filled_{c}") for c in cols}).drop(*filled)
 
 
 def fill_down_up(
-    rows: DataFrame, key: str, order: str, cols: Sequence[str], *, big: DataFrame | Sequence | None = None
+    rows: DataFrame,
+    key: str,
+    order: str,
+    cols: Sequence[str],
+    *,
+    big: DataFrame | Sequence | None = None,
+    stage: Stage | None = None,
 ) -> DataFrame:
     """Fill ``cols`` within ``key``; ``big`` holds the keys to split (a list, or see ``big_keys``).
 
@@ -99,6 +104,7 @@ def fill_down_up(
         return _fill_by_window(rows, key, order, cols).select(*columns)
     marked = with_big(rows, F.col(key), big)
     plain = _fill_by_window(marked.filter("_n IS NULL").drop("_n"), key, order, cols)
-    hot = Stage(rows.sparkSession).save(marked.filter("_n IS NOT NULL").drop("_n"), "hot")
-    split = _fill_by_day(hot, key, order, cols)
+    kept = stage or Stage(rows.sparkSession)
+    hot = kept.scratch(marked.filter("_n IS NOT NULL").drop("_n"), "hot")
+    split = _fill_by_day(hot, key, order, cols, kept)
     return plain.select(*columns).unionByName(split.select(*columns))

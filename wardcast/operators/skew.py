@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.operators.size import fits
-from wardcast.sources.marts import Stage
+from wardcast.sources.stages import Stage
 
 # A key is big from this many rows on: more than one task should sort.
 BIG_KEY_ROWS = 2_000_000
 
 
-def big_keys(rows: DataFrame, key: str | Column, min_rows: int = BIG_KEY_ROWS) -> DataFrame:
+def big_keys(
+    rows: DataFrame, key: str | Column, min_rows: int = BIG_KEY_ROWS, stage: Stage | None = None
+) -> DataFrame:
     """(_key, _n) of every key with at least ``min_rows`` rows, however many there are.
 
     Reads the key only and counts map-side before the shuffle. The table is written
@@ -23,7 +25,7 @@ def big_keys(rows: DataFrame, key: str | Column, min_rows: int = BIG_KEY_ROWS) -
     value = F.col(key) if isinstance(key, str) else key
     counts = rows.groupBy(value.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
     big = counts.filter((F.col("_n") >= min_rows) & F.col("_key").isNotNull())
-    return Stage(rows.sparkSession).save(big, "big_keys")
+    return (stage or Stage(rows.sparkSession)).scratch(big, "big_keys")
 
 
 def known_keys(rows: DataFrame, key: str, values: Sequence) -> DataFrame:

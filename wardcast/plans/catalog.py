@@ -32,7 +32,8 @@ from wardcast.operators.nest import age_data, as_map, service_data
 from wardcast.operators.project import unmatched_counts
 from wardcast.operators.skew import big_keys
 from wardcast.plans import fixtures, marts
-from wardcast.sources.marts import Stage, one_region, read_mart, write_mart
+from wardcast.sources.marts import one_region, read_mart, write_mart
+from wardcast.sources.stages import Stage
 
 DIGITS = 6
 SPLIT_FROM = 20  # rows of a patient from which the split fill is exercised

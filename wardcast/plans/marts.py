@@ -38,7 +38,8 @@ from wardcast.operators.project import (
     project_by_service,
 )
 from wardcast.operators.quality import contacts_dq, patients_dq
-from wardcast.sources.marts import Stage, write_mart
+from wardcast.sources.marts import write_mart
+from wardcast.sources.stages import Stage
 
 
 @dataclass(frozen=True)
@@ -74,23 +75,24 @@ def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, *
 
     With a ``stage`` the contact cells, the count tables and the population are
     written between jobs, so that the long chain over the contacts runs once
-    for all published tables, and later steps read small tables.
+    for all published tables, and later steps read small tables. What is kept by patient is clustered so: after
+    the fill's shuffle patients are brought together no more.
     """
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        return stage.save(df, name) if stage else df
+    def keep(make: Callable[[], DataFrame], name: str, cluster: str | None = None) -> DataFrame:
+        return stage.save(make, name, cluster=cluster) if stage else make()
 
     def people() -> dict:
-        popn = keep(fy_population(inputs.population, c=c), "fy_population")
+        popn = keep(lambda: fy_population(inputs.population, c=c), "fy_population")
         shares = area_shares(inputs.area_region, inputs.area_district, c)
 
         def growth() -> Growth:
             found = growth_by_cell(popn, c)
-            return measured(replace(found, cells=keep(found.cells, "growth")))
+            return measured(replace(found, cells=keep(lambda: found.cells, "growth")))
 
         region, nation, growths = together(
-            lambda: keep(region_population(shares, popn, c), "region_population"),
-            lambda: keep(national_population(popn, c), "national_population"),
+            lambda: keep(lambda: region_population(shares, popn, c), "region_population"),
+            lambda: keep(lambda: national_population(popn, c), "national_population"),
             growth,
         )
         return {
@@ -101,18 +103,21 @@ def base_tables(inputs: Inputs, stage: Stage | None = None, *, c: Cols = COLS, *
         }
 
     def by_patient(cells: DataFrame) -> dict:
-        patients = keep(patient_counts(cells, c), "patient_counts")
-        both = keep(patient_shares_both(patients, c), "patient_shares")
+        patients = keep(lambda: patient_counts(cells, c), "patient_counts", c.patient)
+        both = keep(lambda: patient_shares_both(patients, c), "patient_shares")
         shares = {level: shares_of_level(both, level, c) for level in LEVELS}
         return {"patient_counts": patients, "patient_shares": shares}
 
     def demand() -> dict:
-        rows = tidy_contacts(
-            inputs.contacts, inputs.area_district, inputs.submitters, c=c, **tidy
-        )
-        cells = keep(contact_cells(rows, c), "contact_cells")
+        def cells_of_contacts() -> DataFrame:
+            rows = tidy_contacts(
+                inputs.contacts, inputs.area_district, inputs.submitters, stage=stage, c=c, **tidy
+            )
+            return contact_cells(rows, c)
+
+        cells = keep(cells_of_contacts, "contact_cells", c.patient)
         contacts, patients = together(
-            lambda: keep(contact_counts(cells, c), "contact_counts"), lambda: by_patient(cells)
+            lambda: keep(lambda: contact_counts(cells, c), "contact_counts"), lambda: by_patient(cells)
         )
         return {"contact_counts": contacts, **patients}
 
@@ -176,12 +181,25 @@ def build_mart(base: Base, measure: str, level: str, c: Cols = COLS) -> DataFram
     return mart.select(*keys, "service_data", "data", *[x for x in dq.columns if x != c.region])
 
 
-def publish(spark: SparkSession, inputs: Inputs, root: str, *, c: Cols = COLS, **tidy) -> Base:
-    """Compute and write all four published tables under ``root``."""
-    base = base_tables(inputs, Stage(spark), c=c, **tidy)
+def publish(
+    spark: SparkSession,
+    inputs: Inputs,
+    root: str,
+    *,
+    run: str | None = None,
+    version: str = "",
+    c: Cols = COLS,
+    **tidy,
+) -> list[str]:
+    """Compute and write all four published tables under ``root``; their paths.
+
+    Tables between jobs are removed at the end. With a name for the ``run``, those of a try that failed are used by the
+    next one of that name and ``version`` (of the inputs and parameters, as the caller counts them).
+    """
+    with Stage(spark, run=run, inputs=version) as stage:
+        base = base_tables(inputs, stage, c=c, **tidy)
 
-    def write(measure: str, level: str) -> None:
-        write_mart(build_mart(base, measure, level, c), root, measure, level, c)
+        def write(measure: str, level: str) -> str:
+            return write_mart(build_mart(base, measure, level, c), root, measure, level, c)
 
-    together(*[partial(write, m, lv) for m in MEASURES for lv in LEVELS])
-    return base
+        return together(*[partial(write, m, lv) for m in MEASURES for lv in LEVELS])
