@@ -13,6 +13,7 @@ from wardcast.operators.clean import tidy_contacts
 from wardcast.operators.nest import age_data, nest, service_data
 from wardcast.plans import catalog, fixtures, marts
 from wardcast.sources import files, tables
+from wardcast.sources.contract import Field, by_contract
 from wardcast.sources import marts as store
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -34,9 +35,35 @@ def test_population_variant_prunes_folders(spark, tmp_path):
     popn = fixtures.population(fixtures.StarTables(spark, SF_DIR)).limit(50)
     for variant, factor in (("principal_proj", 1), ("high", 2)):
         popn.withColumn("value", F.col("value") * factor).write.parquet(f"{tmp_path}/projection={variant}")
+    (tmp_path / "projection=broken").mkdir()
+    (tmp_path / "projection=broken" / "a.parquet").write_text("not to be opened")
     out = tables.load_population(spark, str(tmp_path))
     assert out.count() == 50
-    assert re.search(r"PartitionFilters: \[.*projection.*principal_proj", plan(out))
+    assert {f.split("projection=")[1].split("/")[0] for f in out.inputFiles()} == {"principal_proj"}
+    with pytest.raises(ValueError):
+        tables.load_population(spark, str(tmp_path), "../other")
+
+
+def test_contract_sets_rows_aside_with_reasons(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    df = spark.createDataFrame(
+        [("1", "2022-05-01", "x"), ("P2", "2022-05-02", "y"), ("3", None, "z"), ("bad", "31/12/2022", None), (None, "2022-05-03", "w")],
+        "id string, `seen on` string, rest string",
+    )
+    df.write.parquet(path)
+    fields = [Field("patient", "id", "bigint"), Field("day", "seen on", "date", True), Field("rest", "rest")]
+    checked = by_contract(spark.read.parquet(path), fields)
+    assert checked.rows.dtypes == [("patient", "bigint"), ("day", "date"), ("rest", "string")]
+    assert rows(checked.rows) == [(None, dt.date(2022, 5, 3), "w"), (1, dt.date(2022, 5, 1), "x")]
+    assert rows(checked.rejects, "id", "reasons") == [
+        ("3", ["day: missing"]), ("P2", ["patient: not a bigint"]), ("bad", ["patient: not a bigint", "day: not a date"]),
+    ]
+    assert dict(rows(checked.counts())) == {
+        None: 2, "day: missing": 1, "patient: not a bigint": 2, "day: not a date": 1,
+    }
+    assert by_contract(df.limit(0), fields).rows.count() == 0
+    with pytest.raises(ValueError, match="missing columns: nowhere"):
+        by_contract(df, [Field("a", "nowhere")])
 
 
 def test_contacts_are_renamed_and_pruned(spark, tmp_path):

@@ -29,13 +29,17 @@ from wardcast.operators.clean import flag_consistent, tidy_contacts
 from wardcast.operators.fill import fill_down_up
 from wardcast.operators.lookup import join_lookup
 from wardcast.operators.nest import age_data, as_map, service_data
-from wardcast.operators.project import unmatched_counts
+from wardcast.operators.project import project, unmatched_counts
 from wardcast.operators.skew import big_keys
 from wardcast.plans import fixtures, marts
+from wardcast.sources import tables
 from wardcast.sources.marts import one_region, read_mart, write_mart
 from wardcast.sources.stages import Stage
 
 DIGITS = 6
+#: Names of the provider's columns, by ours.
+RAW_NAMES = {c.patient: "Person_ID", c.date: "Contact_Date", c.service: "TeamType"}
+HORIZON = "2032_33"  # for queries of a single horizon
 SPLIT_FROM = 20  # rows of a patient from which the split fill is exercised
 
 
@@ -69,6 +73,34 @@ class Workspace:
         )
         return marts.Inputs(**dict(zip(raw, saved)))
 
+    @cached_property
+    def raw(self) -> str:
+        """The inputs as a provider's files: their names, text for numbers and dates, some of it unreadable.
+
+        Forecasts lie in folders by variant; in the low one some cells begin with nobody.
+        """
+        i, save = self.inputs, self.stage.save
+        patient = F.when(F.col(c.patient) % 101 == 5, F.concat(F.lit("P"), F.col(c.patient))).otherwise(F.col(c.patient).cast("string"))
+        day = F.when(F.dayofmonth(c.date) == 31, F.lit(None)).when(F.dayofmonth(c.date) == 30, F.concat(F.col(c.date).cast("string"), F.lit("x")))
+        contacts = i.contacts.withColumns({c.patient: patient, c.date: F.when(F.dayofmonth(c.date) < 30, F.col(c.date).cast("string")).otherwise(day)})
+        extra = F.lit("name")
+        value = F.col("value").cast("string")
+        principal = i.population.withColumn("value", value).withColumn("projection", F.lit("principal_proj"))
+        nobody = (F.col("age") == 85) & (F.col("sex") == 1) & (F.col("year") <= 2023)
+        unread = F.when(F.col("age") == 3, F.lit(None)).when(F.col("age") == 4, "n/a")
+        low = i.population.withColumn("value", F.when(nobody, "0").when(F.col("age").isin(3, 4), unread).otherwise(value))
+        popn = principal.unionByName(low.withColumn("projection", F.lit("low_proj")))
+        save(contacts.withColumnsRenamed(RAW_NAMES).withColumn("unused", F.lit(1)), "raw_contacts")
+        save(i.area_region.withColumn("area_name", extra), "raw_area_region")
+        save(i.area_district.withColumn("area_name", extra), "raw_area_district")
+        save(i.submitters.withColumn("name", extra), "raw_submitters")
+        save(popn, "raw_population", "projection")
+        return f"{self.stage.root}/raw_"
+
+    def low_population(self) -> DataFrame:
+        """Forecast of the low variant by financial year."""
+        return population.fy_population(tables.check_population(self.spark, f"{self.raw}population", "low_proj").rows)
+
     @cached_property
     def base(self) -> marts.Base:
         return marts.base_tables(self.inputs, self.stage)
@@ -220,7 +252,54 @@ def _exclusions(w: Workspace) -> DataFrame:
     )
 
 
+def _contacts_in(w: Workspace) -> tables.Checked:
+    return tables.check_contacts(w.spark, f"{w.raw}contacts", RAW_NAMES)
+
+
+def _rejected_contacts(w: Workspace) -> DataFrame:
+    rejects = _contacts_in(w).rejects
+    return rejects.select("Person_ID", "Contact_Date", c.submitter, F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _rejected_population(w: Workspace) -> DataFrame:
+    return tables.check_population(w.spark, f"{w.raw}population", "low_proj").counts()
+
+
+def _projected_low(w: Workspace) -> DataFrame:
+    """Contacts grown by the low forecast: sums with a cell of undefined growth are missing."""
+    counts_ = counts.included_contacts(w.base.contact_counts, "region")
+    return project(counts_, w.low_population(), c.regions)
+
+
+def _projected_matched(w: Workspace) -> DataFrame:
+    counts_ = counts.included_contacts(w.base.contact_counts, "region")
+    return project(counts_, w.base.growth, c.regions, by_age=False, unmatched="drop")
+
+
 QUERIES: dict[str, Query] = {
+    "load_contacts": lambda w: _contacts_in(w).rows,
+    "rejected_contacts": _rejected_contacts,
+    "contact_reasons": lambda w: _contacts_in(w).counts(),
+    "load_area_region": lambda w: tables.load_area_lookup(w.spark, f"{w.raw}area_region"),
+    "load_area_district": lambda w: tables.load_area_lookup(w.spark, f"{w.raw}area_district", "cd$"),
+    "load_submitters": lambda w: tables.load_submitters(w.spark, f"{w.raw}submitters"),
+    "load_population": lambda w: tables.check_population(w.spark, f"{w.raw}population").rows,
+    "rejected_population": _rejected_population,
+    "undefined_growth": lambda w: population.undefined_growth(w.low_population()),
+    "project_undefined": _projected_low,
+    "project_matched": _projected_matched,
+    "total_of_year": lambda w: compare.total_by_year(w.mart("contacts", "region"), HORIZON),
+    "headline_horizon": lambda w: compare.headline(w.mart("contacts", "region"), horizon=HORIZON),
+    "change_by_age_horizon": lambda w: compare.change_by_age(*w.both("contacts"), horizon=HORIZON),
+    "top_age_change_horizon": lambda w: compare.top_age_change(w.mart("contacts", "region"), horizon=HORIZON),
+    "change_by_service_horizon": lambda w: compare.change_by_service(*w.both("contacts"), horizon=HORIZON),
+    "service_comparison_page": lambda w: compare.service_comparison(
+        *w.both("patients"), horizon=HORIZON, page=1
+    ),
+    "service_order_horizon": lambda w: compare.service_order(*w.both("contacts"), horizon=HORIZON),
+    "top_service_change_horizon": lambda w: compare.top_service_change(
+        w.mart("patients", "region"), horizon=HORIZON
+    ),
     "tidy_contacts": _tidy,
     "fill_down_up": _fill(split=False),
     "fill_down_up_split": _fill(split=True),

@@ -605,6 +605,44 @@ SELECT concat_ws('; ', CASE WHEN patient_id IS NULL THEN 'no patient' END,
 FROM fx_contacts LEFT JOIN fx_lsoa_lad USING (lsoa11cd) GROUP BY ALL"""
 
 
+CTE["raw_contacts"] = """
+SELECT * REPLACE (CASE WHEN patient_id % 101 = 5 THEN 'P' || CAST(patient_id AS VARCHAR) ELSE CAST(patient_id AS VARCHAR) END AS patient_id,
+ CASE WHEN day(contact_date) = 31 THEN NULL ELSE CAST(contact_date AS VARCHAR) || CASE WHEN day(contact_date) = 30 THEN 'x' ELSE '' END END
+  AS contact_date),
+ concat_ws('; ', CASE WHEN patient_id % 101 = 5 THEN 'patient_id: not a bigint' END,
+  CASE WHEN day(contact_date) = 30 THEN 'contact_date: not a date' WHEN day(contact_date) = 31 THEN 'contact_date: missing' END) AS reasons
+FROM fx_contacts"""
+SQL["load_contacts"] = """
+SELECT * EXCLUDE (reasons) REPLACE (CAST(patient_id AS BIGINT) AS patient_id, CAST(contact_date AS DATE) AS contact_date)
+FROM raw_contacts WHERE reasons = ''"""
+SQL["rejected_contacts"] = """
+SELECT patient_id AS "Person_ID", contact_date AS "Contact_Date", submitter_id, reasons FROM raw_contacts WHERE reasons <> ''"""
+SQL["contact_reasons"] = """
+SELECT NULLIF(reason, '') AS reason, count(*) AS rows FROM (SELECT unnest(string_split(reasons, '; ')) AS reason FROM raw_contacts) GROUP BY ALL"""
+SQL["load_area_region"] = "SELECT * FROM fx_lsoa_icb"
+SQL["load_area_district"] = "SELECT * FROM fx_lsoa_lad"
+SQL["load_submitters"] = "SELECT * FROM fx_consistent"
+SQL["load_population"] = f"SELECT year, area_code, age, sex, {rnd('value')} AS value FROM fx_popn"
+SQL["rejected_population"] = """
+SELECT CASE age WHEN 3 THEN 'value: missing' WHEN 4 THEN 'value: not a double' END AS reason, count(*) AS rows FROM fx_popn GROUP BY ALL"""
+CTE["low_growth"] = f"""
+SELECT {PERSON}, fin_year, CASE WHEN age_int = 85 AND gender_cat = 'Male' THEN NULL ELSE growth_coeff END AS growth_coeff
+FROM fy_popn WHERE age_int NOT IN (3, 4)"""
+SQL["undefined_growth"] = f"SELECT DISTINCT {PERSON} FROM low_growth WHERE growth_coeff IS NULL"
+SQL["project_undefined"] = f"""
+SELECT {REG}, fin_year, age_int, CASE WHEN count(growth_coeff) = count(*) THEN {rnd('sum(count * growth_coeff)')} END AS projected_count
+FROM contacts_sv_region LEFT JOIN low_growth USING ({PERSON}) GROUP BY ALL"""
+SQL["project_matched"] = f"""
+SELECT {REG}, fin_year, {rnd('sum(count * growth_coeff)')} AS projected_count
+FROM contacts_sv_region JOIN fy_popn USING ({PERSON}) GROUP BY ALL"""
+SQL["total_of_year"] = f"""
+SELECT {REG}, fin_year, {rnd('total')} AS projected_count FROM total_contacts_region WHERE fin_year = '{MIDPOINT}'"""
+SQL["headline_horizon"] = f"SELECT * FROM ({headline('contacts', 'region')}) WHERE horizon = '{MIDPOINT}'"
+for name in ("change_by_age", "top_age_change", "change_by_service", "service_order", "top_service_change"):
+    SQL[f"{name}_horizon"] = f"SELECT * FROM ({SQL[name]}) WHERE horizon = '{MIDPOINT}'"
+SQL["service_comparison_page"] = f"SELECT * FROM ({SQL['service_comparison']}) WHERE horizon = '{MIDPOINT}' AND page = 1"
+
+
 def _named(text: str) -> list[str]:
     """Common table expressions a text refers to."""
     return [n for n in CTE if re.search(rf"\b{n}\b", text)]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcast.columns import COLS, Cols
+from wardcast.sources.contract import Checked, Field, by_contract
 from wardcast.sources.schemas import check_schema, contacts_schema, population_schema
 
 
@@ -37,6 +38,20 @@ def load_contacts(
     return check_schema(df, contacts_schema(c), loose=(c.patient, c.date, c.age))
 
 
+def check_contacts(
+    spark: SparkSession, source: str, mapping: Mapping[str, str] | None = None, c: Cols = COLS
+) -> Checked:
+    """Contacts as they come, mostly text: rows whose patient or date can't be read are set aside with reasons.
+
+    A missing patient is allowed (cleaning leaves such contacts out), a missing date is not. Ages stay text: what is not a
+    number is an unknown age.
+    """
+    mapping = mapping or {}
+    kinds = {c.patient: "bigint", c.date: "date"}
+    fields = [Field(n, mapping.get(n, n), kinds.get(n), n == c.date) for n in contacts_schema(c).names]
+    return by_contract(open_table(spark, source), fields)
+
+
 def load_area_lookup(spark: SparkSession, source: str, pattern: str = "(cd|cdh)$") -> DataFrame:
     return select_matching(open_table(spark, source), pattern)
 
@@ -47,14 +62,23 @@ def load_submitters(
     return open_table(spark, source).select(column)
 
 
+def variant_folder(spark: SparkSession, path: str, variant: str) -> DataFrame:
+    """One variant of the forecasts, from its own folder: the others are neither listed nor opened."""
+    if not re.fullmatch(r"[\w.-]+", variant):
+        raise ValueError(f"not the name of a variant: {variant!r}")
+    return spark.read.option("basePath", path).parquet(f"{path}/projection={variant}")
+
+
 def load_population(
     spark: SparkSession, path: str, variant: str = "principal_proj"
 ) -> DataFrame:
-    """One variant of the forecasts, stored as ``projection=<variant>`` folders.
-
-    Reads the parent folder and filters on its partition column, so that only
-    the wanted folder is listed and scanned.
-    """
-    rows = spark.read.option("basePath", path).parquet(path)
-    rows = rows.filter(F.col("projection") == variant)
+    """One variant of the forecasts, stored as ``projection=<variant>`` folders."""
+    rows = variant_folder(spark, path, variant)
     return check_schema(rows, population_schema(), loose=("year", "age", "sex", "value"))
+
+
+def check_population(spark: SparkSession, path: str, variant: str = "principal_proj") -> Checked:
+    """The same with rows set aside that lack a value or have one of another type."""
+    kinds = {"year": "int", "age": "int", "sex": "int", "value": "double"}
+    fields = [Field(n, n, kinds.get(n), True) for n in population_schema().names]
+    return by_contract(variant_folder(spark, path, variant), fields)
