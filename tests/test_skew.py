@@ -104,6 +104,21 @@ def test_salted_join_equals_broadcast_join(spark):
         assert large.columns == small.columns
 
 
+def test_copies_of_one_row_land_in_several_tasks(spark):
+    same = spark.range(20_000).select(F.lit("E1").alias("lad18cd"), F.lit(7).alias("v"))
+    other = spark.createDataFrame([("E2", 8), (None, 9), ("E1", 7)], "lad18cd string, v int")
+    df = same.union(other).repartition(4)
+    table = spark.createDataFrame([("E1", 1), ("E2", 3)], "lad18cd string, w int")
+    out = join_lookup(df, table, ["lad18cd"], max_rows=0, big_rows=500)
+    by_task = out.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(by_task) >= 4 and max(r["count"] for r in by_task) < 9_000
+    assert rows(out.groupBy(*out.columns).count()) == [(None, 9, None, 1), ("E1", 7, 1, 20_001), ("E2", 8, 3, 1)]
+    # one row for all copies of a task is what the join itself takes
+    assert "partial_count(1)" in plan(out)
+    with_map = df.withColumn("m", F.create_map(F.lit("a"), "v"))
+    assert join_lookup(with_map, table, ["lad18cd"], max_rows=0, big_rows=500).count() == 20_003
+
+
 def test_salt_spreads_a_big_key_only(spark):
     df = uneven(spark)
     left, right = salted(df, spark.range(100).toDF("_r_patient_id"), ["patient_id"], ["_r_patient_id"],

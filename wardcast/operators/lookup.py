@@ -8,7 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcast.operators.size import MAX_BROADCAST_ROWS, fits
-from wardcast.operators.skew import BIG_KEY_ROWS, salted
+from wardcast.operators.skew import (
+    BIG_KEY_ROWS,
+    big_keys,
+    counted,
+    key_code,
+    salted,
+    spread_copies,
+    with_big,
+)
 
 def _keys_match(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:
     out = F.lit(True)
@@ -32,18 +40,27 @@ def join_lookup(
 
     A lookup of a checked small size is broadcast, so ``rows`` are not
     shuffled. Beyond that the join shuffles on the keys, and keys with at least
-    ``big_rows`` rows are salted; exact copies of one row share a salt and are
-    left to the adaptive skew-join. ``small`` hands in an earlier measurement
-    of the same lookup (see ``fits``).
+    ``big_rows`` rows are salted by the row. Copies of one row can't be told apart by that, so rows of such
+    keys are counted first, joined once each, and spread over the tasks again after the join. ``small`` hands in an
+    earlier measurement of the same lookup (see ``fits``).
     """
     right = lookup.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     right_keys = [f"_r_{k}" for k in keys]
     if fits(lookup, max_rows) if small is None else small:
         right = F.broadcast(right)
         return rows.join(right, _keys_match(rows, right, keys, null_safe), "left").drop(*right_keys)
-    left, right = salted(rows, right, keys, right_keys, big_rows)
+    code = key_code(keys)
+    big = big_keys(rows, code, big_rows)
+    if big.isEmpty():
+        return rows.join(right, _keys_match(rows, right, keys, null_safe), "left").drop(*right_keys)
+    marked = with_big(rows, code, big)
+    plain = marked.filter("_n IS NULL").drop("_n")
+    plain = plain.join(right, _keys_match(plain, right, keys, null_safe), "left").drop(*right_keys)
+    hot = counted(marked.filter("_n IS NOT NULL").drop("_n"))
+    left, right = salted(hot, right, keys, right_keys, big_rows, big)
     match = _keys_match(left, right, keys, null_safe) & (left["_salt"] == right["_r_salt"])
-    return left.join(right, match, "left").drop("_salt", "_r_salt", *right_keys)
+    hot = left.join(right, match, "left").drop("_salt", "_r_salt", *right_keys)
+    return plain.unionByName(spread_copies(hot, big_rows))
 
 
 def join_results(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardcast.operators.size import fits
 from wardcast.sources.stages import Stage
@@ -43,7 +44,7 @@ def with_big(rows: DataFrame, value: Column, big: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(big) if fits(big) else big, "_key", "left").drop("_key")
 
 
-def _code(keys: Sequence[str]) -> Column:
+def key_code(keys: Sequence[str]) -> Column:
     """One number per key, the same on both sides of a join whatever their integer types."""
     return F.xxhash64(*[F.col(k).cast("string") for k in keys])
 
@@ -54,15 +55,17 @@ def salted(
     keys: Sequence[str],
     lookup_keys: Sequence[str],
     min_rows: int = BIG_KEY_ROWS,
+    big: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Add a join key ``_salt`` / ``_r_salt`` that spreads a big key over a task per ``min_rows`` rows.
 
     Only lookup rows of big keys are repeated. The salt is taken from the
     whole row, never from chance or row position, so that a task which runs
-    again puts every row where it was.
+    again puts every row where it was. ``big`` hands in the big keys if they are known.
     """
-    code, lookup_code = _code(keys), _code(lookup_keys)
-    big = big_keys(rows, code, min_rows)
+    code, lookup_code = key_code(keys), key_code(lookup_keys)
+    if big is None:
+        big = big_keys(rows, code, min_rows)
     if big.isEmpty():
         return rows.withColumn("_salt", F.lit(0)), lookup.withColumn("_r_salt", F.lit(0))
     salts = F.coalesce(F.ceil(F.col("_n") / F.lit(min_rows)), F.lit(1)).cast("int")
@@ -71,3 +74,33 @@ def salted(
     right = with_big(lookup, lookup_code, big)
     right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_n")
     return left, right
+
+
+def _countable(kind: T.DataType) -> bool:
+    """Can rows be grouped by a column of this type? Maps can't, nor what holds them."""
+    if isinstance(kind, T.StructType):
+        return all(_countable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _countable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def counted(rows: DataFrame, name: str = "_copies") -> DataFrame:
+    """Different rows with the number of their copies, counted map-side: a row's copies become one row a task."""
+    if not all(_countable(f.dataType) for f in rows.schema):
+        return rows.withColumn(name, F.lit(1).cast("long"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(name))
+
+
+def spread_copies(rows: DataFrame, size: int = BIG_KEY_ROWS, name: str = "_copies") -> DataFrame:
+    """As many copies of each row as ``name`` says, those of one row in pieces of ``size`` over the tasks.
+
+    A copy's piece is its ordinal among the copies, so it lands in the same task if that runs again.
+    """
+    copies = F.col(name)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((copies - 1) / size))))
+    dealt = pieces.repartition(parts, F.xxhash64(*rows.columns), "_piece")
+    here = F.least(F.lit(size).cast("long"), copies - F.col("_piece") * size)
+    each = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), here)))
+    return each.drop("_copy", "_piece", name)
