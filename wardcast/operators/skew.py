@@ -49,6 +49,20 @@ def key_code(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k).cast("string") for k in keys])
 
 
+def _countable(kind: T.DataType) -> bool:
+    """Can rows be grouped by a column of this type? Maps can't, nor what holds them."""
+    if isinstance(kind, T.StructType):
+        return all(_countable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _countable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _row_code(rows: DataFrame) -> Column:
+    """One number for equal rows, from all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if _countable(f.dataType)])
+
+
 def salted(
     rows: DataFrame,
     lookup: DataFrame,
@@ -70,26 +84,17 @@ def salted(
         return rows.withColumn("_salt", F.lit(0)), lookup.withColumn("_r_salt", F.lit(0))
     salts = F.coalesce(F.ceil(F.col("_n") / F.lit(min_rows)), F.lit(1)).cast("int")
     left = with_big(rows, code, big)
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), salts).cast("int")).drop("_n")
+    left = left.withColumn("_salt", F.pmod(_row_code(rows), salts).cast("int")).drop("_n")
     right = with_big(lookup, lookup_code, big)
     right = right.withColumn("_r_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_n")
     return left, right
 
 
-def _countable(kind: T.DataType) -> bool:
-    """Can rows be grouped by a column of this type? Maps can't, nor what holds them."""
-    if isinstance(kind, T.StructType):
-        return all(_countable(f.dataType) for f in kind)
-    if isinstance(kind, T.ArrayType):
-        return _countable(kind.elementType)
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
 def counted(rows: DataFrame, name: str = "_copies") -> DataFrame:
     """Different rows with the number of their copies, counted map-side: a row's copies become one row a task."""
     if not all(_countable(f.dataType) for f in rows.schema):
         return rows.withColumn(name, F.lit(1).cast("long"))
-    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias(name))
+    return rows.groupBy(*[f"`{n}`" for n in rows.columns]).agg(F.count(F.lit(1)).alias(name))
 
 
 def spread_copies(rows: DataFrame, size: int = BIG_KEY_ROWS, name: str = "_copies") -> DataFrame:
@@ -100,7 +105,7 @@ def spread_copies(rows: DataFrame, size: int = BIG_KEY_ROWS, name: str = "_copie
     copies = F.col(name)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((copies - 1) / size))))
-    dealt = pieces.repartition(parts, F.xxhash64(*rows.columns), "_piece")
+    dealt = pieces.repartition(parts, _row_code(rows), "_piece")
     here = F.least(F.lit(size).cast("long"), copies - F.col("_piece") * size)
     each = dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), here)))
     return each.drop("_copy", "_piece", name)
