@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.llm.shared import Sent, fields_udf, ship
+from wardcast.llm.shared import Sent, fields_udf, ship, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5, 7)
@@ -64,7 +64,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
         share = int(sample / total * (1 << 30))
         own = own.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < share)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return texts.join(F.broadcast(own), "_id")  # 12 bytes a row, at most about ``sample`` rows
+    held = texts.join(F.broadcast(own), "_id")  # 12 bytes a row, at most about ``sample`` rows
+    # An id that repeats is one example, whatever its rows: the text with the smallest hash.
+    one = held.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("_one"))
+    return stage(one.select("_id", "_one._text", "_y"), "labelled")
 
 
 def term_counts(labelled: DataFrame) -> DataFrame:
@@ -121,7 +124,10 @@ class Index:
         keys = sorted(same, key=lambda k: ([t for t, _ in sorted(k, key=lambda x: -self.weight(*x))], k))
         self.n = np.array([same[k][0] for k in keys], float)
         self.toxic = np.array([same[k][1] for k in keys], float)
-        self.ids = np.array([same[k][2] for k in keys], np.int64)
+        self.ids = [same[k][2] for k in keys]
+        #: Place of each entry by its id, whatever the type of ids.
+        self.place = np.empty(len(keys), np.int64)
+        self.place[sorted(range(len(keys)), key=lambda e: self.ids[e])] = np.arange(len(keys))
         size = settings.block
         self.blocks = -(-len(keys) // size)
         held: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -170,7 +176,7 @@ class Index:
             found = np.flatnonzero((totals > 0) & (totals >= np.partition(totals, -k)[-k] - 1e-9))
         else:
             found = np.flatnonzero(totals)
-        found = found[np.lexsort((self.ids[found], -totals[found].round(9)))][:k]
+        found = found[np.lexsort((self.place[found], -totals[found].round(9)))][:k]
         return found, totals[found]
 
     def add(self, totals: np.ndarray, own: list[tuple[int, float]], blocks: np.ndarray) -> None:
@@ -192,7 +198,7 @@ class Index:
             found, votes = found[:need], cosines[:need] ** 2
             weight = self.settings.smoothing
             share = float(votes @ self.toxic[found] + weight * self.base) / float(votes @ self.n[found] + weight)
-            self.known[key] = share, self.ids[found].tolist(), [self.names[t] for t, _ in key]
+            self.known[key] = share, [self.ids[e] for e in found], [self.names[t] for t, _ in key]
         return self.known[key]
 
 
@@ -240,7 +246,8 @@ def toxicity(
     to learn from every score is 0. The score depends on the text alone.
     """
     model = Sent(docs.sparkSession, learn(training, labels, label, id_col, text_col, settings))
-    scored = fields_udf(score_batch, "score double, neighbours array<bigint>, terms array<string>", model, settings)
+    kind = labels.schema[id_col].dataType.simpleString()
+    scored = fields_udf(score_batch, f"score double, neighbours array<{kind}>, terms array<string>", model, settings)
     return scored(F.col(text_col))
 
 
@@ -263,6 +270,11 @@ def score_documents(
 def without_toxic(
     docs: DataFrame, training: DataFrame, labels: DataFrame, settings: Settings = Settings(), text_col: str = "text"
 ) -> DataFrame:
-    """Rows of ``docs``, all columns, with a score below the threshold."""
+    """Rows of ``docs``, all columns, without those that the index shows to be toxic.
+
+    A row goes if its score reaches the threshold and it has a term of the index: a text without any, an empty or null one
+    too, has the rate of its like for a score, which is no evidence against it. So rows all stay if there is nothing to
+    learn from. Repeated rows share their fate; an empty table gives an empty result.
+    """
     found = toxicity(docs, training, labels, text_col=text_col, settings=settings)
-    return docs.filter(found["score"] < settings.threshold)
+    return docs.filter((found["score"] < settings.threshold) | (F.size(found["terms"]) == 0))
