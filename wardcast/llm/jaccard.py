@@ -10,8 +10,8 @@
 4. Nodes of large blocks meet once, by the first such block each is in, in tasks of bounded size. There a
    star is drawn around each set that is in none yet, and its centre is compared with all others.
 5. Large blocks that still hold several groups are searched exactly: a signature tree over each part, a dual
-   traversal of every two parts, and only pairs of different groups come out that were not compared
-   before. Listed pairs are then compared by their sets.
+   traversal of every two parts, and pairs of different groups that come through are compared by their sets in
+   the same task. Only links come out, fewer than there are groups.
 
 Large blocks are cut into parts of bounded size, and every pair of parts is a task of its own; nothing is
 capped, and no link is lost: pairs within a group need none to give the same components.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardcast.llm.components import smallest_reachable
-from wardcast.llm.shared import Sent, fields_udf, ship, stage, value_udf
+from wardcast.llm.shared import Sent, fields_udf, free_name, ship, stage, value_udf
 from wardcast.llm.signature_tree import (
     Groups, Threshold, Tree, Widths, common, enough, pairs, shingle_sets,
 )
@@ -50,10 +50,9 @@ class Near:
     #: Shingles that are counted together, and how often one must occur there to be frequent.
     counted: int = 2_000_000
     repeats: int = 2
-    #: Nodes of a small block, and of a part of a large one.
+    #: Nodes of a small block.
     small: int = 8
-    part: int = 512
-    #: Shingles in a task that compares sets, and pairs of one node there.
+    #: Shingles in a task that compares sets (two parts of a large block), and pairs of one node there.
     task: int = 2_000_000
     rays: int = 256
     #: Signatures of all documents, and of those in large blocks.
@@ -237,22 +236,25 @@ def tree_pairs(rows: pd.DataFrame, near: Near) -> Iterator[np.ndarray]:
             yield np.stack([a.node[x[new]], b.node[y[new]]])
 
 
-def large_pairs(near: Near, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) from the blocks of one partition, whose rows come sorted by block and parts."""
-    key, held = ["h", "p", "q"], None
-    for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = (held[key] == held[key].iloc[-1]).all(axis=1)
-        done, held = held[~last], held[last]
-        yield from pairs_of_blocks(near, done)
-    if held is not None:
-        yield from pairs_of_blocks(near, held)
+def linked_parts(near: Near, rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between the groups of two parts of a block: what the trees let through is compared at once.
 
-
-def pairs_of_blocks(near: Near, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    found = [p for _, block in rows.groupby(["h", "p", "q"], sort=False) for p in tree_pairs(block, near)]
-    if found and (all_ := np.concatenate(found, 1)).size:
-        yield pd.DataFrame({"a": all_.min(0), "b": all_.max(0)}).drop_duplicates()
+    Pairs whose groups a link has joined are passed over, so there are fewer links than groups.
+    """
+    rows = rows.drop_duplicates("node", ignore_index=True)  # repeated rows
+    sets = as_sets(rows["elements"])
+    rows["signature"] = [near.fine.signature(s).tobytes() for s in sets]
+    at = {node: i for i, node in enumerate(rows["node"])}
+    number = np.unique(rows["root"], return_inverse=True)[1]
+    groups, links = Groups(len(rows)), []
+    for found in tree_pairs(rows, near):
+        for a, b in zip(*found.tolist()):
+            i, j = at[a], at[b]
+            x, y = int(number[i]), int(number[j])
+            if groups.find(x) != groups.find(y) and near.threshold.links(len(sets[i]), len(sets[j]), common(sets[i], sets[j])):
+                groups.join(x, y)
+                links.append((min(a, b), max(a, b)))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def verified(near: Near, listed: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -279,6 +281,11 @@ def components(
     are linked with nothing, not with each other either, and keep their own id. Rows that repeat an id are rows like
     others. Only the two named columns are read; an empty table gives an empty result.
     """
+    return grouped(docs, id_col, text_col, near).drop("_text", "_root").withColumnRenamed("_id", id_col)
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, near: Near) -> DataFrame:
+    """The columns of ``components`` with the hash of the text and the component's node (null: no shingle)."""
     rows = described(docs, id_col, text_col, near)
     nodes = stage(node_table(rows), "nodes")
     shared = stage(shared_postings(nodes, near), "shared")
@@ -289,8 +296,8 @@ def components(
     drawn = stars_of_blocks(placed, sets, near)
     links = drawn.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified_links(listed, sets, near))
     roots = connected(sets.select("node").distinct(), links)
-    roots = connected(roots, verified_links(pairs_in_large(large, drawn, roots, near), sets, near), roots)
-    return labelled(rows, nodes, roots).withColumnRenamed("_id", id_col)
+    roots = connected(roots, links_in_large(large, drawn, roots, sets, near), roots)
+    return labelled(rows, nodes, roots)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, near: Near) -> DataFrame:
@@ -380,11 +387,15 @@ def stars_of_blocks(placed: DataFrame, sets: DataFrame, near: Near) -> DataFrame
     return stage(first.join(merged, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"), "drawn")
 
 
-def pairs_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, near: Near) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of large blocks that may be linked, are in different groups and weren't compared."""
+def links_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between nodes of different groups in large blocks, but for some that other links connect anyway.
+
+    A block is cut into parts of bounded volume, and every two parts meet in a task of their own, with their sets: it
+    emits links, never what may be one, so what comes out is less than what went in.
+    """
     rows = large.select("h", "node", "n").join(roots, "node")
-    live = rows.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_size"))
-    live = live.filter("_a < _b").select("h", F.ceil(F.col("_size") / F.lit(near.part)).cast("int").alias("parts"))
+    live = rows.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.sum("n").alias("_load"))
+    live = live.filter("_a < _b").select("h", F.ceil(F.col("_load") * 2 / F.lit(near.task)).cast("int").alias("parts"))
     rows = rows.join(live, "h").withColumn("part", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
     meets = F.transform(  # every two parts, and each with itself
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -392,14 +403,15 @@ def pairs_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, near: N
     )
     dealt = rows.select("h", "node", "n", "root", "part", F.explode(meets).alias("_with"))
     first = (F.col("part") == F.col("_with.p")).alias("first")
-    dealt = dealt.select("h", "_with.p", "_with.q", "node", "n", "root", first).join(drawn.drop("root"), "node")
+    dealt = dealt.select("h", "_with.p", "_with.q", "node", "n", "root", first)
+    held = sets.filter(F.col("tile").isNotNull()).select("node", "elements").dropDuplicates(["node"])
+    dealt = dealt.join(drawn.select("node", "tile", "centre"), "node").join(held, "node")
     ship()
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return large_pairs(near, batches)
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        return linked_parts(near, rows)
 
-    dealt = dealt.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
-    return dealt.mapInPandas(search, "a long, b long").distinct()
+    return stage(dealt.groupBy("h", "p", "q").applyInPandas(link, "a long, b long"), "links")
 
 
 def needed_sets(
@@ -479,11 +491,13 @@ def labelled(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Each row with its class and component."""
     classes = nodes.select("digest", "node", "class_size").join(roots, "node", "left")
     classes = classes.select("digest", "class_size", F.coalesce("root", "node").alias("root"))
-    found = rows.select("_id", "n_shingles", "digest").join(classes, "digest", "left")
+    found = rows.select("_id", "_text", "n_shingles", "digest").join(classes, "digest", "left")
     sizes = found.filter(F.col("root").isNotNull()).groupBy("root")
     sizes = sizes.agg(F.min("_id").alias("_least"), F.count("*").alias("component_size"))
     return found.join(sizes, "root", "left").select(
         "_id",
+        "_text",
+        F.col("root").alias("_root"),
         "n_shingles",
         F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("component_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
@@ -492,10 +506,26 @@ def labelled(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:
-    """Rows of ``docs``, all columns: of each component the row with the smallest id (with all that repeat this id).
+    """Rows of ``docs``, all columns: one row of each component, that of the smallest id (null ids come last).
 
-    Rows without any shingle and rows without an id stay.
+    Rows are told apart by id and text, so a row that shares its id with a copy of another stays if its own text is like no other's. Of
+    rows with the staying id the smallest hash of the text decides, and of rows alike in both one stays. Rows without
+    any shingle all stay. An empty table gives an empty result; columns of any name pass through.
     """
-    found = components(docs, id_col, text_col, near)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone.filter(F.col("_gone").isNotNull()), F.col(id_col) == F.col("_gone"), "left_anti")
+    found = stage(grouped(docs, id_col, text_col, near).filter(F.col("_root").isNotNull()), "grouped")
+    place = F.struct(F.col("_id").isNull().alias("absent"), "_id", "_text")
+    kept = found.groupBy("_root").agg(F.min(place).alias("_kept"))
+    gone = found.select("_root", "_id", "_text").distinct().join(kept, "_root")
+    own, text = free_name(docs, "_gone_id"), free_name(docs, "_gone_text")
+    gone = gone.filter(~F.col("_text").eqNullSafe(F.col("_kept._text")) | ~F.col("_id").eqNullSafe(F.col("_kept._id")))
+    gone = gone.select(F.col("_id").alias(own), F.col("_text").alias(text))
+    same = lambda other: F.col(id_col).eqNullSafe(other[own]) & (F.xxhash64(docs[text_col]) == other[text])
+    left = docs.join(gone, same(gone), "left_anti")
+    twice = found.groupBy("_id", "_text").agg(F.count("*").alias("_n")).filter("_n > 1")
+    twice = twice.select(F.col("_id").alias(own), F.col("_text").alias(text))
+    if twice.isEmpty():
+        return left
+    rank = free_name(docs, "_rank")
+    alike = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+    once = left.join(twice, same(twice), "left_semi").withColumn(rank, F.row_number().over(alike))
+    return left.join(twice, same(twice), "left_anti").unionByName(once.filter(F.col(rank) == 1).drop(rank))
