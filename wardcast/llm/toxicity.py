@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 
 from wardcast.llm.shared import Sent, fields_udf, ship, stage
 
+#: Numbers of the index's terms with their counts, in order.
+Key = tuple[tuple[int, int], ...]
+#: Texts whose score a worker keeps, for copies.
+KNOWN = 10_000
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5, 7)
 
@@ -100,16 +104,28 @@ def chi_square(total: int, toxic: int) -> Column:
     return F.when(product > 0, total * (a * d - b * c) * (a * d - b * c) / product).otherwise(0.0)
 
 
+def packed(key: Key) -> bytes:
+    return np.array(key, np.int32).tobytes()
+
+
+def key_of(counts: dict[str, int], number: dict[str, int]) -> Key:
+    """The index's terms in a text, with how often they occur."""
+    return tuple(sorted((number[t], n) for t, n in counts.items() if t in number))
+
+
 class Index:
-    """Labelled vectors by term and block, with the largest weight of each."""
+    """Labelled vectors by term and block, with the largest weight of each.
 
-    def __init__(self, idf: dict[str, float], rows: list[tuple[int, int, dict[str, int]]], settings: Settings):
-        self.settings, self.by_number = settings, list(idf.values())
+    ``rows`` are (id, label, counts of terms); counts may be packed, which a driver holds in little space.
+    """
+
+    def __init__(self, idf: dict[str, float], rows: list[tuple[int, int, dict[str, int] | bytes]], settings: Settings):
+        self.settings, self.by_number = settings, np.array(list(idf.values()), float)
         self.number, self.names = {t: i for i, t in enumerate(idf)}, list(idf)
-        same: dict[tuple, list] = defaultdict(lambda: [0, 0, None])
+        same: dict[bytes, list] = defaultdict(lambda: [0, 0, None])
         without = [0, 0]
         for id_, y, counts in rows:
-            key = self.key(counts)
+            key = counts if isinstance(counts, bytes) else packed(self.key(counts))
             if not key:
                 without[0] += 1
                 without[1] += y
@@ -121,33 +137,45 @@ class Index:
         n, toxic = len(rows), sum(y for _, y, _ in rows)
         self.base = without[1] / without[0] if without[0] else toxic / n if n else 0.0
         # Vectors that share their strongest terms come to stand together, which sharpens the bounds.
-        keys = sorted(same, key=lambda k: ([t for t, _ in sorted(k, key=lambda x: -self.weight(*x))], k))
+        keys = sorted(same, key=self.by_strength)
         self.n = np.array([same[k][0] for k in keys], float)
         self.toxic = np.array([same[k][1] for k in keys], float)
-        self.ids = [same[k][2] for k in keys]
+        self.ids = np.empty(len(keys), object)
+        self.ids[:] = [same[k][2] for k in keys]
         #: Place of each entry by its id, whatever the type of ids.
         self.place = np.empty(len(keys), np.int64)
         self.place[sorted(range(len(keys)), key=lambda e: self.ids[e])] = np.arange(len(keys))
-        size = settings.block
-        self.blocks = -(-len(keys) // size)
-        held: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for e, k in enumerate(keys):
-            for t, w in self.vector(k):
-                held[t].append((e, w))
+        self.blocks = -(-len(keys) // settings.block)
         self.entries, self.weights, self.block_of = {}, {}, {}
         #: Blocks that hold a term, and the largest weight in each.
         self.bound: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t, postings in held.items():
-            self.entries[t] = np.array([e for e, _ in postings])
-            self.weights[t] = np.array([w for _, w in postings])
-            self.block_of[t] = self.entries[t] // size
-            own, first = np.unique(self.block_of[t], return_index=True)
-            self.bound[t] = own, np.maximum.reduceat(self.weights[t], first)
-        self.known: dict[tuple, tuple] = {}
-
-    def key(self, counts: dict[str, int]) -> tuple[tuple[int, int], ...]:
-        """The index's terms in a text, with how often they occur."""
-        return tuple(sorted((self.number[t], n) for t, n in counts.items() if t in self.number))
+        self.index_postings(keys)
+        self.known: dict[bytes, tuple] = {}
+
+    def by_strength(self, key: bytes) -> tuple[bytes, bytes]:
+        """An order of keys: by their terms, heaviest first, then by all they hold."""
+        own = np.frombuffer(key, np.int32).reshape(-1, 2)
+        weight = (1 + np.log(own[:, 1])) * self.by_number[own[:, 0]]
+        return own[np.argsort(-weight, kind="stable"), 0].astype(">i4").tobytes(), own.astype(">i4").tobytes()
+
+    def index_postings(self, keys: list[bytes]) -> None:
+        """Postings of all terms, cut from flat arrays."""
+        if not keys:
+            return
+        own = np.frombuffer(b"".join(keys), np.int32).reshape(-1, 2)
+        entry = np.repeat(np.arange(len(keys)), [len(k) // 8 for k in keys])
+        weight = (1 + np.log(own[:, 1])) * self.by_number[own[:, 0]]
+        weight /= np.sqrt(np.bincount(entry, weight * weight))[entry]
+        order = np.argsort(own[:, 0], kind="stable")
+        term, entry, weight = own[order, 0], entry[order], weight[order]
+        cuts = np.flatnonzero(np.diff(term)) + 1
+        for t, e, w in zip(term[np.r_[0, cuts]].tolist(), np.split(entry, cuts), np.split(weight, cuts)):
+            self.entries[t], self.weights[t], self.block_of[t] = e, w, e // self.settings.block
+            held, first = np.unique(self.block_of[t], return_index=True)
+            self.bound[t] = held, np.maximum.reduceat(w, first)
+
+    def key(self, counts: dict[str, int]) -> Key:
+        return key_of(counts, self.number)
 
     def weight(self, term: int, n: int) -> float:
         return (1 + math.log(n)) * self.by_number[term]
@@ -190,16 +218,17 @@ class Index:
         key = self.key(counts)
         if not key:
             return self.base, [], []
-        if key not in self.known:
-            if len(self.known) > 100_000:
+        asked = packed(key)
+        if asked not in self.known:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             found, cosines = self.nearest(key)
             need = np.searchsorted(np.cumsum(self.n[found]), self.settings.neighbours) + 1
             found, votes = found[:need], cosines[:need] ** 2
             weight = self.settings.smoothing
             share = float(votes @ self.toxic[found] + weight * self.base) / float(votes @ self.n[found] + weight)
-            self.known[key] = share, [self.ids[e] for e in found], [self.names[t] for t, _ in key]
-        return self.known[key]
+            self.known[asked] = share, self.ids[found].tolist(), [self.names[t] for t, _ in key]
+        return self.known[asked]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, settings: Settings) -> dict:
@@ -215,14 +244,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     best = sorted(telling.select("term", "n", strength.alias("_s")).collect(), key=lambda r: (-r["_s"], r["term"]))
     idf = {r["term"]: math.log((total + 1) / (r["n"] + 1)) + 1 for r in best}
 
+    number = {t: i for i, t in enumerate(idf)}
+
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kept = [{t: n for t, n in terms(x).items() if t in idf} for x in batch["_text"]]
+            kept = [packed(key_of(terms(x), number)) for x in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "_t": kept})
 
     kind = rows.schema["_id"].dataType.simpleString()
-    found = rows.mapInPandas(vectors, f"_id {kind}, _y int, _t map<string,long>").collect()
-    return {"idf": idf, "rows": sorted(((r["_id"], int(r["_y"] > 0), r["_t"]) for r in found), key=lambda r: (r[0], r[1]))}
+    found = rows.mapInPandas(vectors, f"_id {kind}, _y int, _t binary").toArrow()  # about ``sample`` rows
+    ids, labels_, held = (found.column(c).to_pylist() for c in ("_id", "_y", "_t"))
+    return {"idf": idf, "rows": sorted(zip(ids, (int(y > 0) for y in labels_), held), key=lambda r: (r[0], r[1]))}
 
 
 def score_batch(model: Sent, settings: Settings, texts: pd.Series) -> pd.DataFrame:
