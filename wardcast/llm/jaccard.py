@@ -404,8 +404,13 @@ def links_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, sets: D
     dealt = rows.select("h", "node", "n", "root", "part", F.explode(meets).alias("_with"))
     first = (F.col("part") == F.col("_with.p")).alias("first")
     dealt = dealt.select("h", "_with.p", "_with.q", "node", "n", "root", first)
-    held = sets.filter(F.col("tile").isNotNull()).select("node", "elements").dropDuplicates(["node"])
-    dealt = dealt.join(drawn.select("node", "tile", "centre"), "node").join(held, "node")
+    dealt = stage(dealt.join(drawn.select("node", "tile", "centre"), "node"), "dealt")
+    if dealt.isEmpty():
+        return dealt.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    # Only the sets of blocks with several groups are moved.
+    held = sets.filter(F.col("tile").isNotNull()).select(F.col("node").alias("_node"), "elements")
+    held = maybe_among(held, "_node", dealt, "node").dropDuplicates(["_node"])
+    dealt = dealt.join(held, F.col("node") == F.col("_node")).drop("_node")
     ship()
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:

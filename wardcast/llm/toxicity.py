@@ -27,7 +27,7 @@ from wardcast.llm.shared import Sent, fields_udf, ship, stage
 #: Numbers of the index's terms with their counts, in order.
 Key = tuple[tuple[int, int], ...]
 #: Texts whose score a worker keeps, for copies.
-KNOWN = 10_000
+KNOWN = 60_000
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5, 7)
 
