@@ -431,6 +431,21 @@ def test_permutation_is_one_and_can_be_undone():
     assert token_output.permuted(np.arange(1000), 1000, 5).tolist() != token_output.permuted(np.arange(1000), 1000, 6).tolist()
 
 
+def unpacked(records) -> dict:
+    """The tokens of each document from the records that hold its parts."""
+    found = []
+    for r in records:
+        ids, at = np.frombuffer(r["record"], "<u2"), 0
+        assert len(r["doc_ids"]) == len(r["parts"]) == len(r["n_tokens"])
+        for i, part, n in zip(r["doc_ids"], r["parts"], r["n_tokens"]):
+            found.append((part, i, ids[at : at + n].tolist()))
+            at += n
+    parts = defaultdict(list)
+    for _, i, tokens in sorted(found, key=lambda f: f[0]):
+        parts[i] += tokens
+    return parts
+
+
 def test_records_round_trip_and_shards_resume(spark, tmp_path):
     layout = token_output.Layout(sequence=16, shard=8, partition=32)
     rows = [(i, text(RNG.randint(0, 60)) + " ünï") for i in range(50)] + [(50, ""), (51, None), (51, None)]
@@ -440,12 +455,11 @@ def test_records_round_trip_and_shards_resume(spark, tmp_path):
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
     assert all(len(r["record"]) == layout.stride and r["byte_offset"] == r["slot"] % 8 * layout.stride for r in got)
     codec = token_output.encoding(layout.vocabulary)
-    parts = defaultdict(list)
-    for r in sorted(got, key=lambda r: r["part"]):
-        parts[r["doc_id"]] += np.frombuffer(r["record"], "<u2")[: r["n_tokens"]].tolist()
+    parts = unpacked(got)
     for i, t in rows[:-2]:
         assert parts[i][-1] == layout.end_token and codec.decode(parts[i][:-1]) == (t or "")
     assert parts[51] == [layout.end_token] * 2
+    assert sum(sum(r["n_tokens"]) < layout.sequence for r in got) <= 3  # only the last of a writing task is filled up
 
     folder = str(tmp_path / "shards")
     first = token_output.write_shards(records, folder, layout).collect()
@@ -466,7 +480,7 @@ def test_rows_come_from_written_shards(spark, tmp_path):
     folder = f"{tmp_path}/shards"
     rows = token_output.sharded_records(docs, layout=layout, to=f"file://{folder}")
     got = sorted(rows.collect(), key=lambda r: r["slot"])
-    assert {r["doc_id"] for r in got} == {2**60 + 1, None, 3}
+    assert set(unpacked(got)) == {2**60 + 1, None, 3}
     assert [r["record"] for r in got] == [x.tobytes() for x in token_output.read_slots(folder, 0, 10**6, layout)]
     for r in got:
         with open(r["path"], "rb") as file:
@@ -476,6 +490,38 @@ def test_rows_come_from_written_shards(spark, tmp_path):
     assert sorted(rows.collect(), key=lambda r: r["slot"]) == got
 
 
+def test_a_broken_run_goes_on_and_stale_shards_are_not_read(spark, tmp_path, monkeypatch):
+    layout = token_output.Layout(sequence=16, shard=8, partition=32)
+    docs = spark.createDataFrame([(f"d{i}", text(30)) for i in range(60)], "doc_id string, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, to = spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/shards"
+    first = sorted(token_output.sharded_records(docs, layout=layout, to=to).collect(), key=lambda r: r["slot"])
+    times = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard-*.bin")}
+    lacking, torn = tmp_path / "shards" / token_output.shard_name(1), tmp_path / "shards" / token_output.shard_name(2)
+    lacking.unlink()
+    torn.write_bytes(torn.read_bytes()[:-3])
+
+    def encoded(*_):
+        raise AssertionError("encoded again")
+
+    monkeypatch.setattr(token_output, "write_sequences", encoded)
+    again = token_output.sharded_records(docs, layout=layout, to=to)
+    assert sorted(again.collect(), key=lambda r: r["slot"]) == first
+    changed = {p.name for p in (tmp_path / "shards").glob("shard-*.bin") if p.stat().st_mtime_ns != times[p.name]}
+    assert changed == {lacking.name, torn.name}
+    for other, own in ((docs.limit(20), layout), (docs, token_output.Layout(sequence=16, shard=8, partition=32, key=3))):
+        with pytest.raises(ValueError, match="another input or layout"):
+            token_output.sharded_records(other, layout=own, to=to)
+    count = len(first)
+    (tmp_path / "shards" / token_output.shard_name(count // 8 + 1)).write_bytes(b"x" * 8 * layout.stride)
+    assert len(list(token_output.read_slots(to, 0, 10**6, layout))) == count
+    bad = bytearray(lacking.read_bytes())
+    bad[5] ^= 1
+    lacking.write_bytes(bytes(bad))
+    with pytest.raises(Exception, match="differs from what was written"):
+        token_output.sharded_records(docs, layout=layout, to=to).collect()
+
+
 def test_query_and_stage_write_shards(spark, tmp_path):
     spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")

@@ -78,8 +78,9 @@ def test_defined_results(spark, odd, labels, benchmark):
 
 def test_token_records(spark, odd):
     got = token_output.training_records(odd).collect()
-    assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5, 6, None}
+    assert {i for r in got for i in r["doc_ids"]} == {1, 2, 3, 4, 5, 6, None}
     assert token_output.training_records(docs(spark, [])).collect() == []
+    assert token_output.sharded_records(docs(spark, [])).collect() == []
 
 
 def test_pages(spark):

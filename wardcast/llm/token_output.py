@@ -1,27 +1,29 @@
 """Token sequences in training order, as records of one length.
 
-Texts are encoded once and cut into sequences, which are numbered without gaps. A keyed Feistel
-permutation, walked along its cycle until it falls below their number, gives every sequence a global
+Texts are encoded once, packed one behind the other within a writing task and cut into sequences, which are
+numbered without gaps; only the last sequence of a task is filled up. A keyed Feistel permutation, walked along its cycle until it falls below their number, gives every sequence a global
 slot: a shuffle that needs no sort, can be computed for any one sequence and is undone with the same key.
 Slots fall evenly into shards; each range of shards is one partition in order of slots, so shards can be
-written and read sequentially, and reading resumes at ``slot * stride`` bytes.
+written and read sequentially, and reading resumes at ``slot * stride`` bytes. A manifest beside the shards names
+layout, input and count: a run that broke off goes on with the staged sequences and moves tokens of lacking shards only.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from wardcast.llm.shared import VOCABULARIES, encoding, folder, ship, stage, value_udf
+from wardcast.llm.shared import VOCABULARIES, encoding, folder, ship, value_udf
 
 ROUNDS = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -30,7 +32,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Layout:
     vocabulary: str = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
-    #: Token after each document; fills up the last sequence. Ids are stored in 16 bits.
+    #: Token after each document; fills up the last sequence of a task. Ids are stored in 16 bits.
     end_token: int = 50_256
     sequence: int = 512
     #: Sequences in a shard.
@@ -45,16 +47,50 @@ class Layout:
         return 2 * self.sequence
 
 
-def encode(layout: Layout, texts: pd.Series) -> pd.Series:
-    """The sequences of each text as little-endian 16-bit ids; an empty text has the end token only."""
+#: Sequences of a batch that a packing task hands on.
+BATCH = 4_096
+
+
+def packed(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """The sequences of a task: each text's tokens as little-endian 16-bit ids and its end token, text behind text.
+
+    With a sequence come the ids of the documents in it, the part of each that it holds and that part's tokens, in order.
+    """
     codec = encoding(layout.vocabulary)
-    out = []
-    for text in texts:
-        ids = codec.encode_ordinary(text) if text else []
-        ids.append(layout.end_token)
-        data = np.array(ids, "<u2").tobytes()
-        out.append([data[i : i + layout.stride] for i in range(0, len(data), layout.stride)])
-    return pd.Series(out, dtype=object)
+    rows: list[tuple[list, list[int], list[int], bytes]] = []
+    ids, parts, sizes, data = [], [], [], bytearray()
+
+    def batch() -> pa.RecordBatch:
+        types = (pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=list(PACKED))
+
+    for texts in batches:
+        kind = texts.schema.field(0).type
+        for id_, text in zip(texts.column(0).to_pylist(), texts.column(1)):
+            tokens = codec.encode_ordinary(text.as_py() or "")
+            tokens.append(layout.end_token)
+            tokens = np.array(tokens, "<u2").tobytes()
+            part = at = 0
+            while at < len(tokens):
+                piece = tokens[at : at + layout.stride - len(data)]
+                data += piece
+                ids.append(id_)
+                parts.append(part)
+                sizes.append(len(piece) // 2)
+                part, at = part + 1, at + len(piece)
+                if len(data) == layout.stride:
+                    rows.append((ids, parts, sizes, bytes(data)))
+                    ids, parts, sizes, data = [], [], [], bytearray()
+                    if len(rows) == BATCH:
+                        yield batch()
+                        rows.clear()
+    if data:
+        rows.append((ids, parts, sizes, bytes(data)))
+    if rows:
+        yield batch()
+
+
+PACKED = ("ids", "parts", "sizes", "tokens")
 
 
 def round_keys(key: int) -> list[np.uint64]:
@@ -97,53 +133,81 @@ def slots(count: int, key: int, numbers: pd.Series) -> pd.Series:
     return pd.Series(permuted(numbers.to_numpy(np.int64), count, key))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, layout: Layout) -> tuple[DataFrame, int]:
-    """(_id, part, tokens, number): every sequence with a number from 0 without gaps, and how many there are.
+def write_sequences(docs: DataFrame, id_col: str, text_col: str, layout: Layout, path: str) -> None:
+    """The packed sequences of all texts as a table; each writing task counts its own from 0."""
+    ship()
+    own, whole = docs.select(F.col(id_col), F.col(text_col)), IntegerType()
+    kinds = (ArrayType(own.schema[0].dataType), ArrayType(whole), ArrayType(whole), BinaryType())
+    cut = own.mapInArrow(lambda b: packed(b, layout), StructType([StructField(n, k) for n, k in zip(PACKED, kinds)]))
+    cut = cut.withColumn("_at", F.monotonically_increasing_id())
+    cut.write.mode("overwrite").option("parquet.compression.codec.zstd.level", 9).parquet(path, compression="zstd")
+
+
+def numbered(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The sequences of a written table with a number from 0 without gaps, and how many there are.
 
-    Sequences are written once; each writing task counted its own from 0, and a table with one row per
-    such task says where its numbers begin.
+    A table with one row per writing task says where its numbers begin.
     """
-    found = value_udf(encode, "array<binary>", layout)(F.col(text_col))
-    cut = docs.select(F.col(id_col).alias("_id"), F.posexplode(found).alias("part", "tokens"))
-    written = stage(cut.withColumn("_at", F.monotonically_increasing_id()), "sequences", "zstd")
+    written = spark.read.parquet(path)
     task, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = {r["_task"]: r["n"] for r in written.groupBy(task.alias("_task")).agg(F.count("*").alias("n")).toLocalIterator()}
     begins, total = [], 0
     for t in sorted(sizes):  # one number per writing task
         begins.append((t, total))
         total += sizes[t]
-    begin = docs.sparkSession.createDataFrame(begins, "_task long, _begin long")
+    begin = spark.createDataFrame(begins, "_task long, _begin long")
     rows = written.withColumn("_task", task).join(F.broadcast(begin), "_task")
-    return rows.select("_id", "part", "tokens", (F.col("_begin") + place).alias("number")), total
+    return rows.select(*PACKED, (F.col("_begin") + place).alias("number")), total
 
 
-def training_records(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = Layout()
-) -> DataFrame:
-    """One row per sequence: slot, shard, byte_offset in the shard, id, part, n_tokens, record.
+def finished(bits: bytes, shards: pd.Series) -> pd.Series:
+    """Whether the bit of each shard is set."""
+    at = shards.to_numpy(np.int64)
+    return pd.Series((np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
 
-    Rows are in partitions of consecutive shards and ordered by slot. ``record`` is the sequence, filled up with
-    the end token to one stride. Every row of ``docs`` gives its tokens and the end token; null counts as
-    empty; repeated rows and null ids are rows like others. An empty table gives an empty result.
+
+def in_slots(rows: DataFrame, count: int, id_col: str, layout: Layout, there: bytes = b"") -> DataFrame:
+    """Numbered sequences as records in partitions of consecutive shards, in order of slots.
+
+    ``there`` has a bit for each shard that is finished: its records are null, their tokens are not moved.
     """
-    rows, count = numbered(docs, id_col, text_col, layout)
     slot = value_udf(slots, "long", count, layout.key)(F.col("number"))
-    rows = rows.withColumn("slot", slot).withColumn("shard", F.floor(F.col("slot") / layout.shard))
+    rows = rows.withColumn("slot", slot).drop("number")
+    shard = F.floor(F.col("slot") / layout.shard)
+    if any(there):
+        done = value_udf(finished, "boolean", there)(shard)
+        rows = rows.withColumn("tokens", F.when(~done, F.col("tokens")))
     shards = -(-count // layout.shard)
     partitions = max(1, min(shards, -(-count // layout.partition)))
-    dealt = rows.repartitionById(partitions, F.floor(F.col("shard") * partitions / F.lit(max(1, shards))).cast("int"))
+    dealt = rows.repartitionById(partitions, F.floor(shard * partitions / F.lit(max(1, shards))).cast("int"))
     filling = F.lit(layout.end_token.to_bytes(2, "little"))
     return dealt.sortWithinPartitions("slot").select(
         "slot",
-        "shard",
+        shard.alias("shard"),
         (F.col("slot") % layout.shard * layout.stride).alias("byte_offset"),
-        F.col("_id").alias(id_col),
-        "part",
-        (F.octet_length("tokens") / 2).cast("int").alias("n_tokens"),
+        F.col("ids").alias(f"{id_col}s"),
+        "parts",
+        F.col("sizes").alias("n_tokens"),
         F.rpad("tokens", layout.stride, filling).alias("record"),
     )
 
 
+def training_records(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: Layout = Layout()
+) -> DataFrame:
+    """One row per sequence: slot, shard, byte_offset in the shard, ids, parts, n_tokens, record.
+
+    Rows are in partitions of consecutive shards and ordered by slot. The lists ``<id_col>s``, ``parts`` and ``n_tokens``
+    say which documents the sequence holds one behind the other, which part of each (from 0) and with how many tokens;
+    ``record`` is the sequence, filled up with the end token to one stride where a writing task ended. Every row of ``docs``
+    gives its tokens and the end token; null counts as empty; repeated rows and null ids are rows like others. An empty
+    table gives an empty result.
+    """
+    path = folder(docs.sparkSession, "sequences")
+    write_sequences(docs, id_col, text_col, layout, path)
+    return in_slots(*numbered(docs.sparkSession, path), id_col, layout)
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -153,24 +217,35 @@ CHECKS = (StructField("crc32", LongType()), StructField("shard_crc32", LongType(
 
 
 class Shard:
-    """A shard that is being written beside its place; ``close`` renames it."""
+    """A shard that is being written beside its place; ``close`` renames it. One that is ``there`` is only read."""
 
-    def __init__(self, folder: str, number: int):
+    def __init__(self, folder: str, number: int, there: bool = False):
         self.number, self.path = int(number), f"{folder}/{shard_name(number)}"
         self.rows = self.size = self.crc = 0
-        self.temporary = f"{folder}/.{shard_name(number)}.{os.getpid()}.{os.urandom(4).hex()}"
-        os.makedirs(folder, exist_ok=True)
-        self.file = open(self.temporary, "wb")  # noqa: SIM115
+        self.file, suffix = None, f".{os.getpid()}.{os.urandom(4).hex()}"
+        self.temporary, self.sum = f"{folder}/.{shard_name(number)}{suffix}", f"{self.path}.crc32"
+        if there:
+            self.crc = read_sum(self.sum)
+        else:
+            os.makedirs(folder, exist_ok=True)
+            self.file = open(self.temporary, "wb")  # noqa: SIM115
 
     def add(self, records: list[bytes]) -> None:
-        data = b"".join(records)
-        self.file.write(data)
-        self.rows, self.size, self.crc = self.rows + len(records), self.size + len(data), zlib.crc32(data, self.crc)
+        self.rows += len(records)
+        if self.file:
+            data = b"".join(records)
+            self.file.write(data)
+            self.size, self.crc = self.size + len(data), zlib.crc32(data, self.crc)
 
     def close(self) -> bool:
         """Whether the shard is new: one that is there with its full length and checksum is left as it is."""
+        if not self.file:
+            return False
         self.file.close()
         fresh = not same_file(self.path, self.size, self.crc)
+        with open(f"{self.temporary}.crc32", "w") as file:
+            file.write(str(self.crc))
+        os.replace(f"{self.temporary}.crc32", self.sum)
         if fresh:
             os.replace(self.temporary, self.path)
         else:
@@ -178,6 +253,11 @@ class Shard:
         return fresh
 
 
+def read_sum(path: str) -> int:
+    with open(path) as file:
+        return int(file.read())
+
+
 def write_shards(
     records: DataFrame, folder: str, layout: Layout = Layout(), rows: bool = False
 ) -> DataFrame:
@@ -232,7 +312,7 @@ def shards_of(
             if shard is None or numbers[a] != shard.number:
                 if shard:
                     yield shard, shard.close(), held
-                shard, held = Shard(folder, numbers[a]), []
+                shard, held = Shard(folder, numbers[a], not batch.column("record")[a].is_valid), []
             part = batch.slice(a, b - a)
             shard.add(part.column("record").to_pylist())
             held.append(part)
@@ -273,11 +353,61 @@ def sharded_records(
     """Rows of ``training_records``, written as shards to the folder ``to`` and read from there, with checksums.
 
     Without ``to`` the shards go to a new folder below the one that executors share. The tasks that work out the rows
-    write the shards, so these are there once all rows have been read; given the same folder, a run
-    that broke off goes on with the shards that it lacks.
+    write the shards, so these are there once all rows have been read. Given the folder of a run that broke off, texts
+    are not encoded again, and of finished shards neither tokens are moved nor files written. A folder that
+    holds shards of another input or layout is an error, so its shards are never mixed with others.
     """
-    records = training_records(docs, id_col, text_col, layout)
-    return write_shards(records, to or folder(docs.sparkSession, "shards"), layout, rows=True)
+    spark = docs.sparkSession
+    place = to or folder(spark, "shards")
+    path, sequences = local_path(place), f"{place}/sequences"
+    wanted = {"layout": asdict(layout), "input": input_digest(docs, id_col, text_col) if to else None}
+    known = read_manifest(path)
+    if known is None:
+        if os.path.exists(f"{path}/{shard_name(0)}"):
+            raise ValueError(f"{place} holds shards without a manifest")
+        write_sequences(docs, id_col, text_col, layout, sequences)
+    elif {k: known[k] for k in wanted} != wanted:
+        raise ValueError(f"{place} holds shards of another input or layout")
+    rows, count = numbered(spark, sequences)
+    if known is None:
+        write_manifest(path, wanted | {"count": count})
+    return write_shards(in_slots(rows, count, id_col, layout, finished_shards(path, count, layout)), place, layout, rows=True)
+
+
+def input_digest(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
+    """Number of rows, and sums of two hashes of all of them: the same whatever their order."""
+    one, two = F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col, F.lit(1))
+    sums = docs.agg(F.count("*"), *(F.sum(h.cast("decimal(20)")) for h in (one, two))).first()
+    return [str(x or 0) for x in sums]
+
+
+MANIFEST = "manifest.json"
+
+
+def read_manifest(folder: str) -> dict | None:
+    path = f"{folder}/{MANIFEST}"
+    if not os.path.exists(path):
+        return None
+    with open(path) as file:
+        return json.load(file)
+
+
+def write_manifest(folder: str, found: dict) -> None:
+    os.makedirs(folder, exist_ok=True)
+    temporary = f"{folder}/.{MANIFEST}.{os.urandom(4).hex()}"
+    with open(temporary, "w") as file:
+        json.dump(found, file)
+    os.replace(temporary, f"{folder}/{MANIFEST}")
+
+
+def finished_shards(folder: str, count: int, layout: Layout) -> bytes:
+    """A bit for each shard: whether it lies there with its full length and a checksum. A shard is renamed when complete."""
+    bits = np.zeros(-(-count // layout.shard), bool)
+    names = {e.name: e.stat().st_size for e in os.scandir(folder) if e.name.startswith("shard-")}
+    for name, size in names.items():
+        if name.endswith(".bin") and f"{name}.crc32" in names and (n := int(name[6:-4])) < len(bits):
+            bits[n] = size == layout.stride * min(layout.shard, count - n * layout.shard)
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def same_file(path: str, size: int, crc: int) -> bool:
@@ -291,8 +421,9 @@ def same_file(path: str, size: int, crc: int) -> bool:
 
 
 def read_slots(folder: str, start: int, stop: int, layout: Layout = Layout()) -> Iterator[np.ndarray]:
-    """Token ids of the slots from ``start`` up to ``stop``, sequentially, shard after shard."""
-    slot = start
+    """Token ids of the slots from ``start`` up to ``stop``, sequentially, shard after shard, to the manifest's count."""
+    slot, known = start, read_manifest(folder)
+    stop = min(stop, known["count"]) if known else stop
     while slot < stop:
         path = f"{folder}/{shard_name(slot // layout.shard)}"
         if not os.path.exists(path):
