@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 
 import corpus_pipeline
 from wardcast.llm import (
@@ -490,6 +491,15 @@ def test_rows_come_from_written_shards(spark, tmp_path):
     assert sorted(rows.collect(), key=lambda r: r["slot"]) == got
 
 
+@pytest.mark.parametrize("size", [0, 2_048])
+def test_sequences_are_opened_as_they_were(size):
+    layout = token_output.Layout(sequence=64, dictionary=size)
+    ids = [np.array([RNG.randint(0, 300) for _ in range(64)], "<u2").tobytes() for _ in range(500)]
+    words = zstandard.train_dictionary(size, ids).as_bytes() if size else b""
+    held = token_output.squeezed(words, pd.Series([*ids, ids[0][:6]])).tolist()
+    assert token_output.opened(words, layout, [*held, None]) == [*ids, ids[0][:6] + b"\x50\xc4" * 61, None]
+
+
 def test_a_broken_run_goes_on_and_stale_shards_are_not_read(spark, tmp_path, monkeypatch):
     layout = token_output.Layout(sequence=16, shard=8, partition=32)
     docs = spark.createDataFrame([(f"d{i}", text(30)) for i in range(60)], "doc_id string, text string").repartition(3)

@@ -15,10 +15,12 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
@@ -40,6 +42,9 @@ class Layout:
     key: int = 2_024
     #: Sequences of a partition of the result, about.
     partition: int = 65_536
+    #: Sequences are compressed on their way to their shards by a dictionary of so many bytes, learned from so many sequences.
+    dictionary: int = 65_536
+    dictionary_sample: int = 2_048
 
     @property
     def stride(self) -> int:
@@ -160,19 +165,46 @@ def numbered(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return rows.select(*PACKED, (F.col("_begin") + place).alias("number")), total
 
 
+def learned(rows: DataFrame, layout: Layout) -> bytes:
+    """A dictionary from a few sequences; it changes the bytes that are moved only. Empty where they are too few or too alike."""
+    some = [r["tokens"] for r in rows.select("tokens").limit(layout.dictionary_sample).collect()]
+    try:
+        return zstandard.train_dictionary(layout.dictionary, some).as_bytes() if some else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+@lru_cache(maxsize=2)
+def dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data) if data else None
+
+
+def squeezed(data: bytes, records: pd.Series) -> pd.Series:
+    codec = zstandard.ZstdCompressor(level=3, dict_data=dictionary(data), write_dict_id=False)
+    return pd.Series([codec.compress(r) for r in records], dtype=object)
+
+
+def opened(data: bytes, layout: Layout, records: list[bytes | None]) -> list[bytes | None]:
+    """What ``squeezed`` was given, filled up with the end token to one stride; null stays."""
+    codec, filling = zstandard.ZstdDecompressor(dict_data=dictionary(data)), layout.end_token.to_bytes(2, "little")
+    found = [None if r is None else codec.decompress(r) for r in records]
+    return [r if r is None else r + filling * ((layout.stride - len(r)) // 2) for r in found]
+
+
 def finished(bits: bytes, shards: pd.Series) -> pd.Series:
     """Whether the bit of each shard is set."""
     at = shards.to_numpy(np.int64)
     return pd.Series((np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
 
 
-def in_slots(rows: DataFrame, count: int, id_col: str, layout: Layout, there: bytes = b"") -> DataFrame:
-    """Numbered sequences as records in partitions of consecutive shards, in order of slots.
+def in_slots(rows: DataFrame, count: int, id_col: str, layout: Layout, words: bytes, there: bytes = b"") -> DataFrame:
+    """Numbered sequences as records in partitions of consecutive shards, in order of slots; ``opened`` gives their bytes.
 
-    ``there`` has a bit for each shard that is finished: its records are null, their tokens are not moved.
+    ``words`` is the dictionary. ``there`` has a bit for each shard that is finished: its records are null, their tokens are not moved.
     """
     slot = value_udf(slots, "long", count, layout.key)(F.col("number"))
-    rows = rows.withColumn("slot", slot).drop("number")
+    tokens = value_udf(squeezed, "binary", words)(F.col("tokens"))
+    rows = rows.withColumns({"slot": slot, "tokens": tokens}).drop("number")
     shard = F.floor(F.col("slot") / layout.shard)
     if any(there):
         done = value_udf(finished, "boolean", there)(shard)
@@ -180,7 +212,6 @@ def in_slots(rows: DataFrame, count: int, id_col: str, layout: Layout, there: by
     shards = -(-count // layout.shard)
     partitions = max(1, min(shards, -(-count // layout.partition)))
     dealt = rows.repartitionById(partitions, F.floor(shard * partitions / F.lit(max(1, shards))).cast("int"))
-    filling = F.lit(layout.end_token.to_bytes(2, "little"))
     return dealt.sortWithinPartitions("slot").select(
         "slot",
         shard.alias("shard"),
@@ -188,7 +219,7 @@ def in_slots(rows: DataFrame, count: int, id_col: str, layout: Layout, there: by
         F.col("ids").alias(f"{id_col}s"),
         "parts",
         F.col("sizes").alias("n_tokens"),
-        F.rpad("tokens", layout.stride, filling).alias("record"),
+        F.col("tokens").alias("record"),
     )
 
 
@@ -205,7 +236,10 @@ def training_records(
     """
     path = folder(docs.sparkSession, "sequences")
     write_sequences(docs, id_col, text_col, layout, path)
-    return in_slots(*numbered(docs.sparkSession, path), id_col, layout)
+    rows, count = numbered(docs.sparkSession, path)
+    words = learned(rows, layout)
+    record = value_udf(lambda records: pd.Series(opened(words, layout, records), dtype=object), "binary")
+    return in_slots(rows, count, id_col, layout, words).withColumn("record", record("record"))
 
 
 def shard_name(shard: int) -> str:
@@ -259,7 +293,7 @@ def read_sum(path: str) -> int:
 
 
 def write_shards(
-    records: DataFrame, folder: str, layout: Layout = Layout(), rows: bool = False
+    records: DataFrame, folder: str, layout: Layout = Layout(), rows: bool = False, words: bytes | None = None
 ) -> DataFrame:
     """Write records as files of fixed stride to a folder that all executors share.
 
@@ -269,13 +303,14 @@ def write_shards(
 
     With ``rows``, returns one row per record as it lies in its file, with the columns of ``records``, crc32 (of
     the record), shard_crc32 and path. Each shard is read again where it was written, and a file that differs from what
-    was written, by its checksum, is an error; what a task holds is one shard's columns without the records.
+    was written, by its checksum, is an error; what a task holds is one shard's columns without the records. With ``words``
+    records come as ``squeezed`` by that dictionary.
     """
     folder = local_path(folder)
     ship()
     if rows:
         return records.mapInArrow(
-            lambda batches: rows_of_shards(batches, folder, layout),
+            lambda batches: rows_of_shards(batches, folder, layout, words),
             StructType([*records.schema, *CHECKS]),
         )
 
@@ -299,7 +334,7 @@ def local_path(folder: str) -> str:
 
 
 def shards_of(
-    batches: Iterator[pa.RecordBatch], folder: str
+    batches: Iterator[pa.RecordBatch], folder: str, words: bytes | None = None, layout: Layout = Layout()
 ) -> Iterator[tuple[Shard, bool, list[pa.RecordBatch]]]:
     """Each shard when it lies in its place, whether it is new, and what came with its records."""
     shard, held = None, []
@@ -314,17 +349,19 @@ def shards_of(
                     yield shard, shard.close(), held
                 shard, held = Shard(folder, numbers[a], not batch.column("record")[a].is_valid), []
             part = batch.slice(a, b - a)
-            shard.add(part.column("record").to_pylist())
-            held.append(part)
+            records = part.column("record").to_pylist()
+            shard.add(records if words is None else opened(words, layout, records))
+            at = part.schema.get_field_index("record")
+            held.append(part.set_column(at, "record", pa.nulls(len(part), pa.binary())))  # read from the file later
     if shard:
         yield shard, shard.close(), held
 
 
 def rows_of_shards(
-    batches: Iterator[pa.RecordBatch], folder: str, layout: Layout
+    batches: Iterator[pa.RecordBatch], folder: str, layout: Layout, words: bytes | None = None
 ) -> Iterator[pa.RecordBatch]:
     """Rows of the written shards: place and record as the file has them, beside the columns that came with them."""
-    for shard, _, held in shards_of(batches, folder):
+    for shard, _, held in shards_of(batches, folder, words, layout):
         crc = slot = 0
         with open(shard.path, "rb") as file:
             for part in held:
@@ -371,7 +408,9 @@ def sharded_records(
     rows, count = numbered(spark, sequences)
     if known is None:
         write_manifest(path, wanted | {"count": count})
-    return write_shards(in_slots(rows, count, id_col, layout, finished_shards(path, count, layout)), place, layout, rows=True)
+    words = learned(rows, layout)
+    records = in_slots(rows, count, id_col, layout, words, finished_shards(path, count, layout))
+    return write_shards(records, place, layout, rows=True, words=words)
 
 
 def input_digest(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
