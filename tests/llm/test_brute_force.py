@@ -565,6 +565,34 @@ def test_mixture_meets_targets(spark, keep_all):
     assert copies == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]})
 
 
+def test_mixture_counts_tokens_and_tells_what_it_misses(spark):
+    rows = [(i, f"{'ab'[i % 2]}{i % 7} 漢字かな") for i in range(200)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    domains = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)], "doc_id long, domain string")
+    codec = token_output.encoding(mixing.Classifier.vocabulary)
+    with pytest.warns(UserWarning, match="misses its targets"):
+        got = mixing.mixture(docs, domains, targets := {"a": 0.2, "b": 0.3, "c": 0.5})
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {i: len(codec.encode_ordinary(t or "")) for i, t in rows}
+    told = {r["domain"]: r for r in mixing.reached(got, targets).collect()}
+    assert not told["c"]["met"] and told["c"]["share"] < 0.4 and told["c"]["target"] == 0.5
+    assert sum(r["share"] for r in told.values()) == pytest.approx(1)
+    fair = mixing.mixture(docs, domains, {"a": 0.5, "b": 0.5})
+    assert all(r["met"] for r in mixing.reached(fair, {"a": 0.5, "b": 0.5}).collect())
+    assert not any(r["met"] or r["share"] for r in mixing.reached(fair.limit(0), targets).collect())
+
+
+def test_items_with_string_ids_in_blocks_and_of_a_least_length(spark):
+    texts = ["one two three four five six seven eight nine", "yes", "ten eleven twelve thirteen", "of no id at all"]
+    items = spark.createDataFrame([("q-1", texts[0]), ("q-0", texts[0]), ("x", "Yes."), ("y", texts[2]), (None, texts[3])], "item_id string, text string")
+    docs = spark.createDataFrame([*enumerate(f"a {t} z" for t in texts), (9, None)], "doc_id long, text string")
+    for block in (1, 6, 1_000):
+        held = decontaminate.held_items(docs, items, block=block)
+        got = {r["doc_id"]: [x["item_id"] for x in r["h"]] for r in docs.select("doc_id", held.alias("h")).collect()}
+        assert (got[0], got[1], got[2], got[9]) == (["q-0"], ["x"], ["y"], []) and got[3][0].startswith("-")
+    found = decontaminate.contaminated(docs, items, edits=decontaminate.Edits(least=2)).collect()
+    assert {r["doc_id"] for r in found if r["contaminated"]} == {0, 2, 3}
+
+
 def test_audit_finds_all_damage(spark):
     rows = [(RNG.randint(0, 3), i * 100, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(3000)]
     master = {(a, o): h for a, o, h in rows}

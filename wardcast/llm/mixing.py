@@ -2,13 +2,14 @@
 
 A naive Bayes classifier learned from a labelled table gives each document soft memberships in the
 domains. The rates r solve a least-squares problem: with n tokens and memberships p, the sum of r * n * p
-over all documents should be the target of each domain, and no rate may fall below a floor (0 by default).
+over all documents should be the target of each domain, and no rate may fall below a floor (0 by default) or rise above a limit.
 Projected gradient steps are taken over the whole table: a step needs one sum per domain, the driver sees
 only these, and every document updates its own rate.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.llm.shared import Sent, fields_udf, free_name, ship, stage
+from wardcast.llm.shared import VOCABULARIES, Sent, encoding, fields_udf, free_name, ship, stage, value_udf
 from wardcast.llm.signature_tree import SLICE, long_text_hashes, word_hashes
 
 
@@ -29,17 +30,23 @@ class Classifier:
     #: A text counts as at most so many independent words.
     independent: float = 10.0
     smoothing: float = 0.5
+    #: Tokens are counted under this vocabulary, without the end tokens of documents.
+    vocabulary: str = f"{VOCABULARIES}/byte_bpe_multi_50k.tiktoken"
 
 
 @dataclass(frozen=True)
 class Fit:
     #: Least rate; 1 keeps every document.
     floor: float = 0.0
+    #: Largest rate; it matters only where a target is next to out of reach, which is told.
+    most: float = 100.0
     #: Tokens of the mixture: as many as the documents have, or (True) the least that needs no domain cut.
     keep_all: bool = False
     steps: int = 40
     #: Largest relative miss of a target that ends the steps.
     close: float = 1e-6
+    #: A share further than this from its target at the end is told as a warning.
+    miss: float = 0.005
     seed: int = 7
 
 
@@ -86,7 +93,8 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, te
     }
 
 
-def classify(model: Sent, own: Classifier, texts: pd.Series) -> pd.DataFrame:
+def shares(model: Sent, own: Classifier, texts: pd.Series) -> pd.Series:
+    """Memberships of each text in the domains."""
     fixed = model.made(lambda m: m)
     rows = []
     for text in texts:
@@ -96,26 +104,33 @@ def classify(model: Sent, own: Classifier, texts: pd.Series) -> pd.DataFrame:
         score = fixed["log"][:, at].astype(float) @ found[at] * (min(1.0, own.independent / n) if n else 0.0)
         score = score + fixed["prior"]
         share = np.exp(score - score.max())
-        rows.append((n, (share / share.sum()).tolist()))
-    return pd.DataFrame(rows, columns=["n_tokens", "membership"])
+        rows.append((share / share.sum()).tolist())
+    return pd.Series(rows, dtype=object)
+
+
+def classify(model: Sent, own: Classifier, texts: pd.Series) -> pd.DataFrame:
+    codec = encoding(own.vocabulary)
+    n = [len(codec.encode_ordinary(text)) if text else 0 for text in texts]
+    return pd.DataFrame({"n_tokens": np.array(n, np.int64), "membership": shares(model, own, texts)})
 
 
 def memberships(
     docs: DataFrame, domains: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text",
     own: Classifier = Classifier(),
-) -> Column:
-    """A struct for each text: n_tokens (words) and membership, one share for each name, which sum to 1."""
+) -> tuple[Column, Column]:
+    """A struct for each text: n_tokens and membership, one share for each name, which sum to 1; and the latter alone."""
     model = Sent(docs.sparkSession, learn(docs, domains, names, id_col, text_col, own))
-    return fields_udf(classify, "n_tokens long, membership array<double>", model, own)(F.col(text_col))
+    both = fields_udf(classify, "n_tokens long, membership array<double>", model, own)(F.col(text_col))
+    return both, value_udf(shares, "array<double>", model, own)(F.col(text_col))
 
 
-def stepped(moves: list[np.ndarray], membership: Column, floor: float) -> Column:
-    """The rate of a row after these steps: 1 at first, never below the floor."""
+def stepped(moves: list[np.ndarray], membership: Column, fit: Fit) -> Column:
+    """The rate of a row after these steps: 1 at first, never below the floor or above the largest."""
     if not moves:
         return F.lit(1.0)
     listed = F.array(*(F.array(*(F.lit(float(x)) for x in m)) for m in moves))
     dot = lambda m: sum((membership[d] * m[d] for d in range(len(moves[0]))), F.lit(0.0))
-    return F.aggregate(listed, F.lit(1.0), lambda rate, m: F.greatest(F.lit(floor), rate - dot(m)))
+    return F.aggregate(listed, F.lit(1.0), lambda rate, m: F.greatest(F.lit(fit.floor), F.least(F.lit(fit.most), rate - dot(m))))
 
 
 def rate_steps(rows: DataFrame, targets: dict[str, float], fit: Fit) -> list[np.ndarray]:
@@ -123,7 +138,7 @@ def rate_steps(rows: DataFrame, targets: dict[str, float], fit: Fit) -> list[np.
 
     Minimises the misses of the targets, weighted by the inverse of sum(n * p * p'): in that measure a
     step of length 1 is safe, and without the floor the first meets the targets. With targets out of reach
-    the rates come near the nearest possible; without any token there is no step.
+    the rates come near the nearest possible, and a warning names targets and shares; without any token there is no step.
     """
     size, share = len(targets), np.array(list(targets.values()), float)
     share = share / share.sum()
@@ -143,11 +158,31 @@ def rate_steps(rows: DataFrame, targets: dict[str, float], fit: Fit) -> list[np.
     while len(moves) < fit.steps and fit.close < (worst := np.abs(miss).max() / goal.sum()) < best * (1 - 1e-4):
         best = worst
         moves.append(inverse @ miss)
-        rate = stepped(moves, p, fit.floor)
+        rate = stepped(moves, p, fit)
         miss = sums(*(n * rate * p[d] for d in range(size))) - goal
+    got = (miss + goal) / (miss + goal).sum()
+    if np.abs(got - share).max() > fit.miss:
+        listed = ", ".join(f"{d} {g:.4f} for {w:.4f}" for d, g, w in zip(targets, got, share))
+        warnings.warn(f"the mixture misses its targets after {len(moves)} steps: {listed}", stacklevel=3)
     return moves
 
 
+def reached(rates: DataFrame, targets: dict[str, float], miss: float = Fit.miss) -> DataFrame:
+    """One row per domain: domain, target, expected tokens and share of the rows of ``mixture``, met.
+
+    Without any expected token shares are null and no target is met.
+    """
+    whole, p = sum(targets.values()), F.col("membership")
+    sums = rates.agg(F.array(*(F.sum(F.col("n_tokens") * F.col("rate") * p[d]) for d in range(len(targets)))).alias("_t"))
+    wanted = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(w / whole).alias("target")) for d, w in targets.items()))
+    total = F.aggregate("_t", F.lit(0.0), lambda a, b: a + b)
+    rows = sums.select(F.posexplode(wanted).alias("_at", "_w"), "_t", total.alias("_total"))
+    tokens = F.coalesce(F.get("_t", "_at"), F.lit(0.0))
+    share = F.try_divide(tokens, "_total")
+    met = F.coalesce(F.abs(share - F.col("_w.target")) <= miss, F.lit(False))
+    return rows.select("_w.domain", "_w.target", tokens.alias("expected_tokens"), share.alias("share"), met.alias("met"))
+
+
 def copies(rate: Column, *key: Column, seed: int = 7) -> Column:
     """A whole number of copies whose expectation is the rate; one draw for each key."""
     draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -158,16 +193,16 @@ def mixture(
     docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
     own: Classifier = Classifier(), fit: Fit = Fit(),
 ) -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens (words), membership, rate, copies.
+    """One row per row of ``docs``: id, n_tokens, membership, rate, copies; ``reached`` tells how near they come.
 
     Null, empty and blank texts have no tokens and the memberships of the priors; their rates follow from these
     alone. Repeated rows have one rate and one draw; null ids draw by their text. Only the two named columns are
     read; an empty table gives an empty result. Without labelled rows memberships are even.
     """
-    found = memberships(docs, domains, list(targets), id_col, text_col, own)
+    found, _ = memberships(docs, domains, list(targets), id_col, text_col, own)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), found.alias("_m"))
     rows = stage(rows.select("_id", "_text", "_m.*"), "memberships")
-    rate = stepped(rate_steps(rows, targets, fit), F.col("membership"), fit.floor)
+    rate = stepped(rate_steps(rows, targets, fit), F.col("membership"), fit)
     drawn = copies(F.col("rate"), F.col("_id"), F.col("_text"), seed=fit.seed).alias("copies")
     return rows.withColumn("rate", rate).select(F.col("_id").alias(id_col), "n_tokens", "membership", "rate", drawn)
 
@@ -179,13 +214,13 @@ def mixed(
     """Rows of ``docs``, all columns, each as often as ``mixture`` says.
 
     The steps are found on a narrow table of counts and memberships; as a rate follows from the row's own
-    memberships alone, the rows are not joined with it.
+    memberships alone, the rows are not joined with it, and their tokens are counted once.
     """
-    found = memberships(docs, domains, list(targets), id_col, text_col, own)
+    found, membership = memberships(docs, domains, list(targets), id_col, text_col, own)
     narrow = stage(docs.select(found.alias("m")).select("m.*"), "memberships")
     moves = rate_steps(narrow, targets, fit)
     name = free_name(docs, "_m")
-    rate = stepped(moves, F.col(name)["membership"], fit.floor)
+    rate = stepped(moves, F.col(name), fit)
     drawn = copies(rate, F.col(id_col), F.xxhash64(text_col), seed=fit.seed)
-    rows = docs.withColumn(name, found).withColumn(name, drawn)
+    rows = docs.withColumn(name, membership).withColumn(name, drawn)
     return rows.withColumn(name, F.explode(F.array_repeat(F.lit(0), F.col(name)))).drop(name)
