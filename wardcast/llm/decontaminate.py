@@ -18,8 +18,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from wardcast.llm.shared import Sent, value_udf
+from wardcast.llm.shared import Sent, stage, value_udf
 
 WORD = re.compile(r"[^\W_]+")
 #: Scripts written without spaces: Thai, Lao, Burmese, Khmer, Tai, Balinese, Javanese, kana, Chinese characters.
@@ -39,6 +40,8 @@ class Edits:
 
     budget: int = 1
     per: int = 8
+    #: Items under so many words are not looked for. With 1, an item of a single word marks every text with that word.
+    least: int = 1
 
     def of(self, words: int) -> int:
         return words * self.budget // self.per
@@ -150,7 +153,6 @@ class Matcher:
         return sorted(out)
 
 
-FOUND = "array<struct<distance: int, item_id: bigint, first_word: int, end_word: int>>"
 NAMES = ("distance", "item_id", "first_word", "end_word")
 
 
@@ -159,28 +161,34 @@ def search(items: Sent, edits: Edits, texts: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(NAMES, m)) for m in own.matches(words(t))] for t in texts], dtype=object)
 
 
+def item_length(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(words(t)) for t in texts], dtype="int64")
+
+
 def item_blocks(
-    benchmark: DataFrame, id_col: str, text_col: str, block: int
-) -> Iterator[list[tuple[int, list[str]]]]:
-    """Items with any words, in blocks of at most ``block`` words; one block in the driver at a time.
+    benchmark: DataFrame, id_col: str, text_col: str, block: int, least: int = 1
+) -> Iterator[list[tuple[int | str, list[str]]]]:
+    """Items of ``least`` words and more, in blocks of about ``block`` words by a hash; one block in the driver at a time.
 
     Of items with the same text the smallest id stays; one without any id gets a number below zero
-    from its text.
+    from its text. Ids that are not whole numbers are taken as strings.
     """
-    own = benchmark.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    none = F.least(F.lit(-1), -F.abs(F.xxhash64("_text")))
+    kind = id_type(benchmark, id_col)
+    own = benchmark.select(F.col(id_col).cast(kind).alias("_id"), F.col(text_col).alias("_text"))
     own = own.filter(F.col("_text").isNotNull()).groupBy("_text").agg(F.min("_id").alias("_id"))
-    own = own.withColumn("_id", F.coalesce("_id", F.least(F.lit(-1), -F.abs(F.xxhash64("_text")))))
-    part, held = [], 0
-    for row in own.orderBy("_id", "_text").toLocalIterator():
-        if not (w := words(row["_text"])):
-            continue
-        if part and held + len(w) > block:
-            yield part
-            part, held = [], 0
-        part.append((row["_id"], w))
-        held += len(w)
-    if part:
-        yield part
+    own = own.withColumn("_id", F.coalesce("_id", none.cast(kind))).withColumn("_n", value_udf(item_length, "long")("_text"))
+    own = stage(own.filter(F.col("_n") >= max(1, least)), "items")
+    total = own.agg(F.sum("_n")).first()[0] or 0
+    blocks = -(-total // block)
+    for at in range(blocks):
+        part = own.filter(F.pmod(F.xxhash64("_text", F.lit("block")), F.lit(blocks)) == at).select("_id", "_text")
+        if rows := [(r["_id"], words(r["_text"])) for r in part.collect()]:
+            yield rows
+
+
+def id_type(benchmark: DataFrame, id_col: str) -> str:
+    return "bigint" if isinstance(benchmark.select(id_col).schema[0].dataType, IntegralType) else "string"
 
 
 def held_items(
@@ -195,12 +203,14 @@ def held_items(
     """A column for ``docs``: the items that each text holds, the nearest first, with places in words.
 
     Empty for null, empty and clean texts. Null items and those without any word are not looked for, and an
-    empty benchmark finds nothing. Every block of items is applied to every text.
+    empty benchmark finds nothing. Every block of items is applied to every text. Item ids stay whole numbers, others are
+    given as strings.
     """
     spark = docs.sparkSession
-    found = F.array().cast(FOUND)
-    for part in item_blocks(benchmark, item_id_col, item_text_col, block):
-        column = value_udf(search, FOUND, Sent(spark, part), edits)
+    kind = f"array<struct<distance: int, item_id: {id_type(benchmark, item_id_col)}, first_word: int, end_word: int>>"
+    found = F.array().cast(kind)
+    for part in item_blocks(benchmark, item_id_col, item_text_col, block, edits.least):
+        column = value_udf(search, kind, Sent(spark, part), edits)
         found = F.concat(found, column(F.col(text_col)))
     return F.array_sort(found)
 
