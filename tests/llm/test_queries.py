@@ -105,6 +105,40 @@ def test_marks_are_attributes_of_their_own_name(page):
     assert main_text(page) == " ".join(PROSE.split())
 
 
+MENU = "<ul class=menu><li><a href=/>Home</a><li><a href=/a>About</a></ul>"
+RUSSIAN = "Река поднималась целую неделю, и жители города устали ждать перемен. Утром они вышли посмотреть, что осталось от старого моста. "
+FINNISH = "Joki oli ollut korkealla koko viikon ja kaupungin asukkaat olivat väsyneet odottamaan muutosta. Aamulla he lähtivät katsomaan mitä sillasta oli jäljellä. "
+CHINESE = "河水已经涨了一个星期，城里的人们都很疲倦。早上他们出门去看，父辈们修建的那座桥还剩下什么。孩子们跟在后面，谁也没有说话。"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body>{MENU}<form id=aspnetForm><div><p>{PROSE}</p></div></form><footer>x</footer>", PROSE),
+        (f"<body>{MENU}<form id=aspnetForm><article><p>{PROSE}</p></article><label>Search <input></label></form>", PROSE),
+        (f"<article><p>{PROSE}</p><form><p>{PROSE}</p></form></article><form>{PROSE}</form>", PROSE),
+        (f"<div class=content-sidebar-wrap><main><article><p>{PROSE}</p></article></main><div class=sidebar>{PROSE}</div></div>", PROSE),
+        (f"<article><p>{PROSE}</p></article><div id=comments><article><p>{PROSE * 3}</p></article></div>", PROSE),
+        (f"{MENU}<div><p>{RUSSIAN * 2}</p></div>", RUSSIAN * 2),
+        (f"{MENU}<div><p>{FINNISH * 2}</p></div>", FINNISH * 2),
+        (f"{MENU}<div><p>{CHINESE * 2}</p></div>", CHINESE * 2),
+        (f"<article><p>{PROSE}<p class='notice-board-story'>{PROSE * 2}<p class='cookie-notice'>{PROSE * 2}</article>", PROSE * 3),
+        (f"<article><p>{PROSE}</p><p>© {PROSE * 2}</p><p>© 2024 Firm</p></article>", f"{PROSE} © {PROSE * 2}"),
+        (
+            f"<article><p>{PROSE}<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>{{x}}</annotation></semantics>"
+            "</math> holds.</p></article>", f"{PROSE}x=2 holds.",
+        ),
+    ],
+)
+def test_marks_do_not_empty_the_article(page, text):
+    assert main_text(page) == " ".join(text.split())
+
+
+def test_nested_marks_take_linear_time():
+    for page in ("<div class=ad>x" * 30_000, "<article>x" * 30_000, "<form>x" * 30_000, "<main><div class=ad>x" * 15_000):
+        main_text(page)
+
+
 def test_attributes_take_linear_time():
     for own in ("a=\"b' " * 60_000, "a-" * 60_000, "no-" * 60_000, "a " * 60_000 + "=" + " " * 60_000):
         main_text(f"<div {own}>x</div><div class='{own}'>x</div><div class={own}>x</div>")

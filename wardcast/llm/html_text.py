@@ -2,8 +2,10 @@
 
 The page is cut into blocks at block elements. The first pass classes a block by where it
 stands (navigation, forms, notices ... are boilerplate), its link density, length and stop-word
-density. Short blocks, and middling ones, stay open; the second pass gives them the label of the
-nearest decided neighbours. Each page is worked on where it is read: no shuffle.
+density; text in languages without listed stop words by its sentences. Short blocks, and middling
+ones, stay open; the second pass gives them the label of the nearest decided neighbours. An element
+that only its class or id marks is no boilerplate if it holds the page's article, nor is a form that
+holds most of the page's prose. Each page is worked on where it is read: no shuffle.
 """
 
 from __future__ import annotations
@@ -21,18 +23,24 @@ from pyspark.sql import functions as F
 from wardcast.llm.shared import fields_udf
 
 #: Elements whose content is never text of the page.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select datalist".split())
+SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video select datalist".split())
 #: Silent elements whose content is raw: nothing but their own end tag ends them.
 RAW = frozenset("script style noscript iframe title textarea xmp".split())
 #: Elements whose blocks are boilerplate.
-AROUND = frozenset("nav footer aside form button menu dialog label fieldset".split())
+AROUND = frozenset("nav footer aside button menu dialog label fieldset".split())
 #: Elements that mark the article.
 WITHIN = frozenset("article main".split())
 #: Elements that do not end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mo mn ms mtext mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mspace mpadded "
+    "mphantom mtable mtr mtd menclose mmultiscripts annotation annotation-xml".split()
 )
+#: Inline elements that are not shown: the source of a formula.
+UNSEEN = frozenset("annotation annotation-xml".split())
+#: Elements that are themselves a block of text.
+TEXTUAL = frozenset("p blockquote li dd td pre h1 h2 h3 h4 h5 h6".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark boilerplate.
 MARKS = frozenset(
@@ -42,6 +50,10 @@ MARKS = frozenset(
     "kommentare commentaires disqus reply replies respond widget widgets toolbar pagination pager copyright "
     "complementary contentinfo search hidden".split()
 )
+#: Those of reader comments: boilerplate also where the page's longest article is one of them.
+COMMENT_MARKS = frozenset(
+    "comment comments comentarios kommentare commentaires disqus reply replies respond".split()
+)
 #: Frequent words of four languages (fixed values).
 STOP = frozenset(
     "a about after all also an and are as at be been but by can for from had has have he her his how i if in into is it "
@@ -67,16 +79,42 @@ LAYOUT = re.compile(
 #: Elements that hold the page: never boilerplate. Of articles only hidden and style count.
 PAGE = frozenset("html body".split())
 WORD = re.compile(r"[^\W\d_]+")
+#: Characters of scripts that write no spaces between words (fixed ranges): Thai to Burmese, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Ends of sentences, and of clauses in unspaced scripts.
+SENTENCE = re.compile(r"[.!?…؟।۔]+(?=[\s\"'»”’)]|$)")
+CLAUSE = re.compile("[。．！？，、；：…၊။។\u0e2f ]+")
 
 
 @dataclass
 class Block:
     text: str
     link_chars: int
-    around: bool
-    within: bool
+    sign: int  # the innermost marked element, -1 if none
+    holder: int  # the innermost article or main, -1 if none
     heading: bool
-    label: str = ""
+    around: bool = False
+
+    @property
+    def within(self) -> bool:
+        return self.holder >= 0
+
+
+@dataclass
+class Sign:
+    """An element that is marked: hard, form, class or soft."""
+
+    kind: str
+    parent: int
+
+
+@dataclass
+class Holder:
+    """An article or main: the marked element and the holder around it."""
+
+    name: str
+    sign: int
+    parent: int
 
 
 @dataclass(frozen=True)
@@ -90,28 +128,34 @@ class Limits:
     high: float = 0.22
 
 
-def marked(element: str, attributes: str) -> bool:
-    """Whether class, id, role or style say that an element is boilerplate, or it is hidden."""
+def marked(element: str, attributes: str) -> str:
+    """How attributes mark an element as boilerplate: hard (hidden, or comments), class, soft or not at all ("").
+
+    Soft is a paragraph or the like with a class of three words or more of which the last is no mark,
+    such as notice-board-story.
+    """
     if element in PAGE or not attributes:
-        return False
-    seen = set()
+        return ""
+    seen, kinds = set(), set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in seen:  # the first of a name counts
             continue
         seen.add(name)
         if name == "hidden":
-            return True
+            return "hard"
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return "hard"
         elif name in ("class", "id", "role") and element not in WITHIN:
             for token in value.split():
                 if name == "class" and LAYOUT.fullmatch(token):
                     continue
-                if any(w in MARKS for w in re.split(r"[^a-z0-9]+", token)):
-                    return True
-    return False
+                words = re.split(r"[^a-z0-9]+", token)
+                if not MARKS.isdisjoint(words):
+                    soft = element in TEXTUAL and len(words) > 2 and words[-1] not in MARKS
+                    kinds.add("hard" if not COMMENT_MARKS.isdisjoint(words) else "soft" if soft else "class")
+    return next((k for k in ("hard", "class", "soft") if k in kinds), "")
 
 
 def tag_end(page: str, at: int, lost: set[str]) -> int:
@@ -160,24 +204,37 @@ class Reader:
 
     def __init__(self) -> None:
         self.found: list[Block] = []
+        self.signs: list[Sign] = []
+        self.holders: list[Holder] = []
         self.parts: list[str] = []
-        self.open: list[tuple[str, int, int, int]] = []  # name, silent, around, within
+        self.open: list[tuple[str, bool, bool, bool]] = []  # name, silent, whether a sign, whether a holder
         self.names: Counter[str] = Counter()
-        self.silent = self.around = self.within = 0
-        self.links = 0
+        self.silent = self.links = 0
+        self.sign = self.holder = -1
         self.in_link = self.heading = False
 
-    def push(self, name: str, silent: bool = False, around: bool = False, within: bool = False) -> None:
-        self.open.append((name, int(silent), int(around), int(within)))
+    def push(self, name: str, silent: bool = False, kind: str = "") -> None:
+        within = name in WITHIN
+        self.open.append((name, silent, bool(kind), within))
         self.names[name] += 1
-        self.silent, self.around, self.within = self.silent + silent, self.around + around, self.within + within
+        self.silent += silent
+        if kind:
+            self.signs.append(Sign(kind, self.sign))
+            self.sign = len(self.signs) - 1
+        if within:
+            self.holders.append(Holder(name, self.sign, self.holder))
+            self.holder = len(self.holders) - 1
 
     def pop(self, name: str) -> None:
         """End elements up to the innermost one of that name, if there is one."""
         while self.names[name]:
-            last, silent, around, within = self.open.pop()
+            last, silent, sign, within = self.open.pop()
             self.names[last] -= 1
-            self.silent, self.around, self.within = self.silent - silent, self.around - around, self.within - within
+            self.silent -= silent
+            if sign:
+                self.sign = self.signs[self.sign].parent
+            if within:
+                self.holder = self.holders[self.holder].parent
             if last == name:
                 return
 
@@ -192,7 +249,7 @@ class Reader:
         """End the block."""
         joined = " ".join("".join(self.parts).split())
         if joined:
-            self.found.append(Block(joined, self.links, self.around > 0, self.within > 0, self.heading))
+            self.found.append(Block(joined, self.links, self.sign, self.holder, self.heading))
         self.parts, self.links = [], 0
 
     def opens(self, name: str, attributes: str) -> None:
@@ -200,15 +257,17 @@ class Reader:
             self.parts.append("\n")
         if name == "a":
             self.in_link = True
-        boiler = marked(name, attributes)
+        kind = marked(name, attributes)
         if name in EMPTY:
             if name == "hr":
                 self.end()
             return
         if name in INLINE:
-            if boiler:
+            if kind:
                 self.end()
-                self.push(name, around=True)
+                self.push(name, kind=kind)
+            elif name in UNSEEN and not attributes.endswith("/"):
+                self.push(name, silent=True)
             elif self.names[name]:  # inside a marked one, whose own end must be told from this one's
                 self.push(name)
             return
@@ -217,15 +276,18 @@ class Reader:
             self.pop("p")
         self.heading = name in HEADINGS
         if not attributes.endswith("/"):
-            around = boiler or name in AROUND or name == "header" and not self.within
-            self.push(name, name in SILENT, around, name in WITHIN)
+            if name in AROUND or name == "header" and self.holder < 0:
+                kind = "hard"
+            elif name == "form" and kind != "hard":
+                kind = "form"
+            self.push(name, name in SILENT, kind)
 
     def closes(self, name: str) -> None:
         if name == "a":
             self.in_link = False
         if name in INLINE:
             if self.names[name]:
-                if self.open[-1] != (name, 0, 0, 0):
+                if self.open[-1][0] != name or self.open[-1][2]:
                     self.end()
                 self.pop(name)
             return
@@ -237,8 +299,8 @@ class Reader:
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks with text, in the order of the page. End tags without a start are passed over."""
+def read(page: str) -> Reader:
+    """The page read to its end. End tags without a start are passed over."""
     reader = Reader()
     for kind, value, attributes in marks(page):
         if kind == "text":
@@ -248,7 +310,84 @@ def blocks(page: str) -> list[Block]:
         else:
             reader.closes(value)
     reader.end()
-    return reader.found
+    return reader
+
+
+def largest(holders: list[Holder], found: list[Block], name: str) -> Holder | None:
+    """The article, or main, with most text, nested ones included; of equal ones the first."""
+    chars = [0] * len(holders)
+    for b in found:
+        if b.holder >= 0:
+            chars[b.holder] += len(b.text)
+    for i in range(len(holders) - 1, -1, -1):
+        if holders[i].parent >= 0:
+            chars[holders[i].parent] += chars[i]
+    own = [i for i, h in enumerate(holders) if h.name == name and chars[i]]
+    return holders[max(own, key=lambda i: (chars[i], -i))] if own else None
+
+
+def page_forms(signs: list[Sign], found: list[Block], limits: Limits) -> set[int]:
+    """Forms that hold more than half of the page's prose."""
+    if all(s.kind != "form" for s in signs):
+        return set()
+    prose = [0] * len(signs)
+    whole = 0
+    for b in found:
+        if first_pass(b, limits) in ("good", "near"):
+            whole += len(b.text)
+            if b.sign >= 0:
+                prose[b.sign] += len(b.text)
+    for i in range(len(signs) - 1, -1, -1):
+        if signs[i].parent >= 0:
+            prose[signs[i].parent] += prose[i]
+    return {i for i, s in enumerate(signs) if s.kind == "form" and 2 * prose[i] > whole}
+
+
+def blocks(page: str, limits: Limits = Limits()) -> list[Block]:
+    """Blocks with text, in the order of the page, each knowing whether it stands in boilerplate.
+
+    Marks by class or id, and forms, around the largest article and main do not count; nor do forms
+    with most of the prose; a soft mark counts unless the block is certain prose.
+    """
+    reader = read(page)
+    signs, found = reader.signs, reader.found
+    lifted = page_forms(signs, found, limits)
+    for name in sorted(WITHIN):
+        holder = largest(reader.holders, found, name)
+        at = holder.sign if holder else -1
+        while at >= 0:
+            if signs[at].kind != "hard":
+                lifted.add(at)
+            at = signs[at].parent
+    inside = []  # hard, class and form: True; soft only: None; not at all: False
+    for i, s in enumerate(signs):
+        above = inside[s.parent] if s.parent >= 0 else False
+        own = False if i in lifted else None if s.kind == "soft" else True
+        inside.append(True if True in (above, own) else None if None in (above, own) else False)
+    for b in found:
+        state = inside[b.sign] if b.sign >= 0 else False
+        b.around = bool(state) if state is not None else first_pass(b, limits) != "good"
+    return found
+
+
+def weight(text: str) -> int:
+    """Length of a text; a character of an unspaced script says as much as three letters."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(1 for _ in UNSPACED.finditer(text))
+
+
+def is_prose(text: str, words: list[str]) -> bool:
+    """Whether a text in a language without listed stop words consists of sentences.
+
+    Unspaced scripts: clauses of 4 to 60 characters on average. Others: at least two sentences of six words
+    or more on average, most words in lower case (or of a script without cases).
+    """
+    unspaced = sum(1 for _ in UNSPACED.finditer(text))
+    if 2 * unspaced > len(text):
+        clauses = [c for c in CLAUSE.split(text) if c]
+        return len(clauses) > 1 and 4 * len(clauses) <= unspaced <= 60 * len(clauses)
+    sentences = sum(1 for _ in SENTENCE.finditer(text))
+    capitals = sum(w[0].isupper() for w in words)
+    return sentences > 1 and len(words) >= 6 * sentences and 10 * capitals <= 4 * len(words)
 
 
 def first_pass(block: Block, limits: Limits) -> str:
@@ -258,16 +397,19 @@ def first_pass(block: Block, limits: Limits) -> str:
         return "bad"
     if block.link_chars > limits.max_links * chars:
         return "bad"
-    if block.text.lstrip().startswith("©"):
+    if block.text.startswith("©") and not (block.within and chars > limits.long):
         return "bad"
-    if chars < limits.short or block.heading:
+    size = weight(block.text)
+    if size < limits.short or block.heading:
         return "short"
-    words = WORD.findall(block.text.lower())
-    density = sum(w in STOP for w in words) / len(words) if words else 0.0
+    words = WORD.findall(block.text)
+    density = sum(w.lower() in STOP for w in words) / len(words) if words else 0.0
     if density >= limits.high:
-        return "good" if chars > limits.long else "near"
+        return "good" if size > limits.long else "near"
     if density >= limits.low:
-        return "good" if chars > 2 * limits.long else "near"
+        return "good" if size > 2 * limits.long else "near"
+    if is_prose(block.text, words):
+        return "good" if size > limits.long else "near"
     return "short" if block.within else "bad"
 
 
@@ -309,7 +451,7 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 
 def main_text(page: str | None, limits: Limits = Limits()) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", limits)
     good = second_pass(found, [first_pass(b, limits) for b in found])
     return " ".join(b.text for b, keep in zip(found, good) if keep)
 
