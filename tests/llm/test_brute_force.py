@@ -360,8 +360,11 @@ def test_secrets(spark):
         "K" * 30, "9f86d081-884c-7d65-9a2f-eaa0c55ad015", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "some_long_identifier_of_words",
     ]
     rows = [(i, RNG.choice([" ", "\n", ""]).join(RNG.choices(parts, k=RNG.randint(0, 9)))) for i in range(300)]
-    got = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r["doc_id"]: r["found"] for r in secret_scan.find_secrets(docs).collect()}
+    got = secret_scan.find_secrets(docs, reveal=True).collect()
     for r in got:
+        assert hashed[r["doc_id"]] == [hashlib.sha256(f.encode()).hexdigest() for f in r["found"]]
         t = dict(rows)[r["doc_id"]]
         base = plain_secrets(t)
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
@@ -391,6 +394,29 @@ def test_token_efficiency(run, secret):
     assert bool(secret_scan.scan(f"see {run} here")["n_random"]) == secret
 
 
+@pytest.mark.parametrize(
+    "run, secret",
+    [
+        ("Zk9Qw3" + "0123456789abcdef01234567" + "Pq7LmX2vTb88", True),
+        ("0123456789abcdef01234567" + "ZPq7LmX2vTk8Rw" + "fedcba987654321001234567", True),
+        ("sha256-" + "9f86d081884c7d65" * 4, False),
+        ("owner/documents/blob/" + "9f86d081884c7d659a2f" * 2 + "/library/text", False),
+        ("0123456789abcdef01234567", False),
+        ("AKIA" + "A1" * 8 + "Zk", False),
+    ],
+)
+def test_runs_around_base_spans(run, secret):
+    got = secret_scan.scan(f"see {run} here")
+    assert got["n_random"] == secret and (f"random:4:{4 + len(run)}" in got["spans"].split(",")) == secret
+
+
+def test_many_base_spans_in_one_text():
+    """Time grows with the text, not with the product of runs and spans."""
+    text = " ".join(f"{i:024x} x8Kd02LqPz7TnVb41RmYw6JcHs3FuEa9oQ5i" for i in range(30_000))
+    got = secret_scan.scan(text)
+    assert got["n_hex"] == got["n_random"] == 30_000
+
+
 def test_random_strings_after_fillers():
     key = "x8Kd02LqPz7TnVb41RmYw6JcHs3FuEa9oQ5i"
     varied = "".join(RNG.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=2000))

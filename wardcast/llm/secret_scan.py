@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -50,6 +51,8 @@ class Test:
     most_ratio: float = 2.2
     #: Repeated fillers such as ``====`` are no secrets: bits a character, at least.
     least_bits: float = 3.0
+    #: Characters of a run that a base pattern found in part, beside that part, at least.
+    least_beside: int = 12
     #: Long runs are encoded in slices, so that time grows with their length only.
     slice: int = 256
 
@@ -89,11 +92,17 @@ def is_random(run: str, test: Test) -> bool:
     """Whether the vocabulary needs many tokens for a run, and any slice of it is varied enough."""
     if len(run) < test.least_length or excluded(run):
         return False
-    slices = [run[i : i + test.slice] for i in range(0, len(run), test.slice)]
-    if all(bits(s) < test.least_bits for s in slices):
-        return False
+    slices = sliced(run, test)
+    return any(bits(s) >= test.least_bits for s in slices) and len(run) < test.most_ratio * n_tokens(slices, test)
+
+
+def sliced(run: str, test: Test) -> list[str]:
+    return [run[i : i + test.slice] for i in range(0, len(run), test.slice)]
+
+
+def n_tokens(slices: list[str], test: Test) -> int:
     codec = encoding(test.vocabulary)
-    return len(run) < test.most_ratio * sum(len(codec.encode_ordinary(s)) for s in slices)
+    return sum(len(codec.encode_ordinary(s)) for s in slices)
 
 
 def between_fillers(run: str) -> list[str]:
@@ -105,14 +114,58 @@ def between_fillers(run: str) -> list[str]:
     return [*parts, run[at:]] if parts else []
 
 
+def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What spans cover, as ranges that do not touch, in order; ``spans`` come by start."""
+    ranges: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1] = ranges[-1][0], max(b, ranges[-1][1])
+        else:
+            ranges.append((a, b))
+    return ranges
+
+
+def beside(text: str, start: int, end: int, ranges: list[tuple[int, int]], starts: list[int]) -> list[str]:
+    """The pieces of a run that no range covers: the whole run if none touches it."""
+    pieces, at = [], start
+    for a, b in ranges[max(0, bisect_right(starts, start) - 1) :]:
+        if a >= end:
+            break
+        if a > at:
+            pieces.append(text[at:a])
+        at = max(at, b)
+    return [*pieces, text[at:end]] if at < end else pieces
+
+
+def rest_is_random(pieces: list[str], test: Test) -> bool:
+    """Whether what stands beside base spans in a run is random, taken together."""
+    rest = "".join(pieces)
+    if len(rest) < test.least_beside or all(excluded(p) for p in pieces):
+        return False
+    slices = [s for p in pieces for s in sliced(p, test)]
+    varied = any(bits(s) >= test.least_bits for s in sliced(rest, test))
+    return varied and len(rest) < test.most_ratio * n_tokens(slices, test)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], test: Test) -> list[tuple[int, int, str]]:
-    """Runs apart from ``taken`` that the vocabulary needs many tokens for, whole or but for their fillers."""
+    """Runs that the vocabulary needs many tokens for, whole or but for their fillers.
+
+    A run that ``taken`` covers is passed over; of one that it covers in part, such as a key with 24 hexadecimal
+    digits inside, the rest is tested, and the whole run is the span.
+    """
     found = []
+    ranges = apart(taken)
+    starts = [a for a, _ in ranges]
     for m in RUN.finditer(text):
         run = m[0]
-        if len(run) < test.least_length or any(a < m.end() and m.start() < b for a, b, _ in taken):
+        if len(run) < test.least_length:
             continue
-        if is_random(run, test) or not excluded(run) and any(is_random(p, test) for p in between_fillers(run)):
+        pieces = beside(text, m.start(), m.end(), ranges, starts)
+        if pieces != [run]:
+            hit = rest_is_random(pieces, test)
+        else:
+            hit = is_random(run, test) or not excluded(run) and any(is_random(p, test) for p in between_fillers(run))
+        if hit:
             found.append((m.start(), m.end(), "random"))
     return found
 
@@ -121,7 +174,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scan(text: str | None, test: Test = Test()) -> dict:
+def scan(text: str | None, test: Test = Test(), reveal: bool = False) -> dict:
     """What ``find_secrets`` returns for one text."""
     text = text or ""
     base = base_spans(text)
@@ -131,24 +184,28 @@ def scan(text: str | None, test: Test = Test()) -> dict:
     return {f"n_{k}": kinds[k] for k in KINDS} | {
         "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(),
         "spans": joined(every),
-        "found": [text[a:b] for a, b, _ in every],
+        "found": [text[a:b] if reveal else hashlib.sha256(text[a:b].encode("utf-8", "replace")).hexdigest() for a, b, _ in every],
     }
 
 
 COUNTS = ", ".join(f"n_{k} long" for k in KINDS)
 
 
-def scan_batch(test: Test, texts: pd.Series) -> pd.DataFrame:
+def scan_batch(test: Test, reveal: bool, texts: pd.Series) -> pd.DataFrame:
     columns = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found"]
-    return pd.DataFrame([scan(t, test) for t in texts], columns=columns)
+    return pd.DataFrame([scan(t, test, reveal) for t in texts], columns=columns)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", test: Test = Test()) -> DataFrame:
-    """One row per row of ``docs``: id, counts by kind, digest of the base spans, all spans, their strings.
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", test: Test = Test(), reveal: bool = False
+) -> DataFrame:
+    """One row per row of ``docs``: id, counts by kind, digest of the base spans, all spans, what they hold.
 
+    ``found`` has the SHA-256 of each span's string, which tells equal secrets without spreading them; the strings
+    themselves only with ``reveal``.
     Offsets are code points, ends exclusive. A null or empty text has no spans (the digest is that
     of the empty string); repeated rows and null ids are kept as they are; other columns of ``docs``
     are not read. An empty table gives an empty result.
     """
-    scanned = fields_udf(scan_batch, f"{COUNTS}, base_sha256 string, spans string, found array<string>", test)
+    scanned = fields_udf(scan_batch, f"{COUNTS}, base_sha256 string, spans string, found array<string>", test, reveal)
     return docs.select(F.col(id_col), scanned(F.col(text_col)).alias("_found")).select(id_col, "_found.*")
