@@ -28,6 +28,8 @@ from wardcast.llm.shared import Sent, fields_udf, ship, stage
 Key = tuple[tuple[int, int], ...]
 #: Texts whose score a worker keeps, for copies.
 KNOWN = 60_000
+#: Words whose terms a worker keeps.
+KNOWN_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5, 7)
 
@@ -113,6 +115,12 @@ def key_of(counts: dict[str, int], number: dict[str, int]) -> Key:
     return tuple(sorted((number[t], n) for t, n in counts.items() if t in number))
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one range after the other."""
+    shift = np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    return np.arange(len(shift)) + shift
+
+
 class Index:
     """Labelled vectors by term and block, with the largest weight of each.
 
@@ -146,11 +154,9 @@ class Index:
         self.place = np.empty(len(keys), np.int64)
         self.place[sorted(range(len(keys)), key=lambda e: self.ids[e])] = np.arange(len(keys))
         self.blocks = -(-len(keys) // settings.block)
-        self.entries, self.weights, self.block_of = {}, {}, {}
-        #: Blocks that hold a term, and the largest weight in each.
-        self.bound: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.index_postings(keys)
         self.known: dict[bytes, tuple] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def by_strength(self, key: bytes) -> tuple[bytes, bytes]:
         """An order of keys: by their terms, heaviest first, then by all they hold."""
@@ -159,20 +165,24 @@ class Index:
         return own[np.argsort(-weight, kind="stable"), 0].astype(">i4").tobytes(), own.astype(">i4").tobytes()
 
     def index_postings(self, keys: list[bytes]) -> None:
-        """Postings of all terms, cut from flat arrays."""
-        if not keys:
-            return
+        """Postings (entry, weight) by term, then entry, in flat arrays; the postings of a term in a block are a run.
+
+        Of a run its block, where it begins and ends, and its largest weight are known; ``runs_of`` has where the
+        runs of each term begin.
+        """
         own = np.frombuffer(b"".join(keys), np.int32).reshape(-1, 2)
         entry = np.repeat(np.arange(len(keys)), [len(k) // 8 for k in keys])
         weight = (1 + np.log(own[:, 1])) * self.by_number[own[:, 0]]
-        weight /= np.sqrt(np.bincount(entry, weight * weight))[entry]
+        if len(keys):
+            weight /= np.sqrt(np.bincount(entry, weight * weight))[entry]
         order = np.argsort(own[:, 0], kind="stable")
-        term, entry, weight = own[order, 0], entry[order], weight[order]
-        cuts = np.flatnonzero(np.diff(term)) + 1
-        for t, e, w in zip(term[np.r_[0, cuts]].tolist(), np.split(entry, cuts), np.split(weight, cuts)):
-            self.entries[t], self.weights[t], self.block_of[t] = e, w, e // self.settings.block
-            held, first = np.unique(self.block_of[t], return_index=True)
-            self.bound[t] = held, np.maximum.reduceat(w, first)
+        term, self.entries, self.weights = own[order, 0], entry[order], weight[order]
+        block = self.entries // self.settings.block
+        starts = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(block) != 0)][: len(term)])
+        self.run_start, self.run_block = starts, block[starts]
+        self.run_length = np.diff(np.r_[starts, len(term)])
+        self.run_most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[starts], np.arange(len(self.names) + 1))
 
     def key(self, counts: dict[str, int]) -> Key:
         return key_of(counts, self.number)
@@ -187,35 +197,54 @@ class Index:
 
     def nearest(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Entries with the largest cosines and these, nearest first, ties by id; exact."""
-        own, k = self.vector(key), self.settings.neighbours
-        upper = np.zeros(self.blocks)
-        for t, w in own:
-            if t in self.bound:
-                in_, most = self.bound[t]
-                upper[in_] += w * most
-        order = np.argsort(-upper, kind="stable")
-        totals = np.zeros(len(self.ids))
+        own, k, size = self.vector(key), self.settings.neighbours, self.settings.block
+        asked = np.array([t for t, _ in own])
+        length = self.runs_of[asked + 1] - self.runs_of[asked]
+        runs, by = ranges(self.runs_of[asked], length), np.repeat([w for _, w in own], length)
+        block = self.run_block[runs]
+        upper = np.bincount(block, by * self.run_most[runs], minlength=self.blocks)
         first = np.zeros(self.blocks, bool)
-        first[order[: self.settings.first_blocks]] = True
-        self.add(totals, own, first & (upper > 0))
-        least = np.partition(totals, -k)[-k] if len(totals) > k else 0.0
-        self.add(totals, own, ~first & (upper > 0) & (upper >= least - 1e-9))
-        if len(totals) > k:
-            found = np.flatnonzero((totals > 0) & (totals >= np.partition(totals, -k)[-k] - 1e-9))
-        else:
-            found = np.flatnonzero(totals)
+        most = min(self.settings.first_blocks, self.blocks)
+        first[np.argpartition(-upper, most - 1)[:most]] = True
+        in_first = first[block]
+        totals = np.zeros(self.blocks * size)
+        self.add(totals, runs[in_first], by[in_first])
+        seen = totals.reshape(-1, size)[first].ravel()
+        least = np.partition(seen, -k)[-k] if len(seen) > k else 0.0
+        more = ~in_first & (upper[block] >= least - 1e-9)
+        self.add(totals, runs[more], by[more])
+        found = np.flatnonzero((totals > 0) & (totals >= least - 1e-9))
+        if len(found) > k:
+            found = found[totals[found] >= np.partition(totals[found], -k)[-k] - 1e-9]
         found = found[np.lexsort((self.place[found], -totals[found].round(9)))][:k]
         return found, totals[found]
 
-    def add(self, totals: np.ndarray, own: list[tuple[int, float]], blocks: np.ndarray) -> None:
-        """Cosines of the entries in some blocks."""
-        for t, w in own:
-            if t in self.entries and (in_ := blocks[self.block_of[t]]).any():
-                totals[self.entries[t][in_]] += w * self.weights[t][in_]
+    def add(self, totals: np.ndarray, runs: np.ndarray, by: np.ndarray) -> None:
+        """Cosines from the postings of some runs, each weighed by its term's weight in the query."""
+        length = self.run_length[runs]
+        at = ranges(self.run_start[runs], length)
+        totals += np.bincount(self.entries[at], np.repeat(by, length) * self.weights[at], minlength=len(totals))
+
+    def read(self, text: str | None) -> Key:
+        """``key(terms(text))``, with the terms of each word looked up once."""
+        counts: dict[int, int] = {}
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            own = self.words.get(word)
+            if own is None:
+                if len(self.words) > KNOWN_WORDS:
+                    self.words.clear()
+                begins = [word[:size] + "*" for size in BEGINNINGS if len(word) > size]
+                own = self.words[word] = tuple(self.number[t] for t in (word, *begins) if t in self.number)
+            for t in own:
+                counts[t] = counts.get(t, 0) + n
+        return tuple(sorted(counts.items()))
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[int], list[str]]:
         """Score, ids of the neighbours that voted, and the terms."""
-        key = self.key(counts)
+        return self.score_key(self.key(counts))
+
+    def score_key(self, key: Key) -> tuple[float, list[int], list[str]]:
+        """``score`` of a text with these terms."""
         if not key:
             return self.base, [], []
         asked = packed(key)
@@ -259,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
 
 def score_batch(model: Sent, settings: Settings, texts: pd.Series) -> pd.DataFrame:
     index = model.made(lambda m: Index(m["idf"], m["rows"], settings))
-    return pd.DataFrame([index.score(terms(t)) for t in texts], columns=["score", "neighbours", "terms"])
+    return pd.DataFrame([index.score_key(index.read(t)) for t in texts], columns=["score", "neighbours", "terms"])
 
 
 def toxicity(
