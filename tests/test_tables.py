@@ -81,6 +81,15 @@ def test_contacts_are_renamed_and_pruned(spark, tmp_path):
         tables.load_contacts(spark, path, None)
 
 
+def test_contacts_are_dealt_by_rows(spark, monkeypatch):
+    """A task's share of contacts does not grow with the table, however few shuffle parts the session has."""
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 300, raising=False)
+    contacts = fixtures.contacts(fixtures.StarTables(spark, SF_DIR))
+    sizes = contacts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in sizes) < 600
+
+
 def test_lookup_columns_by_name(spark, tmp_path):
     path = str(tmp_path / "lookup")
     spark.createDataFrame([("L1", "Q1", "One", 1)], "LSOA11CD string, icb22cdh string, icb22nm string, n int"
