@@ -11,6 +11,7 @@ from wardcast.operators.clean import tidy_contacts
 from wardcast.operators.fill import fill_down_up
 from wardcast.operators.lookup import fits, join_lookup
 from wardcast.operators.skew import big_keys, salted
+from wardcast.sources.stages import Stage
 
 
 def uneven(spark, n=3000):
@@ -143,3 +144,31 @@ def test_tidy_contacts_with_a_big_patient(spark):
     known = tidy_contacts(df, lads, subs, big_patients=[0])
     assert rows(split) == rows(plain) == rows(known)
     assert plain.count() == 3000
+
+
+def test_split_fill_carries_over_few_pieces(spark, tmp_path):
+    """Of the tables written on the way, two hold the rows; the others grow with the parts, not with the days."""
+    df = uneven(spark).unionByName(uneven(spark, 1).crossJoin(spark.range(2000).select()))  # and copies of one row
+    stage = Stage(spark, str(tmp_path))
+    out = fill_down_up(df, "patient_id", "contact_date", COLS, big=big_keys(df, "patient_id", 500, stage), stage=stage)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == filled_by_hand(df.collect())
+    counts = {n: spark.read.parquet(f"{stage.root}/{n}").count() for n in stage.written}
+    large = sorted(n for n in counts.values() if n > 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert large == [df.filter("patient_id = 0").count()] * 2
+    stage.close()
+
+
+def test_ties_of_a_big_key_lie_in_several_pieces(spark, tmp_path):
+    day = F.lit(dt.date(2022, 4, 1))
+    df = spark.range(0, 4000, 1, 4).select(F.lit(1).alias("patient_id"), day.alias("contact_date"), F.lit("Q1").alias("icb22cdh"), F.lit(None).cast("string").alias("lad18cd"))
+    stage = Stage(spark, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = fill_down_up(df, "patient_id", "contact_date", COLS, big=[1], stage=stage)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out.count() == 4000 and out.filter("icb22cdh = 'Q1' AND lad18cd IS NULL").count() == 4000
+    (parts,) = [n for n in stage.written if n.startswith("parts")]
+    sizes = spark.read.parquet(f"{stage.root}/{parts}").groupBy("_part").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 3000
+    stage.close()
