@@ -107,3 +107,18 @@ def test_query_takes_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = op13_repeats(spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, got), key=str) == plain(rows)
+
+
+def test_few_windows_go_on_by_their_hash(spark, monkeypatch):
+    """Of a line in many documents slices go on, and of other triggers nothing, not a row for each window."""
+    draw, written, stage = random.Random(5), {}, repeats.stage
+
+    def kept(df, name, *more):
+        written[name] = stage(df, name, *more)
+        return written[name]
+
+    monkeypatch.setattr(repeats, "stage", kept)
+    line = prose(draw, 60)
+    rows = [(i, prose(draw, 70) + line + prose(draw, 70)) for i in range(400)] + [(500 + i, prose(draw, 40) + line) for i in range(40)]
+    assert found(frame(spark, rows).repartition(4), chunk=100) == plain(rows)
+    assert written["dictionary"].filter("a IS NOT NULL").count() < 4_000

@@ -9,11 +9,12 @@ the dictionary, their occurrences in order of (document, place) the parse.
    no repeated window. Of a phrase that occurs again, all but the first occurrence are repeats as a whole.
 2. *Dictionary.* Only where a trigger has different phrases are windows left undecided. Those phrases' bytes are
    fetched and put into suffix arrays (by prefix doubling, to the depth of a window); suffixes of equal rank, in the order of
-   the parse, are the corpus order: all but the first are repeats.
+   the parse, are the corpus order: all but the first are repeats. Phrases of a trigger with more than a suffix array takes
+   are sliced by the trigger's place in the window, and grouped by what all windows of a slice share.
 3. Repeated windows become byte ranges of their documents, which are cut out.
 
 Sorts are dealt by ranges and read as streams, suffix arrays are built over bounded numbers of
-phrases; a trigger that goes on beyond one hands its windows to a last grouping by the windows' hashes. Texts move to
+phrases, triggers whole; only slices that go on beyond one hand their windows to a last grouping by the windows' hashes. Texts move to
 other tasks in no step but a join with their ranges, and there only if the ranges are too many to broadcast.
 """
 
@@ -248,7 +249,29 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marks((none,) * 4, tuple(np.array([v], np.int64) for v in held))
 
 
-PHRASES = "h long, doc long, copy long, p long, body binary"
+#: Windows of a slice: of a hot trigger's phrase, those that begin less than so many bytes apart.
+STRIDE = 8
+PHRASES = "h long, doc long, copy long, p long, cut long, body binary"
+
+
+def slices(body: pa.Array, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Phrases of hot triggers in slices: phrase, first window in it, number of windows, hash of what its windows share.
+
+    A window's trigger lies at one place in it, so only windows as far from their triggers can be equal; a slice's are
+    nearly so, and have all but ``STRIDE - 1`` of their bytes in common.
+    """
+    data, ends = concatenated(body)
+    last = p & 127  # the trigger's distance from the first window's start, and from the last one's
+    first = last - (p >> 7 & 127)
+    low = first // STRIDE
+    many = last // STRIDE - low + 1
+    of = np.repeat(np.arange(len(p)), many)
+    step = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    far, near = np.minimum(step * STRIDE + STRIDE - 1, last[of]), np.maximum(step * STRIDE, first[of])
+    trigger = np.r_[0, ends][of] + last[of]
+    shared = trigger - step * STRIDE
+    name = Hashes(data).of(shared, shared + LENGTH - STRIDE + 1)
+    return of, last[of] - far, far - near + 1, scattered(name + step.astype(np.uint64) * MIX)
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +284,28 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = lists.flatten()
         h, p = (np.asarray(entries.field(k)) for k in (0, 1))
         start, stop = (c + np.r_[0, ends][owner] for c in unpacked(p))
-        bodies = pa.array([data[a:b].tobytes() for a, b in zip(start, stop)], pa.binary())
-        arrays = [pa.array(c) for c in (h, doc[owner], copy[owner], p)]
-        yield pa.RecordBatch.from_arrays([*arrays, bodies], names=["h", "doc", "copy", "p", "body"])
+        hot = np.asarray(entries.field(2)).astype(bool)
+        cold, hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+        yield phrase_rows(h[cold], doc[owner[cold]], copy[owner[cold]], p[cold], 0, pieces(data, start[cold], stop[cold]))
+        for at in range(0, len(hot), CHUNK):  # bytes of so many are hashed at once
+            part = hot[at : at + CHUNK]
+            of, first, windows, name = slices(pieces(data, start[part], stop[part]), p[part])
+            of = part[of]
+            begin = start[of] + first
+            name = scattered(name + h[of].view(np.uint64)).view(np.int64)
+            place = packed((p[of] >> 14) + first, windows, 0)
+            bodies = pieces(data, begin, begin + windows - 1 + LENGTH)
+            yield phrase_rows(name, doc[owner[of]], copy[owner[of]], place, 1, bodies)
+
+
+def pieces(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    return pa.array([data[a:b].tobytes() for a, b in zip(start, stop)], pa.binary())
+
+
+def phrase_rows(h, doc, copy, p, cut: int, body: pa.Array) -> pa.RecordBatch:
+    """Phrases, or slices of them (``cut``)."""
+    arrays = [pa.array(np.asarray(c, np.int64)) for c in (h, doc, copy, p, np.full(len(h), cut))]
+    return pa.RecordBatch.from_arrays([*arrays, body], names=["h", "doc", "copy", "p", "cut", "body"])
 
 
 def suffix_ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -288,8 +330,8 @@ FOUND = "doc long, copy long, start long, stop long, a long, b long"
 FOUND_NAMES = [f.split()[0] for f in FOUND.split(", ")]
 
 
-def corpus_order(h, doc, copy, p, body: pa.Array) -> pa.RecordBatch:
-    """Repeated windows of a sorted chunk of phrases; windows of its first and last trigger go on by their hash."""
+def corpus_order(h, doc, copy, p, body: pa.Array, broken: set[int]) -> pa.RecordBatch:
+    """Repeated windows of a sorted chunk of phrases; windows of ``broken`` triggers go on by their hash."""
     data, ends = concatenated(body)
     windows = (p >> 7 & 127) + 1
     owner = np.repeat(np.arange(len(p)), windows)
@@ -303,7 +345,7 @@ def corpus_order(h, doc, copy, p, body: pa.Array) -> pa.RecordBatch:
     repeat = order[again]
     ranges = merged(d[repeat], c[repeat], place[repeat], place[repeat] + LENGTH)
     open_ = order[first]
-    open_ = open_[(h[owner[open_]] == h[0]) | (h[owner[open_]] == h[-1])]
+    open_ = open_[np.isin(h, list(broken))[owner[open_]]]
     names = [Hashes(data, lane).of(at[open_], at[open_] + LENGTH).view(np.int64) for lane in (0, 1)]
     n, m = len(ranges[0]), len(open_)
     starts = (d[open_], c[open_], place[open_], place[open_] + LENGTH)
@@ -313,24 +355,35 @@ def corpus_order(h, doc, copy, p, body: pa.Array) -> pa.RecordBatch:
 
 
 def in_chunks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``corpus_order`` of every ``size`` sorted phrases."""
+    """``corpus_order`` of sorted phrases in chunks of whole triggers, of ``size`` phrases about.
 
-    def done(table: pa.Table) -> pa.RecordBatch:
-        columns = [np.asarray(table.column(k).combine_chunks()) for k in range(4)]
-        return corpus_order(*columns, table.column(4).combine_chunks())
+    A trigger is broken if it has more than a chunk's, or is at either end of the task's rows and may go on in another
+    task, as only slices do.
+    """
+    kept, rows, broken, first = [], 0, set(), True
+
+    def done(table: pa.Table, last: bool) -> pa.RecordBatch:
+        h, doc, copy, p, cut = [np.asarray(table.column(k).combine_chunks()) for k in range(5)]
+        ends = [k for k, at_end in ((0, first), (-1, last)) if at_end and cut[k]]
+        return corpus_order(h, doc, copy, p, table.column(5).combine_chunks(), broken | {int(h[k]) for k in ends})
 
-    kept, rows = [], 0
     for batch in batches:
         kept.append(batch)
         rows += batch.num_rows
-        if rows >= size:
-            table = pa.Table.from_batches(kept)
-            for at in range(0, rows - size + 1, size):
-                yield done(table.slice(at, size))
-            rest = rows % size
-            kept, rows = table.slice(len(table) - rest).to_batches(), rest
+        if rows <= size:
+            continue
+        table, at = pa.Table.from_batches(kept), 0
+        h = np.asarray(table.column(0).combine_chunks())
+        while rows - at > size:
+            begins = at + int(np.searchsorted(h[at : at + size + 1], h[at + size]))  # of the trigger that the cut would part
+            if begins == at:
+                begins, broken = at + size, {int(h[at])}
+            yield done(table.slice(at, begins - at), False)
+            at, first = begins, False
+            broken &= {int(h[at])}
+        kept, rows = table.slice(at).to_batches(), rows - at
     if rows:
-        yield done(pa.Table.from_batches(kept))
+        yield done(pa.Table.from_batches(kept), True)
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
@@ -392,10 +445,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     dealt = occurrences.repartitionByRange(*KEYS).sortWithinPartitions(*KEYS)
     found = stage(dealt.mapInArrow(scan, MARKS), "parse", "zstd")
 
-    asked = with_lists(rows, found.filter("h IS NOT NULL"), ["h", "p"], "asked")
+    phrases_ = found.filter("h IS NOT NULL")
+    hot = stage(phrases_.groupBy("h").count().filter(F.col("count") > chunk).select(F.col("h").alias("_h")), "hot")
+    phrases_ = phrases_.join(F.broadcast(hot), F.col("h") == F.col("_h"), "left")  # at most one for each chunk of phrases
+    asked = with_lists(rows, phrases_.withColumn("hot", F.col("_h").isNotNull().cast("int")), ["h", "p", "hot"], "asked")
     bodies = asked.filter("entries IS NOT NULL").mapInArrow(fetch, PHRASES)
     order = ["h", "doc", "copy", "p"]
-    dealt = bodies.repartitionByRange(*order).sortWithinPartitions(*order)
+    whole = [F.when(F.col("cut") == 1, F.col(k)) for k in order[1:]]  # a trigger that is not cut goes to one task
+    dealt = bodies.repartitionByRange("h", *whole).sortWithinPartitions(*order)
     windows = stage(dealt.mapInArrow(lambda batches: in_chunks(chunk, batches), FOUND), "dictionary", "zstd")
     same = Window.partitionBy("a", "b").orderBy("doc", "copy", "start")
     open_ = windows.filter("a IS NOT NULL").dropDuplicates(["a", "b", "doc", "copy", "start"])
