@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardcast.llm.components import smallest_reachable
-from wardcast.llm.shared import Sent, fields_udf, free_name, ship, stage, value_udf
+from wardcast.llm.shared import Sent, fields_udf, free_name, give_back, ship, stage, value_udf
 from wardcast.llm.signature_tree import (
     Groups, Threshold, Tree, Widths, common, enough, pairs, shingle_sets,
 )
@@ -83,6 +83,8 @@ def frequent_shingles(docs: DataFrame, text_col: str, near: Near) -> dict[str, n
                     held, total = [], 0
         if held:
             yield repeated(held)
+        held = []
+        give_back()
 
     ship()
     counts = docs.select(F.col(text_col).alias("_text")).mapInPandas(count, "h long, n long")
@@ -344,7 +346,8 @@ def pairs_in_small(small: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     ship()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return small_pairs(near, batches)
+        yield from small_pairs(near, batches)
+        give_back()
 
     rows = small.select("h", "node", "n").join(nodes.select("node", "signature"), "node").repartition("h")
     return rows.sortWithinPartitions("h", "n", "node").mapInPandas(search, "a long, b long").distinct()
@@ -369,7 +372,9 @@ def stars_of_blocks(placed: DataFrame, sets: DataFrame, near: Near) -> DataFrame
     ship()
 
     def compare(task: pd.DataFrame) -> pd.DataFrame:
-        return stars(near, task)
+        found = stars(near, task)
+        give_back()
+        return found
 
     def drawn(rows: DataFrame) -> DataFrame:
         columns = "node long, root long, tile long, centre boolean, signature binary"
@@ -414,7 +419,9 @@ def links_in_large(large: DataFrame, drawn: DataFrame, roots: DataFrame, sets: D
     ship()
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        return linked_parts(near, rows)
+        found = linked_parts(near, rows)
+        give_back()
+        return found
 
     return stage(dealt.groupBy("h", "p", "q").applyInPandas(link, "a long, b long"), "links")
 
@@ -473,7 +480,9 @@ def verified_links(listed: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     elements = elements.select("node", "elements", "task")
 
     def verify(listed: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        return verified(near, listed, sets)
+        found = verified(near, listed, sets)
+        give_back()
+        return found
 
     ship()
     grouped = keyed.select("a", "b", number).groupBy("task").cogroup(elements.groupBy("task"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.llm.shared import VOCABULARIES, Sent, encoding, fields_udf, free_name, ship, stage, value_udf
+from wardcast.llm.shared import VOCABULARIES, Sent, encoding, fields_udf, free_name, give_back, ship, stage, value_udf
 from wardcast.llm.signature_tree import SLICE, long_text_hashes, word_hashes
 
 
@@ -79,6 +79,7 @@ def learn(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, te
         for d, values in sums.items():
             at = np.flatnonzero(values)
             yield pd.DataFrame({"domain": d, "bucket": at, "n": values[at]})
+        give_back()
 
     ship()
     summed = rows.select("_text", "_domain").mapInPandas(add, "domain string, bucket int, n double")

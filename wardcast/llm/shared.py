@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import os
 import re
 import tempfile
@@ -13,6 +14,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +95,28 @@ def ship() -> None:
     _shipped.add(app)
 
 
+@lru_cache(maxsize=1)
+def trimmer() -> Callable | None:
+    """The C library's call that gives free memory back; None where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library hold free: a Python worker lives on between tasks, beside those that work."""
+    pa.default_memory_pool().release_unused()
+    if trim := trimmer():
+        trim(0)
+
+
 def fields_udf(function: Callable, returns: str, *fixed) -> Callable:
     """A pandas UDF of one column that gives several: ``function(*fixed, values)`` returns a frame."""
 
     ship()
 
     def fields(values: pd.Series) -> pd.DataFrame:
-        return function(*fixed, values)
+        found = function(*fixed, values)
+        give_back()
+        return found
 
     return F.pandas_udf(fields, returns)
 
@@ -110,7 +127,9 @@ def value_udf(function: Callable, returns: str, *fixed) -> Callable:
     ship()
 
     def value(values: pd.Series) -> pd.Series:
-        return function(*fixed, values)
+        found = function(*fixed, values)
+        give_back()
+        return found
 
     return F.pandas_udf(value, returns)
 
@@ -128,4 +147,5 @@ class Sent:
         if self.key not in _made:
             _made.clear()
             _made[self.key] = make(self.value.value)
+            give_back()
         return _made[self.key]

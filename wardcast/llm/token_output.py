@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from wardcast.llm.shared import VOCABULARIES, encoding, folder, ship, value_udf
+from wardcast.llm.shared import VOCABULARIES, encoding, folder, give_back, ship, value_udf
 
 ROUNDS = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +93,8 @@ def packed(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.Rec
         rows.append((ids, parts, sizes, bytes(data)))
     if rows:
         yield batch()
+        rows.clear()
+    give_back()
 
 
 PACKED = ("ids", "parts", "sizes", "tokens")
@@ -382,6 +384,8 @@ def rows_of_shards(
                 yield pa.RecordBatch.from_pydict(own)
             if file.read(1) or crc != shard.crc:
                 raise ValueError(f"{shard.path} differs from what was written")
+        held = part = own = None
+        give_back()
 
 
 def sharded_records(

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardcast.llm.shared import Sent, fields_udf, ship, stage
+from wardcast.llm.shared import Sent, fields_udf, give_back, ship, stage
 
 #: Numbers of the index's terms with their counts, in order.
 Key = tuple[tuple[int, int], ...]
@@ -91,6 +91,8 @@ def term_counts(labelled: DataFrame) -> DataFrame:
                 yield pd.DataFrame([(t, n, toxic[t]) for t, n in texts.items()], columns=["term", "n", "n_toxic"])
                 texts, toxic = Counter(), Counter()
         yield pd.DataFrame([(t, n, toxic[t]) for t, n in texts.items()], columns=["term", "n", "n_toxic"])
+        texts, toxic = Counter(), Counter()
+        give_back()
 
     ship()
     counts = labelled.select("_text", "_y").mapInPandas(count, "term string, n long, n_toxic long")
@@ -279,6 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
         for batch in batches:
             kept = [packed(key_of(terms(x), number)) for x in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"], "_y": batch["_y"], "_t": kept})
+        give_back()
 
     kind = rows.schema["_id"].dataType.simpleString()
     found = rows.mapInPandas(vectors, f"_id {kind}, _y int, _t binary").toArrow()  # about ``sample`` rows
